@@ -222,6 +222,16 @@ def connected(edges: DataFrame, what: str = "components") -> DataFrame:
         labels = new.select("node", "root")
 
 
+def _bits(rows: DataFrame, *columns: str) -> np.ndarray:
+    """A bit map of BITS bits with the hashes of ``columns``: 2 MB at any size of the input. A full map lets everything through."""
+    bit = F.pmod(F.xxhash64(*columns), F.lit(BITS))
+    words_of = rows.select((bit / 64).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("bit"))
+    out = np.zeros(BITS // 64, np.int64)
+    for r in words_of.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():
+        out[r[0]] = r[1]
+    return out
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -302,11 +312,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
     keyed = documents.filter("node is not null")
     wanted = keyed.join(members.select("key").distinct(), "key", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
-    rows = wanted.filter("doc_id is not null").select((bit / 64).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()
-    bits = np.zeros(BITS // 64, np.int64)
-    for r in rows:
-        bits[r[0]] = r[1]
-    bits = spark.sparkContext.broadcast(bits)
+    bits = spark.sparkContext.broadcast(_bits(wanted.filter("doc_id is not null"), "doc_id"))
 
     def open_sets(batches):
         for batch in batches:
@@ -324,14 +330,31 @@ def join(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
     blocks = core.stored(blocks, "blocks")
 
     inside = blocks.select("sig", "chunk", F.explode(F.arrays_zip("nodes", "keys", "labels")).alias("m")).select("sig", "chunk", F.col("m.nodes").alias("node"), F.col("m.keys").alias("key"), F.col("m.labels").alias("label"))
-    units = parts.select(F.col("sig").alias("shared"), "key").join(inside.select("key", "sig", "chunk", "label"), "key").select("shared", "sig", "chunk", "label").distinct()
+    # blocks of a group meet in its leader: components so far, so that only different ones are compared
+    known = core.stored(connected(inside.filter("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v")), "inner").withColumnRenamed("root", "known"), "known")
+    labelled = inside.join(known, "node", "left").select("key", "sig", "chunk", F.coalesce("known", "node").alias("label"))
+    units = parts.select(F.col("sig").alias("shared"), "key").join(labelled, "key").groupBy("shared", "sig", "chunk").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    units = core.stored(units, "units")
     # only fingerprints that meet in several components matter
-    open_parts = units.groupBy("shared").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("shared")
+    open_parts = units.groupBy("shared").agg(F.min("low").alias("a"), F.max("high").alias("b")).filter("a <> b").select("shared")
     units = units.join(open_parts, "shared", "left_semi")
-    other = units.select("shared", F.col("sig").alias("sig2"), F.col("chunk").alias("chunk2"), F.col("label").alias("label2"))
-    pairs = units.join(other, "shared").filter("label <> label2 and (sig < sig2 or sig = sig2 and chunk < chunk2)").select("sig", "chunk", "sig2", "chunk2").distinct()
-    second = blocks.select(*[F.col(c).alias(f"{c}2") for c in ("sig", "chunk", "labels", "sizes", "tokens")])
-    pairs = pairs.join(blocks.select("sig", "chunk", "labels", "sizes", "tokens"), ["sig", "chunk"]).join(second, ["sig2", "chunk2"])
+    other = units.select("shared", *[F.col(c).alias(f"{c}2") for c in ("sig", "chunk", "low", "high")])
+    pairs = units.join(other, "shared").filter("(sig < sig2 or sig = sig2 and chunk < chunk2) and not (low = high and low2 = high2 and low = low2)").select("sig", "chunk", "sig2", "chunk2").distinct()
+    pairs = core.stored(pairs, "block-pairs")
+    needed = _bits(pairs.select("sig", "chunk").union(pairs.select("sig2", "chunk2")), "sig", "chunk")
+    needed = spark.sparkContext.broadcast(needed)
+
+    @F.pandas_udf("boolean")
+    def is_needed(place):
+        import pandas as pd
+
+        place = place.to_numpy()
+        return pd.Series((needed.value[place // 64] >> (place % 64)) & 1 > 0)
+
+    wanted_blocks = blocks.withColumn("place", F.pmod(F.xxhash64("sig", "chunk"), F.lit(BITS))).filter(is_needed("place"))
+    one = wanted_blocks.select("sig", "chunk", "labels", "sizes", "tokens")
+    second = wanted_blocks.select(*[F.col(c).alias(f"{c}2") for c in ("sig", "chunk", "labels", "sizes", "tokens")])
+    pairs = pairs.join(one, ["sig", "chunk"]).join(second, ["sig2", "chunk2"])
 
     def across(batches):
         for batch in batches:
@@ -345,10 +368,13 @@ def join(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
 
     links = pairs.select("labels", "sizes", "tokens", "labels2", "sizes2", "tokens2").mapInArrow(across, "u binary, v binary")
-    edges = inside.filter("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v")).union(links)
-    roots = connected(edges, "links")
+    ends = known.select("node", "known")
+    links = links.distinct().join(ends.select(F.col("node").alias("u"), F.col("known").alias("ku")), "u", "left").join(ends.select(F.col("node").alias("v"), F.col("known").alias("kv")), "v", "left")
+    links = links.select(F.coalesce("ku", "u").alias("u"), F.coalesce("kv", "v").alias("v")).filter("u <> v")
+    roots = connected(links, "links")
 
-    first = documents.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    first = documents.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(known, "node", "left").select("node", "least", F.coalesce("known", "node").alias("known"))
+    first = first.join(roots.withColumnRenamed("node", "known"), "known", "left").select("node", "least", F.coalesce("root", "known").alias("root"))
     first = core.stored(first, "nodes")
     least = first.groupBy("root").agg(F.min("least").alias("component_id"))
     named = first.select("node", "root").join(least, "root").select("node", "component_id")
