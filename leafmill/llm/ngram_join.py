@@ -326,7 +326,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
 
     sets_again = texts.select("text", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(bit).cast("long").alias("place"))
     opened = sets_again.mapInArrow(open_sets, "key long, node binary, tokens binary")
-    blocks = members.join(opened, "key").groupBy("sig", "chunk").applyInArrow(lambda t: _home(t, percent), BLOCK_DDL)
+    blocks = members.join(opened.hint("merge"), "key").groupBy("sig", "chunk").applyInArrow(lambda t: _home(t, percent), BLOCK_DDL)
     blocks = core.stored(blocks, "blocks")
 
     inside = blocks.select("sig", "chunk", F.explode(F.arrays_zip("nodes", "keys", "labels")).alias("m")).select("sig", "chunk", F.col("m.nodes").alias("node"), F.col("m.keys").alias("key"), F.col("m.labels").alias("label"))
@@ -354,7 +354,8 @@ def join(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
     wanted_blocks = blocks.withColumn("place", F.pmod(F.xxhash64("sig", "chunk"), F.lit(BITS))).filter(is_needed("place"))
     one = wanted_blocks.select("sig", "chunk", "labels", "sizes", "tokens")
     second = wanted_blocks.select(*[F.col(c).alias(f"{c}2") for c in ("sig", "chunk", "labels", "sizes", "tokens")])
-    pairs = pairs.join(one, ["sig", "chunk"]).join(second, ["sig2", "chunk2"])
+    # both sides grow with the corpus, so neither is ever broadcast
+    pairs = pairs.join(one.hint("merge"), ["sig", "chunk"]).join(second.hint("merge"), ["sig2", "chunk2"])
 
     def across(batches):
         for batch in batches:

@@ -27,7 +27,7 @@ from . import bpe
 
 WINDOW = 4096
 UNIT = 64
-ROWS_A_BUCKET = 20_000
+ROWS_A_BUCKET = 5_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
