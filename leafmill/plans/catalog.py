@@ -1,4 +1,384 @@
-"""Every query by name, with its DuckDB equivalent where SQL can express it."""
+"""Every query by name, with its DuckDB equivalent where SQL can express it.
+
+The data has no packages, so roles are bound to tables: ``benchmark`` items are source pages (one document of ordered pages), ``documents`` are the derived
+text, ``pages`` the content documents, ``conversations`` and ``events`` the logs. Where the data would make a query pass without
+a real case, the input is shaped in the query, in the same way in both languages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..core import table
+from ..functions import markup, paths
+from ..functions import text as T
+from ..operators import fidelity, package, shaping
+from . import report
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- pieces of SQL that several oracles share
+_NORM = r"replace(lower(trim(regexp_replace(regexp_replace({0}, '(\w)-\s*\n\s*(\w)', '\1\2', 'g'), '\s+', ' ', 'g'))), 'ß', 'ss')"
+
+
+def _norm(c: str) -> str:
+    return _NORM.format(c)
+
+
+def _words(c: str) -> str:
+    return f"list_filter(string_split({_norm(c)}, ' '), lambda w: w <> '')"
+
+
+def _runs(c: str) -> str:
+    w = _words(c)
+    return f"(SELECT list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) FROM (SELECT {w} AS w))"
+
+
+@query(f"SELECT doc_id, {_norm('text')} AS normal FROM documents")
+def normalize_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.normalized(F.col("text")).alias("normal"))
+
+
+@query(f"SELECT doc_id, {_norm('text')} AS normal FROM documents")
+def normalize_unicode(spark, d):
+    """The general form; equal to the fast one on texts in NFKC."""
+    return table(spark, d, "documents").select("doc_id", T.normalized_unicode(F.col("text")).alias("normal"))
+
+
+@query(f"SELECT doc_id, CAST(len({_words('text')}) AS INTEGER) AS n_words FROM documents")
+def word_counts(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(T.words(T.normalized(F.col("text")))).alias("n_words"))
+
+
+@query(f"SELECT doc_id, CAST(len({_runs('text')}) AS INTEGER) AS n_shingles FROM documents")
+def shingle_counts(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(T.shingles(T.words(T.normalized(F.col("text"))))).alias("n_shingles"))
+
+
+def _source(spark, d) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.lit(0).cast("long").alias("doc_id"), F.col("item_id").alias("page"), "text")
+
+
+def _derived(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select(F.lit(0).cast("long").alias("doc_id"), "text")
+
+
+_COVER = f"""own AS (SELECT item_id, unnest({_runs('text')}) AS s FROM benchmark),
+there AS (SELECT DISTINCT s FROM (SELECT unnest({_runs('text')}) AS s FROM documents)),
+cover AS (SELECT item_id, count(*) AS shingles, count(there.s) AS hits FROM own LEFT JOIN there ON own.s = there.s GROUP BY item_id),
+bypage AS (SELECT item_id, coalesce(shingles, 0) AS shingles, coalesce(hits, 0) AS hits, CASE WHEN coalesce(shingles, 0) = 0 THEN 1.0 ELSE hits / shingles END AS coverage FROM benchmark LEFT JOIN cover USING (item_id))"""
+
+
+@query(f"WITH {_COVER} SELECT item_id, CAST(shingles AS BIGINT) AS shingles, CAST(hits AS BIGINT) AS hits, CAST(coverage AS DOUBLE) AS coverage FROM bypage")
+def item_coverage(spark, d):
+    return fidelity.page_coverage(_source(spark, d), _derived(spark, d)).select(F.col("page").alias("item_id"), "shingles", "hits", "coverage")
+
+
+@query(f"WITH {_COVER} SELECT CAST(count(*) AS BIGINT) AS pages, round(coalesce(avg(CASE WHEN shingles > 0 THEN coverage END), 0.0), 9) AS text_coverage FROM bypage")
+def text_coverage(spark, d):
+    got = fidelity.text_coverage(fidelity.page_coverage(_source(spark, d), _derived(spark, d)))
+    return got.select("pages", F.round("text_coverage", 9).alias("text_coverage"))
+
+
+@query(f"WITH {_COVER}, ranked AS (SELECT *, row_number() OVER (ORDER BY item_id) AS pos FROM bypage), poor AS (SELECT *, pos - row_number() OVER (ORDER BY item_id) AS island FROM ranked WHERE coverage < 0.5 AND shingles > 0), spans AS (SELECT min(pos) AS first, max(pos) AS last FROM poor GROUP BY island) SELECT CAST(row_number() OVER (ORDER BY first) AS INTEGER) AS span, CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last FROM spans")
+def missing_spans(spark, d):
+    return fidelity.missing_spans(fidelity.page_coverage(_source(spark, d), _derived(spark, d))).select("span", "first", "last")
+
+
+@query(f"WITH src AS (SELECT DISTINCT s FROM (SELECT unnest({_runs('t')}) AS s FROM (SELECT string_agg(text, ' ' ORDER BY item_id) AS t FROM benchmark))), own AS (SELECT doc_id, unnest({_runs('text')}) AS s FROM documents) SELECT doc_id, CAST(count(*) AS BIGINT) AS derived_shingles, CAST(count(*) - count(src.s) AS BIGINT) AS extra, (count(*) - count(src.s)) / count(*) AS extra_ratio FROM own LEFT JOIN src ON own.s = src.s GROUP BY doc_id")
+def extra_ratio(spark, d):
+    """Shingles of each document that the benchmark, as one running text, lacks."""
+    source = fidelity.runs(fidelity.whole_source(_source(spark, d)), []).withColumn("known", F.lit(1))
+    own = fidelity.runs(table(spark, d, "documents"), ["doc_id"]).join(source, "shingle", "left")
+    n = own.groupBy("doc_id").agg(F.count("*").alias("derived_shingles"), (F.count("*") - F.count("known")).alias("extra"))
+    return n.withColumn("extra_ratio", F.col("extra") / F.col("derived_shingles"))
+
+
+def _titles(spark, d) -> DataFrame:
+    """Each page's title against its own body and the next page's."""
+    p = table(spark, d, "pages").select("page_id", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_extract("html", r"(?s)<body[^>]*>(.*)</body>", 1).alias("body"))
+    follow = p.select((F.col("page_id") - 1).alias("page_id"), F.col("body").alias("next_body"))
+    return p.join(follow, "page_id", "left")
+
+
+@query(f"WITH p AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<body[^>]*>(.*)</body>', 1) AS body FROM pages), j AS (SELECT a.page_id, {_norm('a.title')} AS n, {_norm('a.body')} AS own, {_norm('b.body')} AS nxt FROM p a LEFT JOIN p b ON b.page_id = a.page_id + 1) SELECT page_id, contains(own, n) AS in_own, coalesce(contains(nxt, n), false) AS in_next FROM j WHERE length(n) >= 4")
+def title_coverage(spark, d):
+    j = _titles(spark, d).select("page_id", T.normalized(F.col("title")).alias("n"), T.normalized(F.col("body")).alias("own"), T.normalized(F.col("next_body")).alias("nxt"))
+    return j.filter(F.length("n") >= 4).select("page_id", F.contains("own", "n").alias("in_own"), F.coalesce(F.contains("nxt", "n"), F.lit(False)).alias("in_next"))
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text || CASE WHEN doc_id % 3 = 0 THEN ' itÂ® isÃ–' ELSE '' END, '[ÂÃ][-¿–—‘’“”®©]')) AS INTEGER) AS mojibake FROM documents")
+def suspicious_bytes(spark, d):
+    """The data has no such damage, so a third of the texts get some."""
+    text = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " itÂ® isÃ–").otherwise(""))
+    return table(spark, d, "documents").select("doc_id", fidelity.suspicious(text).cast("int").alias("mojibake"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'it®s' ELSE 'plain' END AS repaired FROM documents")
+def encoding_repair(spark, d):
+    damaged = F.when(F.col("doc_id") % 2 == 0, "itÂ®s").otherwise("plain")
+    return table(spark, d, "documents").select("doc_id", T.encoding_repaired(damaged).alias("repaired"))
+
+
+def _log_markdown(spark, d) -> DataFrame:
+    """Conversations as markdown documents: a heading for each turn, its text below."""
+    c = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    return c.select("doc_id", F.array_join(F.transform("t", lambda x: F.concat(F.lit("# "), x["role"], F.lit(" "), x["turn"].cast("string"), F.lit("\n\n"), x["text"])), "\n\n").alias("text"))
+
+
+@query("SELECT conv_id AS doc_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS idx, role || ' ' || turn AS title, trim(text, E' \\n\\t') AS body FROM conversations")
+def chapter_split(spark, d):
+    return shaping.chapters(_log_markdown(spark, d))
+
+
+@query(r"""WITH RECURSIVE para AS (SELECT doc_id, CAST(k AS INTEGER) AS k, p FROM (SELECT doc_id, unnest(string_split(text, E'\n')) AS p, generate_subscripts(string_split(text, E'\n'), 1) AS k FROM documents)),
+walk AS (SELECT doc_id, k, p, 1 AS part, length(p) + 2 AS n FROM para WHERE k = 1 UNION ALL SELECT b.doc_id, b.k, b.p, CASE WHEN a.n + length(b.p) > 500 THEN a.part + 1 ELSE a.part END, CASE WHEN a.n + length(b.p) > 500 THEN length(b.p) + 2 ELSE a.n + length(b.p) + 2 END FROM walk a JOIN para b ON b.doc_id = a.doc_id AND b.k = a.k + 1)
+SELECT doc_id, CAST(part AS INTEGER) AS part_no, string_agg(p, E'\n\n' ORDER BY k) AS body FROM walk GROUP BY doc_id, part""")
+def chapter_pack(spark, d):
+    parts = shaping.packed(F.split("text", "\n"), 500)
+    return table(spark, d, "documents").select("doc_id", F.posexplode(parts).alias("pos", "body")).select("doc_id", (F.col("pos") + 1).alias("part_no"), "body")
+
+
+@query(r"SELECT doc_id, trim(text, E' \n\t') AS clean FROM documents")
+def recognition_clean(spark, d):
+    """Texts are put into a fence with tokens and page tags first, which cleaning takes away again."""
+    dirty = F.concat(F.lit("```markdown\n"), F.lit("<|eot_<|im_end|>id|><PAGE n=1>"), F.col("text"), F.lit("</PAGE><|eot_id|>\n```  "))
+    return table(spark, d, "documents").select("doc_id", shaping.recognised_clean(dirty).alias("clean"))
+
+
+@query("SELECT item_id // 8 AS batch, CAST(count(*) AS BIGINT) AS pages FROM (SELECT CAST(item_id AS INTEGER) AS item_id FROM benchmark) GROUP BY 1")
+def page_batches(spark, d):
+    return shaping.batches(table(spark, d, "benchmark"), "item_id").groupBy("batch").agg(F.count("*").alias("pages"))
+
+
+@query("SELECT item_id // 8 AS batch, string_agg(text, E'\\n\\n' ORDER BY item_id) AS text FROM (SELECT CAST(item_id AS INTEGER) AS item_id, trim(text) AS text FROM benchmark) GROUP BY 1")
+def batch_texts(spark, d):
+    return shaping.joined_in_order(shaping.batches(table(spark, d, "benchmark"), "item_id"), ["batch"], "item_id", "text")
+
+
+@query("SELECT conv_id AS doc_id, string_agg(CASE WHEN turn % 2 = 0 THEN '# ' || role || E'\\n\\n' ELSE '' END || trim(text, E' \\n\\t'), E'\\n\\n' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def text_layer(spark, d):
+    """Turns are pages; every other page has a heading in the table of contents."""
+    pages = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_index"), "text", "role")
+    toc = pages.filter("page_index % 2 = 0").select("doc_id", F.lit(0).alias("ord"), F.lit(1).alias("level"), F.col("role").alias("title"), (F.col("page_index") + 1).alias("page_number"))
+    return shaping.text_layer(pages.drop("role"), toc)
+
+
+@query("SELECT doc_id, '<span class=\"math\" role=\"math\">σ<sub>' || source || '</sub></span> = ' || lang AS html FROM documents")
+def math_render(spark, d):
+    line = F.concat(F.lit("σ_{"), F.col("source"), F.lit("} = "), F.col("lang"))
+    return table(spark, d, "documents").select("doc_id", T.math_rendered(line).alias("html"))
+
+
+@query("SELECT doc_id, 'α ≤ β → ' || lang || ' \\lex' AS text FROM documents")
+def math_commands(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.math_symbols(F.concat(F.lit("\\alpha \\le \\beta \\to "), F.col("lang"), F.lit(" \\lex"))).alias("text"))
+
+
+def _tags(spark, d) -> DataFrame:
+    tags = F.transform(F.regexp_extract_all("html", F.lit("<([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1)), F.lower)
+    return table(spark, d, "pages").select("page_id", F.explode(tags).alias("tag"))
+
+
+_TAGS = "SELECT page_id, unnest(list_transform(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1), lambda t: lower(t))) AS tag FROM pages"
+_ALLOWED = ", ".join(f"'{t}'" for t in sorted(markup.ALLOWED_TAGS))
+
+
+@query(f"SELECT tag, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT page_id) AS BIGINT) AS pages FROM ({_TAGS}) GROUP BY tag")
+def tag_census(spark, d):
+    by_page = _tags(spark, d).groupBy("tag", "page_id").agg(F.count("*").alias("n"))
+    return by_page.groupBy("tag").agg(F.sum("n").alias("n"), F.count("*").alias("pages"))
+
+
+@query(f"SELECT page_id, tag, CAST(count(*) AS BIGINT) AS n FROM ({_TAGS}) WHERE tag NOT IN ({_ALLOWED}) GROUP BY ALL")
+def unknown_tags(spark, d):
+    return _tags(spark, d).filter(~F.col("tag").isin(sorted(markup.ALLOWED_TAGS))).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+
+
+@query("SELECT attr, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(regexp_extract_all(html, ' ([a-z-]+)=\"', 1)) AS attr FROM pages) WHERE attr NOT IN ('href', 'lang') GROUP BY attr")
+def attribute_violations(spark, d):
+    """Attributes outside a short whitelist, by anti join."""
+    allowed = spark.createDataFrame([("href",), ("lang",)], "attr string")
+    found = table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit(' ([a-z-]+)="'), F.lit(1))).alias("attr"))
+    return found.groupBy("attr").agg(F.count("*").alias("n")).join(F.broadcast(allowed), "attr", "left_anti")
+
+
+@query()
+def fragments_cleaned(spark, d):
+    return table(spark, d, "pages").select("page_id", markup.fragment_cleaned("html").alias("c")).select("page_id", "c.html", "c.changes")
+
+
+@query()
+def markdown_html(spark, d):
+    return _log_markdown(spark, d).select("doc_id", markup.markdown_rendered("text").alias("html"))
+
+
+def _hrefs(spark, d) -> DataFrame:
+    refs = table(spark, d, "pages").select(F.lit("site").alias("epub"), F.concat(F.lit("site/p"), F.col("page_id").cast("string"), F.lit(".html")).alias("doc_path"), F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("ord", "href"))
+    return refs.select("epub", "doc_path", "ord", F.lit("a").alias("tag"), F.lit("href").alias("attr"), F.concat(F.lit("../x/./y/.."), "href").alias("value"))
+
+
+_HREFS = "SELECT 'site/p' || page_id || '.html' AS doc_path, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages"
+
+
+@query(f"SELECT doc_path, href, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_path, 'x' || regexp_replace(href, '[?#].*$', '') AS href FROM ({_HREFS}) WHERE href LIKE '/%' AND href NOT LIKE '%\\%%' ESCAPE '\\') GROUP BY ALL")
+def hrefs_resolved(spark, d):
+    """Root-relative links made relative with detours, then resolved against their document."""
+    r = package.resolved_refs(_hrefs(spark, d)).filter(F.contains("value", F.lit("../x/./y/../")) & ~F.contains("value", F.lit("%")))
+    return r.groupBy("doc_path", F.col("target").alias("href")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_path, href, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_path, 'x' || regexp_replace(href, '[?#].*$', '') AS href FROM ({_HREFS}) WHERE href LIKE '/%' AND href NOT LIKE '%\\%%' ESCAPE '\\') WHERE length(href) % 2 = 1 GROUP BY ALL")
+def broken_refs(spark, d):
+    """The archive holds the targets of even length, so the others are broken."""
+    refs = _hrefs(spark, d).filter(F.contains("value", F.lit("../x/./y/../")) & ~F.contains("value", F.lit("%")))
+    there = package.resolved_refs(refs).filter(F.length("target") % 2 == 0).select("epub", F.col("target").alias("name")).distinct()
+    return package.broken_refs(refs, there).groupBy("doc_path", F.col("target").alias("href")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, href, CAST(min(k) AS INTEGER) AS first FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href, generate_subscripts(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1), 1) - 1 AS k FROM pages) GROUP BY page_id, href")
+def first_ref(spark, d):
+    hits = table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("k", "href"))
+    return hits.groupBy("page_id", "href").agg(F.min("k").alias("first"))
+
+
+@query("SELECT doc_id, 3 AS page_index, CAST(doc_id % 7 AS INTEGER) AS image_index, 'images/page_3_' || doc_id % 7 || '.JPG' AS ref FROM documents")
+def figure_refs(spark, d):
+    """Two spellings of one figure; the first is kept."""
+    k = (F.col("doc_id") % 7).cast("string")
+    text = F.concat(F.lit("a images/page_3_"), k, F.lit(".JPG b images/page_3_"), k, F.lit(".png"))
+    return shaping.figure_refs(table(spark, d, "documents").select("doc_id", text.alias("text"))).select("doc_id", "page_index", "image_index", "ref")
+
+
+@query("SELECT l_orderkey AS doc_id, CAST(min(l_linenumber) AS INTEGER) AS image_index, l_partkey AS xref FROM lineitem WHERE l_quantity >= 10 GROUP BY l_orderkey, l_partkey HAVING min_by(l_discount, l_linenumber) < 0.08")
+def figures_kept(spark, d):
+    """Order lines as images: part as xref, quantity as size, discount as share of the page."""
+    x = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_index"), F.col("l_linenumber").alias("image_index"), F.col("l_partkey").alias("xref"), (F.col("l_quantity") * 8).alias("width"), (F.col("l_quantity") * 8).alias("height"), (F.col("l_discount") * 10).alias("area_fraction"))
+    return shaping.figures_kept(x).select("doc_id", F.col("image_index").cast("int").alias("image_index"), "xref")
+
+
+def _parts_manifest(spark, d):
+    m = table(spark, d, "part").select(F.col("p_brand").alias("epub"), F.col("p_partkey").cast("int").alias("ord"), F.col("p_name").alias("id"), F.lit("").alias("href"), F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("path"), F.lit("").alias("media_type"), F.array().cast("array<string>").alias("properties"), F.col("p_size"))
+    members = m.select("epub", F.concat(F.lit("f"), (F.col("ord") * 2).cast("string")).alias("name"))
+    return m, members
+
+
+@query("WITH m AS (SELECT p_brand AS epub, 'f' || p_partkey AS path, 'f' || p_partkey * 2 AS name FROM part) SELECT 'missing' AS side, epub, path FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.epub = a.epub AND b.name = a.path) UNION ALL SELECT 'undeclared', epub, name FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.epub = a.epub AND b.path = a.name)")
+def manifest_vs_archive(spark, d):
+    """Parts as manifest entries of their brand; the archive holds files of doubled numbers."""
+    m, members = _parts_manifest(spark, d)
+    opf = m.select("epub", F.lit(None).cast("string").alias("opf_path")).distinct()
+    lost = package.manifest_missing(m, members).select(F.lit("missing").alias("side"), "epub", "path")
+    return lost.unionAll(package.undeclared(m, members, opf).select(F.lit("undeclared"), "epub", "name"))
+
+
+@query("SELECT o_custkey AS epub, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS pos, 'f' || o_custkey AS path FROM orders WHERE o_custkey % 3 <> 0")
+def spine_order(spark, d):
+    """Orders as spine items of a customer; a third of the customers has no manifest entry."""
+    spine = table(spark, d, "orders").select(F.col("o_custkey").alias("epub"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("pos"), F.col("o_custkey").cast("string").alias("idref"))
+    entries = table(spark, d, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("epub"), F.col("c_custkey").cast("string").alias("id"), F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("path"))
+    return package.spine_paths(spine, entries).select("epub", "pos", "path")
+
+
+def _findings(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("source").alias("epub"), "doc_id", "n_chars")
+    short = package.finding(docs.filter("n_chars < 100"), "warning", "text/short", F.col("n_chars").cast("string"), F.col("doc_id"), order=1)
+    toxic = table(spark, d, "labels").join(docs, "doc_id").filter("toxic = 1")
+    return short.unionByName(package.finding(toxic, "error", "text/toxic", F.lit("toxic"), F.col("doc_id"), layer="labels", order=2))
+
+
+@query("WITH f AS (SELECT source AS epub, 'warning' AS level FROM documents WHERE n_chars < 100 UNION ALL SELECT source, 'error' FROM labels JOIN documents USING (doc_id) WHERE toxic = 1), c AS (SELECT epub, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'warning') AS warnings FROM f GROUP BY epub) SELECT e.epub, CAST(coalesce(errors, 0) AS BIGINT) AS errors, CAST(coalesce(warnings, 0) AS BIGINT) AS warnings, CAST(0 AS BIGINT) AS infos, CASE WHEN errors > 0 THEN 'fail' WHEN warnings > 0 THEN 'warn' ELSE 'pass' END AS verdict FROM (SELECT DISTINCT source AS epub FROM documents) e LEFT JOIN c ON c.epub = e.epub")
+def findings_verdict(spark, d):
+    epubs = table(spark, d, "documents").select(F.col("source").alias("epub")).distinct()
+    return report.verdicts(epubs, _findings(spark, d))
+
+
+@query("WITH f AS (SELECT source AS epub, 'format' AS layer, 'warning' AS level FROM documents WHERE n_chars < 100 UNION ALL SELECT source, 'labels', 'error' FROM labels JOIN documents USING (doc_id) WHERE toxic = 1) SELECT epub, layer, count(*) FILTER (level = 'error') = 0 AS passed FROM f GROUP BY epub, layer")
+def layers_passed(spark, d):
+    return report.layers(_findings(spark, d))
+
+
+@query()
+def report_json(spark, d):
+    epubs = table(spark, d, "documents").select(F.col("source").alias("epub")).distinct()
+    found = _findings(spark, d)
+    return report.as_json(report.verdicts(epubs, found), found)
+
+
+@query("SELECT epub, code, location FROM (SELECT *, row_number() OVER (PARTITION BY epub ORDER BY layer, location) AS n FROM (SELECT source AS epub, 'format' AS layer, 'text/short' AS code, CAST(doc_id AS VARCHAR) AS location FROM documents WHERE n_chars < 100 UNION ALL SELECT source, 'labels', 'text/toxic', CAST(doc_id AS VARCHAR) FROM labels JOIN documents USING (doc_id) WHERE toxic = 1)) WHERE n <= 60")
+def console_report(spark, d):
+    return report.console(_findings(spark, d)).select("epub", "code", "location")
+
+
+@query("SELECT source AS filename, CAST(sum(n_chars) AS BIGINT) AS size, max(doc_id) AS modified FROM documents GROUP BY source ORDER BY 1")
+def library_listing(spark, d):
+    return table(spark, d, "documents").groupBy(F.col("source").alias("filename")).agg(F.sum("n_chars").alias("size"), F.max("doc_id").alias("modified")).orderBy("filename")
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def job_status(spark, d):
+    return report.latest_status(table(spark, d, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '[^\\p{L}\\p{N}\\-_ ]', '_', 'g')) AS name FROM pages")
+def safe_name(spark, d):
+    return table(spark, d, "pages").select("page_id", T.safe_name(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)).alias("name"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars < 20 THEN 'render/blank-document' ELSE NULL END AS code, CAST(n_chars AS BIGINT) AS chars FROM documents WHERE n_chars < 20")
+def render_findings(spark, d):
+    """Documents as rendered pages of their source: those that show almost nothing."""
+    docs = table(spark, d, "documents").select(F.col("source").alias("epub"), F.col("doc_id").cast("string").alias("document"), F.lit(False).alias("is_nav"), F.lit(None).cast("string").alias("load_error"), *[F.array().cast("array<string>").alias(c) for c in ("page_errors", "failed_requests", "broken_images")], F.col("n_chars").alias("visible_text_chars"), F.lit(0).alias("image_count"), F.lit(False).alias("horizontal_overflow"))
+    found = package.render_findings(docs).filter("code = 'render/blank-document'").join(docs, F.col("location") == F.col("document"))
+    return found.select(F.col("document").cast("long").alias("doc_id"), "code", F.col("visible_text_chars").alias("chars"))
+
+
+@query("SELECT source AS epub, CAST(count(*) AS BIGINT) AS documents, CAST(sum(n_chars) AS BIGINT) AS visible_text_chars, CAST(count(*) AS BIGINT) AS broken_images FROM documents GROUP BY source")
+def render_totals(spark, d):
+    docs = table(spark, d, "documents").select(F.col("source").alias("epub"), F.col("n_chars").alias("visible_text_chars"), F.array(F.lit("x")).alias("broken_images"))
+    return package.render_totals(docs)
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS epub, CASE o_orderpriority WHEN '1-URGENT' THEN 'error' WHEN '2-HIGH' THEN 'error' WHEN '3-MEDIUM' THEN 'warning' ELSE 'info' END AS level, 'epubcheck/' || o_orderstatus AS code, 'a:1, a:2, a:3 (+1 more)' AS location FROM orders")
+def tool_findings(spark, d):
+    """Orders as messages of an external validator; each has four places, of which three are told."""
+    names = F.create_map(*[F.lit(x) for kv in {"1-URGENT": "FATAL", "2-HIGH": "ERROR", "3-MEDIUM": "WARNING"}.items() for x in kv])
+    places = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.struct(F.lit("a").alias("path"), k.alias("line")))
+    m = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("epub"), F.lit(0).alias("ord"), F.col("o_orderstatus").alias("id"), F.coalesce(F.element_at(names, F.col("o_orderpriority")), F.lit("INFO")).alias("severity"), F.lit("").alias("message"), places.alias("locations"))
+    return package.tool_findings(m).select("epub", "level", "code", "location")
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS output_file, min(o_orderkey) AS job FROM orders GROUP BY o_custkey")
+def job_sources(spark, d):
+    from ..sources import recognition
+
+    jobs = table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").cast("string").alias("output_file"), F.col("o_orderkey").alias("pdf_path"))
+    return recognition.source_of(jobs, jobs.select("output_file").distinct()).select("output_file", F.col("pdf_path").alias("job"))
+
+
+@query("SELECT doc_id, 'chapter_' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS VARCHAR), 3, '0') || '.xhtml' AS name FROM (SELECT conv_id AS doc_id, turn AS idx FROM conversations)")
+def chapter_names(spark, d):
+    parts = shaping.sized(shaping.chapters(_log_markdown(spark, d)))
+    return shaping.chapter_documents(parts).select("doc_id", "name")
+
+
+@query("SELECT window_start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 6) AS total FROM (SELECT date_trunc('hour', ts) AS window_start, event_type, value FROM events) GROUP BY ALL")
+def hourly_counts(spark, d):
+    """The batch form of the windowed stream."""
+    from ..streaming import folder
+
+    return folder.hourly_counts(table(spark, d, "events")).select(F.col("window.start").alias("window_start"), "event_type", "n", F.round("total", 6).alias("total"))
