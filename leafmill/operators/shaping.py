@@ -82,11 +82,13 @@ def chapters(docs: DataFrame) -> DataFrame:
     """(doc_id, idx from 1, title, body). Text before the first heading is left out, as long as there is one; without any, the whole is "Document"."""
     mark = "\u0001"
     marked = F.regexp_replace("text", HEADING, f"{mark}$2{mark}")
-    parts = F.split(marked, mark)
-    headed = F.size(parts) > 1
-    n = F.floor((F.size(parts) - 1) / 2).cast("int")
-    found = F.when(headed, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.struct(T.strip(F.element_at(parts, (2 * i).cast("int"))).alias("title"), T.strip(F.element_at(parts, (2 * i + 1).cast("int"))).alias("body"))))
-    found = found.otherwise(F.array(F.struct(F.lit("Document").alias("title"), F.col("text").alias("body"))))
+
+    def headed(parts: Column) -> Column:
+        n = F.greatest(F.floor((F.size(parts) - 1) / 2).cast("int"), F.lit(1))
+        both = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(T.strip(F.element_at(parts, (2 * i).cast("int"))).alias("title"), T.strip(F.element_at(parts, (2 * i + 1).cast("int"))).alias("body")))
+        return F.when(F.size(parts) > 1, both)
+
+    found = F.coalesce(T.once(F.split(marked, mark), headed), F.array(F.struct(F.lit("Document").alias("title"), F.col("text").alias("body"))))
     return docs.select("doc_id", F.posexplode(found).alias("pos", "c")).select("doc_id", (F.col("pos") + 1).alias("idx"), "c.title", "c.body")
 
 
