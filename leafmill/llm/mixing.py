@@ -6,7 +6,7 @@ found by sums over sources, so sources are never gathered in one place.
 
 Sampling. A document is expected ``ratio`` = target / size times. Whole copies are certain; the fraction p is drawn: documents are
 ranked by random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p)), and taken from the least rank on until the source's words are
-reached. The last place goes to the document whose size fits what is missing best. u depends on the row and the seed alone, so reruns agree.
+reached. The document at the border gives only its first words (``cut``), so a source's words meet its target. u depends on the row and the seed alone, so reruns agree.
 
 A null text has size 0; null sources are one source, last in order. Rows that share a doc_id are ranked on their own. A source of size 0 has
 target 0 and is not taken. An empty table gives no rows.
@@ -57,7 +57,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, copies, taken."""
+    """Per document: doc_id, source, size, source_size, target, whole copies, words of a cut copy, words taken in all."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in("text").alias("size"), F.xxhash64("text").alias("mark"))
     base = core.stored(base, "sizes")
     sizes = targets(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_docs")), weights, share, most)
@@ -81,20 +81,24 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: flo
     rows = rows.join(totals, ["key", "bucket"]).withColumn("reached", F.col("before") + F.col("within"))
     rows = rows.withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size"))
     rows = rows.withColumn("drawn", (F.col("p") > 0) & (F.col("reached") <= F.col("missing")))
-    rows = core.stored(rows.select("key", "doc_id", "source", "size", "source_size", "target", "whole", "drawn", "order", "mark", "missing"), "drawn")
-    gap = rows.groupBy("key").agg((F.first("missing") - F.sum(F.when(F.col("drawn"), F.col("size")).otherwise(0))).alias("gap"))
-    rows = rows.join(gap, "key")
-    fit = F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "order", "doc_id", "mark")
-    last = rows.filter(~F.col("drawn") & (F.col("size") > 0) & (F.abs(F.col("size") - F.col("gap")) < F.col("gap"))).groupBy("key").agg(F.min(fit).alias("fit"))
-    rows = rows.join(last, "key", "left")
-    is_last = F.coalesce(~F.col("drawn") & (F.col("order") == F.col("fit.order")) & F.col("doc_id").eqNullSafe(F.col("fit.doc_id")) & F.col("mark").eqNullSafe(F.col("fit.mark")), F.lit(False))
-    copies = (F.col("whole") + F.when(F.col("drawn") | is_last, 1).otherwise(0)).cast("long")
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "mark")
+    # the document at the border gives as many of its first words as are still missing
+    cut = F.floor(F.col("missing") - (F.col("reached") - F.col("size")) + 1e-6).cast("long")
+    cut = F.when((F.col("p") > 0) & ~F.col("drawn"), F.greatest(F.lit(0), F.least(F.col("size"), cut))).otherwise(0)
+    copies = (F.col("whole") + F.col("drawn").cast("int")).cast("long")
+    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), cut.alias("cut"), (copies * F.col("size") + cut).alias("taken"), "mark")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """``docs``, each row as often as the mix takes it."""
-    found = mix(docs, **options).groupBy("doc_id", "mark").agg(F.max("copies").alias("copies_"))
+    """``docs``, each row as often as the mix takes it; the copy of a border document has its first words, with single spaces."""
+    found = mix(docs, **options).groupBy("doc_id", "mark").agg(F.max("copies").alias("copies_"), F.max("cut").alias("cut_"))
     keyed = docs.withColumn("mark_", F.xxhash64("text"))
     joined = keyed.join(found.withColumnRenamed("doc_id", "id_"), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("mark_") == F.col("mark")))
-    return joined.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.greatest("copies_", F.lit(1))))).filter("copy_ <= copies_").select(*docs.columns)
+    copies = F.transform(F.sequence(F.lit(0), F.col("copies_")), lambda k: F.when(k > 0, F.lit(-1).cast("long")).otherwise(F.col("cut_")))
+    taken = joined.withColumn("take_", F.explode(copies)).filter("take_ <> 0")
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = F.array_join(F.slice(words, 1, F.greatest(F.col("take_"), F.lit(0)).cast("int")), " ")
+    text = F.when(F.col("take_") < 0, F.col("text")).otherwise(cut)
+    out = taken.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("take_") < 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*docs.columns)
