@@ -14,7 +14,6 @@ their own. An empty table gives conversation -1 only in the query, and no rows h
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Callable
 
@@ -46,8 +45,13 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: m[1], text)
 
 
+def frame(turns: list[Turn]) -> str:
+    """The template, for roles and texts that are escaped already."""
+    return "".join([f"<|turn|>{role}<|text|>{text}<|end|>\n" for role, text in turns])
+
+
 def render(turns: list[Turn]) -> str:
-    return "".join(f"<|turn|>{escape(role)}<|text|>{escape(text)}<|end|>\n" for role, text in turns)
+    return frame([(escape(role), escape(text)) for role, text in turns])
 
 
 def parse(formatted: str) -> list[Turn]:
@@ -56,7 +60,17 @@ def parse(formatted: str) -> list[Turn]:
 
 
 def _same(a: str, b: str) -> int:
-    return len(os.path.commonprefix([a, b]))
+    """Length of the common prefix, by halving: slices are compared at the speed of memory."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:
+        middle = (low + high) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle
+    return low
 
 
 def incremental(turns: list[Turn], template: Callable[[list[Turn]], str] = render) -> tuple[str, list[tuple[int, int]], bool]:
@@ -79,9 +93,11 @@ def incremental(turns: list[Turn], template: Callable[[list[Turn]], str] = rende
 OUT = "conv_id long, formatted string, spans array<struct<role:string,start:int,end:int>>, rewrites boolean"
 
 
-def format_conversations(rows: DataFrame, template: Callable[[list[Turn]], str] = render) -> DataFrame:
+def format_conversations(rows: DataFrame, template: Callable[[list[Turn]], str] = frame, prepare: Callable[[str], str] = escape) -> DataFrame:
     """Per conversation: conv_id, formatted, the text span of each turn with its role, and rewrites.
 
+    ``prepare`` is applied once to each role and text before the template sees them, so that prefixes are rendered without escaping again.
+
     Rows are sorted within partitions and streamed; one conversation is held at a time.
     """
     spark = rows.sparkSession
@@ -94,7 +110,7 @@ def format_conversations(rows: DataFrame, template: Callable[[list[Turn]], str]
         conv, held, out = None, [], []
 
         def done():
-            text, spans, rewrites = incremental(held, template)
+            text, spans, rewrites = incremental([(prepare(r), prepare(t)) for r, t in held], template)
             out.append({"conv_id": conv, "formatted": text, "spans": [{"role": r, "start": a, "end": b} for (r, _), (a, b) in zip(held, spans, strict=True)], "rewrites": rewrites})
 
         for batch in batches:
