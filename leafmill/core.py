@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,7 +74,22 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: a cut in the lineage that survives lost executors."""
     path = work_folder(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _folders[id(out)] = weakref.ref(out), path
+    return out
+
+
+_folders: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that stored() wrote. Nothing that is still to run may read them."""
+    for df in tables:
+        found, path = _folders.pop(id(df), (lambda: None, ""))
+        if found() is df:
+            jvm = df.sparkSession._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
