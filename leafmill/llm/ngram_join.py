@@ -12,7 +12,9 @@ Matrix. Every block is compared inside. Two blocks are looked at again only if t
 different components: the overlap of each query set with the other block's token union bounds its Jaccard similarity with every
 member, and the block is opened for the queries that this bound lets through.
 
-No pair that links is lost, and no list of pairs of a group is ever made. Lineage is cut by tables in the shared folder.
+No pair that links is lost, and no list of pairs of a group is ever made. Lineage is cut by tables in the shared folder, which go
+when nothing needs them any more. Sets travel as compressed texts, of which the copies in a block cost little, and tokens are made again where they are
+compared: 64-bit tokens do not compress.
 
 Null and blank texts have an empty set, n_shingles 0, and are linked with nothing; their component_id is their own doc_id.
 Rows that repeat a doc_id are documents of their own; null doc_ids never become a component_id while another is there. An empty
@@ -38,6 +40,7 @@ WEAK = 3  # parts of fewer tokens say little
 BLOCK_SETS, BLOCK_TOKENS = 128, 1 << 18
 FLUSH = 1 << 20
 BITS = 1 << 24
+OPEN_BLOCKS = 8  # blocks whose token sets a task keeps while it compares pairs
 _K = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -73,7 +76,7 @@ def digest(tokens: np.ndarray) -> bytes:
 
 def _key(node: bytes) -> int:
     """The short name of a node, by which it is looked up before its full name is compared."""
-    return int.from_bytes(node[:8], "little", signed=True)
+    return int.from_bytes(node[:6], "little")
 
 
 @lru_cache
@@ -151,16 +154,35 @@ def _union(sets: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
 
 
-def _home(table: pa.Table, percent: int) -> pa.Table:
-    """Links inside one block: a row for the block with its nodes, their component labels, sizes and tokens."""
+def squeezed(texts: list[bytes]) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+
+
+def token_sets_of(lengths: list[int], packed: bytes, n: int) -> list[np.ndarray]:
+    """The token sets of texts that squeezed() made one."""
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(packed)
+    cuts = np.concatenate([[0], np.cumsum(lengths)])
+    return list(token_sets(pa.array([data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary()), n))
+
+
+def _home(table: pa.Table, n: int, percent: int) -> pa.Table:
+    """Links inside one block: a row for the block with its nodes, their component labels and texts."""
+    import zstandard
+
     lead = table["lead"][0].as_py()
-    seen: dict[bytes, np.ndarray] = {}
+    seen: dict[bytes, bytes] = {}
     keys: dict[bytes, int] = {}
     home: dict[bytes, bool] = {}
-    for node, key, tokens, at_home in zip(table["node"].to_pylist(), table["key"].to_pylist(), table["tokens"].to_pylist(), table["home"].to_pylist(), strict=True):
-        seen[node], keys[node], home[node] = np.frombuffer(tokens, np.uint64), key, at_home or home.get(node, False)
+    for node, key, text, at_home in zip(table["node"].to_pylist(), table["key"].to_pylist(), table["packed"].to_pylist(), table["home"].to_pylist(), strict=True):
+        seen[node], keys[node], home[node] = text, key, at_home or home.get(node, False)
     nodes = sorted(seen)
-    sets = [seen[x] for x in nodes]
+    open_text = zstandard.ZstdDecompressor().decompress
+    texts = [open_text(seen[x]) for x in nodes]
+    sets = list(token_sets(pa.array(texts, pa.binary()), n))
     flat, counts = np.unique(np.concatenate(sets), return_counts=True)
     sizes = np.array([len(s) for s in sets])
     link = _linked(overlaps(sets, sets, flat[counts > 1]), sizes, sizes, percent)
@@ -178,18 +200,13 @@ def _home(table: pa.Table, percent: int) -> pa.Table:
     row = {
         "sig": [table["sig"][0].as_py()], "chunk": [table["chunk"][0].as_py()],
         "nodes": [[nodes[i] for i in own]], "keys": [[keys[nodes[i]] for i in own]], "labels": [[nodes[label[i]] for i in own]],
-        "sizes": [[int(sizes[i]) for i in own]], "tokens": [b"".join(sets[i].tobytes() for i in own)],
+        "lengths": [[len(texts[i]) for i in own]], "packed": [squeezed([texts[i] for i in own])],
     }
     return pa.table(row, BLOCK)
 
 
-SETS = ["doc_id", "n", "node", "key", "part", "packed"]
-BLOCK = pa.schema([("sig", pa.int64()), ("chunk", pa.int32()), ("nodes", pa.list_(pa.binary())), ("keys", pa.list_(pa.int64())), ("labels", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("tokens", pa.binary())])
-BLOCK_DDL = "sig long, chunk int, nodes array<binary>, keys array<long>, labels array<binary>, sizes array<int>, tokens binary"
-
-
-def _block_sets(sizes: list[int], tokens: bytes) -> list[np.ndarray]:
-    return np.split(np.frombuffer(tokens, np.uint64), np.cumsum(sizes)[:-1])
+BLOCK = pa.schema([("sig", pa.int64()), ("chunk", pa.int32()), ("nodes", pa.list_(pa.binary())), ("keys", pa.list_(pa.int64())), ("labels", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int64())), ("packed", pa.binary())])
+BLOCK_DDL = "sig long, chunk int, nodes array<binary>, keys array<long>, labels array<binary>, lengths array<long>, packed binary"
 
 
 def compare_blocks(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
@@ -217,9 +234,11 @@ def connected(edges: DataFrame, what: str = "components") -> DataFrame:
         better = labels.join(near, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
         new = core.stored(better.join(jump, "root", "left").select("node", "old", F.least("root", "far").alias("root")), what)
+        core.dropped(labels)
         if new.filter("old <> root").isEmpty():
+            core.dropped(both)
             return new.select("node", "root")
-        labels = new.select("node", "root")
+        labels = new
 
 
 def _bits(rows: DataFrame, *columns: str) -> np.ndarray:
@@ -241,10 +260,20 @@ def join(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     core.bounded_batches(spark)
     texts = _texts(docs)
-    dealt = core.shuffle_partitions(spark)
+    dealt = min(16 * core.shuffle_partitions(spark), 1 << 15)  # ranges of fingerprints, so that one range stays small
 
-    def sets(batches):
-        """Document rows, and part fingerprints as packed rows: one for each of the ``dealt`` ranges of fingerprints."""
+    def nodes_of(batches):
+        for batch in batches:
+            counts, names = [], []
+            for tokens in token_sets(batch["text"], n):
+                counts.append(len(tokens))
+                names.append(digest(tokens) if len(tokens) else None)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts, pa.int64()), pa.array(names, pa.binary()), pa.array([x and _key(x) for x in names], pa.int64())], ["doc_id", "n", "node", "key"])
+
+    documents = core.stored(texts.mapInArrow(nodes_of, "doc_id long, n long, node binary, key long"), "sets")
+
+    def all_parts(batches):
+        """Part fingerprints as packed rows, one for each of the ``dealt`` ranges: of a fingerprint the low 6 bytes, as the range tells most of the rest, and the 6 bytes of its node's key."""
         seen: set[bytes] = set()
         held: list[np.ndarray] = []
         held_keys: list[np.ndarray] = []
@@ -253,45 +282,39 @@ def join(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
             sig, key = np.concatenate(held), np.concatenate(held_keys)
             part = ((sig >> np.uint64(32)) * np.uint64(dealt)) >> np.uint64(32)
             order = np.argsort(part, kind="stable")
-            both = np.stack([sig[order], key[order]], 1)
+            both = np.concatenate([x[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6] for x in (sig, key)], 1)
             cuts = np.searchsorted(part[order], np.arange(dealt + 1))
             rows = [k for k in range(dealt) if cuts[k + 1] > cuts[k]]
             held.clear()
             held_keys.clear()
-            return pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.int64()), pa.array(rows, pa.int32()), pa.array([both[cuts[k] : cuts[k + 1]].tobytes() for k in rows], pa.binary())], SETS)
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([both[cuts[k] : cuts[k + 1]].tobytes() for k in rows], pa.binary())], ["part", "packed"])
 
         size = 0
         for batch in batches:
-            counts, nodes = [], []
             for tokens in token_sets(batch["text"], n):
-                counts.append(len(tokens))
-                if not len(tokens):
-                    nodes.append(None)
+                if not len(tokens) or (name := digest(tokens)) in seen:
                     continue
-                nodes.append(name := digest(tokens))
-                if name not in seen:
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen.add(name)
-                    held.append(part_names(tokens, percent))
-                    held_keys.append(np.full(len(held[-1]), np.uint64(_key(name) % (1 << 64))))
-                    size += len(held[-1])
-                    if size > FLUSH:
-                        yield flush()
-                        size = 0
-            rows = len(counts)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array([x and _key(x) for x in nodes], pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], SETS)
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.add(name)
+                held.append(part_names(tokens, percent))
+                held_keys.append(np.full(len(held[-1]), np.uint64(_key(name))))
+                size += len(held[-1])
+                if size > FLUSH:
+                    yield flush()
+                    size = 0
         if held:
             yield flush()
 
-    both = core.stored(texts.mapInArrow(sets, "doc_id long, n long, node binary, key long, part int, packed binary"), "sets")
-    documents = both.filter("part is null").select("doc_id", "n", "node", "key")
-
     def shared_parts(table: pa.Table) -> pa.Table:
         """Of one range of fingerprints, those that two or more nodes have."""
-        pair = np.frombuffer(b"".join(table["packed"].to_pylist()), np.uint64).reshape(-1, 2)
-        order = np.lexsort((pair[:, 1], pair[:, 0]))
-        sig, key = pair[order, 0], pair[order, 1]
+        flat = np.frombuffer(b"".join(table["packed"].to_pylist()), np.uint8).reshape(-1, 12)
+        wide = np.zeros((2, len(flat), 8), np.uint8)
+        wide[0, :, :6], wide[1, :, :6] = flat[:, :6], flat[:, 6:]
+        sig, key = wide.view("<u8")[:, :, 0]
+        sig |= np.uint64(table["part"][0].as_py() << 48)
+        order = np.lexsort((key, sig))
+        sig, key = sig[order], key[order]
         fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])])
         sig, key = sig[fresh], key[fresh]
         heads = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
@@ -299,7 +322,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
         many = np.repeat(count > 1, count)
         return pa.table({"sig": sig[many].view(np.int64), "key": key[many].view(np.int64), "count": np.repeat(count, count)[many], "lead": key[np.repeat(heads, count)[many]].view(np.int64)})
 
-    parts = both.filter("part is not null").select("part", "packed").groupBy("part").applyInArrow(shared_parts, "sig long, key long, count long, lead long")
+    parts = texts.select("text").mapInArrow(all_parts, "part int, packed binary").groupBy("part").applyInArrow(shared_parts, "sig long, key long, count long, lead long")
     parts = core.stored(parts, "shared-parts")
 
     tops, _ = _classes(percent)
@@ -319,28 +342,31 @@ def join(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
             place = batch["place"].to_numpy(zero_copy_only=False)
             take = (place < 0) | ((bits.value[place // 64] >> (place % 64)) & 1 > 0)
             text = batch["text"].filter(pa.array(take))
-            found = [s for s in token_sets(text, n) if len(s)]
-            names = [digest(s) for s in found]
-            if names:
-                yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x in names], pa.int64()), pa.array(names, pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["key", "node", "tokens"])
+            names = [digest(s) if len(s) else None for s in token_sets(text, n)]
+            some = [(x, t) for x, t in zip(names, text.cast(pa.large_binary()).to_pylist(), strict=True) if x]
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x, _ in some], pa.int64()), pa.array([x for x, _ in some], pa.binary()), pa.array([squeezed([t]) for _, t in some], pa.binary())], ["key", "node", "packed"])
 
     sets_again = texts.select("text", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(bit).cast("long").alias("place"))
-    opened = sets_again.mapInArrow(open_sets, "key long, node binary, tokens binary")
-    blocks = members.join(opened, "key").groupBy("sig", "chunk").applyInArrow(lambda t: _home(t, percent), BLOCK_DDL)
+    opened = sets_again.mapInArrow(open_sets, "key long, node binary, packed binary")
+    blocks = members.join(opened, "key").groupBy("sig", "chunk").applyInArrow(lambda t: _home(t, n, percent), BLOCK_DDL)
     blocks = core.stored(blocks, "blocks")
+    core.dropped(members)
 
     inside = blocks.select("sig", "chunk", F.explode(F.arrays_zip("nodes", "keys", "labels")).alias("m")).select("sig", "chunk", F.col("m.nodes").alias("node"), F.col("m.keys").alias("key"), F.col("m.labels").alias("label"))
     # blocks of a group meet in its leader: components so far, so that only different ones are compared
     known = core.stored(connected(inside.filter("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v")), "inner").withColumnRenamed("root", "known"), "known")
     labelled = inside.join(known, "node", "left").select("key", "sig", "chunk", F.coalesce("known", "node").alias("label"))
     units = parts.select(F.col("sig").alias("shared"), "key").join(labelled, "key").groupBy("shared", "sig", "chunk").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    units = core.stored(units, "units")
+    units = units_stored = core.stored(units, "units")
+    core.dropped(parts)
     # only fingerprints that meet in several components matter
     open_parts = units.groupBy("shared").agg(F.min("low").alias("a"), F.max("high").alias("b")).filter("a <> b").select("shared")
     units = units.join(open_parts, "shared", "left_semi")
     other = units.select("shared", *[F.col(c).alias(f"{c}2") for c in ("sig", "chunk", "low", "high")])
     pairs = units.join(other, "shared").filter("(sig < sig2 or sig = sig2 and chunk < chunk2) and not (low = high and low2 = high2 and low = low2)").select("sig", "chunk", "sig2", "chunk2").distinct()
-    pairs = core.stored(pairs, "block-pairs")
+    pairs = pairs_stored = core.stored(pairs, "block-pairs")
+    core.dropped(units_stored)
     needed = _bits(pairs.select("sig", "chunk").union(pairs.select("sig2", "chunk2")), "sig", "chunk")
     needed = spark.sparkContext.broadcast(needed)
 
@@ -352,26 +378,36 @@ def join(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
         return pd.Series((needed.value[place // 64] >> (place % 64)) & 1 > 0)
 
     wanted_blocks = blocks.withColumn("place", F.pmod(F.xxhash64("sig", "chunk"), F.lit(BITS))).filter(is_needed("place"))
-    one = wanted_blocks.select("sig", "chunk", "labels", "sizes", "tokens")
-    second = wanted_blocks.select(*[F.col(c).alias(f"{c}2") for c in ("sig", "chunk", "labels", "sizes", "tokens")])
+    one = wanted_blocks.select("sig", "chunk", "labels", "lengths", "packed")
+    second = wanted_blocks.select(*[F.col(c).alias(f"{c}2") for c in ("sig", "chunk", "labels", "lengths", "packed")])
     pairs = pairs.join(one, ["sig", "chunk"]).join(second, ["sig2", "chunk2"])
 
     def across(batches):
+        opened: dict[bytes, list[np.ndarray]] = {}
+
+        def block(lengths, packed):
+            if packed not in opened:
+                while len(opened) >= OPEN_BLOCKS:
+                    del opened[next(iter(opened))]
+                opened[packed] = token_sets_of(lengths, packed, n)
+            return opened[packed]
+
         for batch in batches:
             found: set[tuple[bytes, bytes]] = set()
-            for la, na, ta, lb, nb, tb in zip(*(batch[c].to_pylist() for c in ("labels", "sizes", "tokens", "labels2", "sizes2", "tokens2")), strict=True):
-                for i, j in np.argwhere(compare_blocks(_block_sets(na, ta), _block_sets(nb, tb), percent)).tolist():
+            for la, na, ta, lb, nb, tb in zip(*(batch[c].to_pylist() for c in ("labels", "lengths", "packed", "labels2", "lengths2", "packed2")), strict=True):
+                for i, j in np.argwhere(compare_blocks(block(na, ta), block(nb, tb), percent)).tolist():
                     if la[i] != lb[j]:
                         found.add((la[i], lb[j]))
             if found:
                 u, v = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
 
-    links = pairs.select("labels", "sizes", "tokens", "labels2", "sizes2", "tokens2").mapInArrow(across, "u binary, v binary")
+    links = pairs.select("labels", "lengths", "packed", "labels2", "lengths2", "packed2").mapInArrow(across, "u binary, v binary")
     ends = known.select("node", "known")
     links = links.distinct().join(ends.select(F.col("node").alias("u"), F.col("known").alias("ku")), "u", "left").join(ends.select(F.col("node").alias("v"), F.col("known").alias("kv")), "v", "left")
     links = links.select(F.coalesce("ku", "u").alias("u"), F.coalesce("kv", "v").alias("v")).filter("u <> v")
     roots = connected(links, "links")
+    core.dropped(pairs_stored, blocks)
 
     first = documents.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(known, "node", "left").select("node", "least", F.coalesce("known", "node").alias("known"))
     first = first.join(roots.withColumnRenamed("node", "known"), "known", "left").select("node", "least", F.coalesce("root", "known").alias("root"))
