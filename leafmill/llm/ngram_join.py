@@ -38,7 +38,7 @@ PERCENT = 90
 RATIO = 1.37
 WEAK = 3  # parts of fewer tokens say little
 BLOCK_SETS, BLOCK_TOKENS = 128, 1 << 18
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 BITS = 1 << 24
 OPEN_BLOCKS = 8  # blocks whose token sets a task keeps while it compares pairs
 _K = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -154,25 +154,26 @@ def _union(sets: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
 
 
-def squeezed(texts: list[bytes]) -> bytes:
+@lru_cache
+def _zstd():
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+    return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
+def squeezed(texts: list[bytes]) -> bytes:
+    return _zstd()[0].compress(b"".join(texts))
 
 
 def token_sets_of(lengths: list[int], packed: bytes, n: int) -> list[np.ndarray]:
     """The token sets of texts that squeezed() made one."""
-    import zstandard
-
-    data = zstandard.ZstdDecompressor().decompress(packed)
+    data = _zstd()[1].decompress(packed)
     cuts = np.concatenate([[0], np.cumsum(lengths)])
     return list(token_sets(pa.array([data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary()), n))
 
 
 def _home(table: pa.Table, n: int, percent: int) -> pa.Table:
     """Links inside one block: a row for the block with its nodes, their component labels and texts."""
-    import zstandard
-
     lead = table["lead"][0].as_py()
     seen: dict[bytes, bytes] = {}
     keys: dict[bytes, int] = {}
@@ -180,8 +181,7 @@ def _home(table: pa.Table, n: int, percent: int) -> pa.Table:
     for node, key, text, at_home in zip(table["node"].to_pylist(), table["key"].to_pylist(), table["packed"].to_pylist(), table["home"].to_pylist(), strict=True):
         seen[node], keys[node], home[node] = text, key, at_home or home.get(node, False)
     nodes = sorted(seen)
-    open_text = zstandard.ZstdDecompressor().decompress
-    texts = [open_text(seen[x]) for x in nodes]
+    texts = [_zstd()[1].decompress(seen[x]) for x in nodes]
     sets = list(token_sets(pa.array(texts, pa.binary()), n))
     flat, counts = np.unique(np.concatenate(sets), return_counts=True)
     sizes = np.array([len(s) for s in sets])
@@ -202,6 +202,8 @@ def _home(table: pa.Table, n: int, percent: int) -> pa.Table:
         "nodes": [[nodes[i] for i in own]], "keys": [[keys[nodes[i]] for i in own]], "labels": [[nodes[label[i]] for i in own]],
         "lengths": [[len(texts[i]) for i in own]], "packed": [squeezed([texts[i] for i in own])],
     }
+    if len(flat) > BLOCK_TOKENS // 4:
+        core.release()
     return pa.table(row, BLOCK)
 
 
@@ -269,6 +271,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
                 counts.append(len(tokens))
                 names.append(digest(tokens) if len(tokens) else None)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts, pa.int64()), pa.array(names, pa.binary()), pa.array([x and _key(x) for x in names], pa.int64())], ["doc_id", "n", "node", "key"])
+        core.release()
 
     documents = core.stored(texts.mapInArrow(nodes_of, "doc_id long, n long, node binary, key long"), "sets")
 
@@ -294,7 +297,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
             for tokens in token_sets(batch["text"], n):
                 if not len(tokens) or (name := digest(tokens)) in seen:
                     continue
-                if len(seen) > 500_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 seen.add(name)
                 held.append(part_names(tokens, percent))
@@ -305,6 +308,8 @@ def join(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
                     size = 0
         if held:
             yield flush()
+        seen.clear()
+        core.release()
 
     def shared_parts(table: pa.Table) -> pa.Table:
         """Of one range of fingerprints, those that two or more nodes have."""
@@ -346,6 +351,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
             some = [(x, t) for x, t in zip(names, text.cast(pa.large_binary()).to_pylist(), strict=True) if x]
             if some:
                 yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x, _ in some], pa.int64()), pa.array([x for x, _ in some], pa.binary()), pa.array([squeezed([t]) for _, t in some], pa.binary())], ["key", "node", "packed"])
+        core.release()
 
     sets_again = texts.select("text", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(bit).cast("long").alias("place"))
     opened = sets_again.mapInArrow(open_sets, "key long, node binary, packed binary")
@@ -401,6 +407,8 @@ def join(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
             if found:
                 u, v = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
+        opened.clear()
+        core.release()
 
     links = pairs.select("labels", "lengths", "packed", "labels2", "lengths2", "packed2").mapInArrow(across, "u binary, v binary")
     ends = known.select("node", "known")
