@@ -36,7 +36,7 @@ from . import words
 
 PERCENT = 90
 RATIO = 1.37
-WEAK = 3  # parts of fewer tokens say little
+WEAK = 3  # parts of fewer tokens say little; sets leave them, or the smallest of them, out as far as their slack goes
 BLOCK_SETS, BLOCK_TOKENS = 128, 1 << 18
 FLUSH = 1 << 19
 BITS = 1 << 24
@@ -96,6 +96,8 @@ def _class_parts(c: int, percent: int):
     if (c, percent) not in _parts:
         tops, most = _classes(percent)
         slack = 2 if tops[c] >= 60 else 0
+        if 6 * most[c] > tops[c]:  # many small parts: more of them must be equal, so that more weak ones can be left out
+            slack = max(slack, most[c] // 4)
         m = most[c] + 1 + slack
         bounds = (((np.arange(1, m, dtype=np.uint64) << np.uint64(32)) + np.uint64(m - 1)) // np.uint64(m)) << np.uint64(32)
         _parts[c, percent] = bounds, words.mix(np.arange(m, dtype=np.uint64) + np.uint64(c << 32) + np.uint64(percent << 52)), slack
@@ -117,9 +119,9 @@ def part_names(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
             cuts = np.concatenate([[0], np.searchsorted(tokens, bounds), [size]])
             count = np.diff(cuts)
             sig = words.mix((sums[cuts[1:]] - sums[cuts[:-1]]) + names + count.astype(np.uint64) * _K[3])
-            strong = count >= WEAK
-            if len(count) - strong.sum() <= slack:
-                sig = sig[strong]
+            # linked sets have slack + 1 equal parts; the one that leaves out larger parts keeps one of these, and so does the other
+            least = next(w for w in range(WEAK, -1, -1) if (count < w).sum() <= slack)
+            sig = sig[count >= least]
             out.append((sig & ~np.uint64(127)) | np.uint64(k))
     return np.concatenate(out)
 
