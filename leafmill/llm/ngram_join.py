@@ -3,10 +3,14 @@
 Sets. A document's tokens are 64-bit hashes of its distinct word n-grams; equal sets are one node, named by a
 128-bit digest of its tokens.
 
-Groups. Two sets of at most L tokens that link differ in at most d = 2L(1-t)/(1+t) tokens. Tokens are dealt to d + 1 (+ slack)
-parts by hash, so linked sets have an equal part. Nodes that share the fingerprint of a part are similar; each node joins
-the group of its most shared part, and groups are split by hash into blocks of bounded size. Each block also holds the
-group's leader, so blocks of one group meet in the leader's component.
+Groups. Two sets of at most L tokens that link differ in at most d = 2L(1-t)/(1+t) tokens. Tokens are dealt to
+d + 1 + slack + late parts by hash, so linked sets have slack + late + 1 equal parts. A set leaves out up to ``slack`` of its
+smallest parts, then the ``late`` most frequent of the rest, ties by fingerprint. Both orders are of fingerprints, the same for
+all sets: of the equal parts, two sets together leave out at most slack in the first step and late in the second, and one is left.
+So passages that many documents share make no candidates unless they fill most of a document.
+Nodes that share the fingerprint of a part are similar; each node joins the group of its most shared part, and groups are split
+by hash, by their number of members, into blocks of bounded size. Each block also holds the group's leader, so blocks of one
+group meet in the leader's component.
 
 Matrix. Every block is compared inside. Two blocks are looked at again only if they share a part fingerprint and lie in
 different components: the overlap of each query set with the other block's token union bounds its Jaccard similarity with every
@@ -28,7 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import core
@@ -40,6 +44,7 @@ WEAK = 3  # parts of fewer tokens say little; sets leave them, or the smallest o
 BLOCK_SETS, BLOCK_TOKENS = 128, 1 << 18
 FLUSH = 1 << 19
 BITS = 1 << 24
+REGROUPED = 2  # rounds in which groups join the group that most of them share a fingerprint with
 OPEN_BLOCKS = 8  # blocks whose token sets a task keeps while it compares pairs
 _K = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -81,7 +86,7 @@ def _key(node: bytes) -> int:
 
 @lru_cache
 def _classes(percent: int) -> tuple[np.ndarray, tuple]:
-    """Upper sizes of the classes, and for each class its part bounds, part names and slack."""
+    """Upper sizes of the classes, and for each class the most tokens in which two linked sets differ."""
     tops = [0]
     while tops[-1] < 1 << 31:
         tops.append(max(tops[-1] + 1, int(tops[-1] * RATIO)))
@@ -92,13 +97,19 @@ def _classes(percent: int) -> tuple[np.ndarray, tuple]:
 _parts: dict[tuple[int, int], tuple] = {}
 
 
+def _spare(c: int, percent: int) -> tuple[int, int]:
+    """How many parts a set of class c leaves out: of its smallest, and of its most frequent."""
+    tops, most = _classes(percent)
+    slack = 2 if tops[c] >= 60 else 0
+    if 6 * most[c] > tops[c]:  # many small parts: more of them must be equal, so that more weak ones can be left out
+        slack = max(slack, most[c] // 4)
+    return slack, (most[c] + 3) // 4
+
+
 def _class_parts(c: int, percent: int):
     if (c, percent) not in _parts:
-        tops, most = _classes(percent)
-        slack = 2 if tops[c] >= 60 else 0
-        if 6 * most[c] > tops[c]:  # many small parts: more of them must be equal, so that more weak ones can be left out
-            slack = max(slack, most[c] // 4)
-        m = most[c] + 1 + slack
+        slack, late = _spare(c, percent)
+        m = _classes(percent)[1][c] + 1 + slack + late
         bounds = (((np.arange(1, m, dtype=np.uint64) << np.uint64(32)) + np.uint64(m - 1)) // np.uint64(m)) << np.uint64(32)
         _parts[c, percent] = bounds, words.mix(np.arange(m, dtype=np.uint64) + np.uint64(c << 32) + np.uint64(percent << 52)), slack
     return _parts[c, percent]
@@ -119,7 +130,7 @@ def part_names(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
             cuts = np.concatenate([[0], np.searchsorted(tokens, bounds), [size]])
             count = np.diff(cuts)
             sig = words.mix((sums[cuts[1:]] - sums[cuts[:-1]]) + names + count.astype(np.uint64) * _K[3])
-            # linked sets have slack + 1 equal parts; the one that leaves out larger parts keeps one of these, and so does the other
+            # of two linked sets, the one that leaves out larger parts keeps all but slack of the equal ones, and so does the other
             least = next(w for w in range(WEAK, -1, -1) if (count < w).sum() <= slack)
             sig = sig[count >= least]
             out.append((sig & ~np.uint64(127)) | np.uint64(k))
@@ -327,21 +338,40 @@ def join(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
         heads = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         count = np.diff(np.append(heads, len(sig)))
         many = np.repeat(count > 1, count)
-        return pa.table({"sig": sig[many].view(np.int64), "key": key[many].view(np.int64), "count": np.repeat(count, count)[many], "lead": key[np.repeat(heads, count)[many]].view(np.int64)})
+        return pa.table({"sig": sig[many].view(np.int64), "key": key[many].view(np.int64), "count": np.repeat(count, count)[many]})
+
+    parts = texts.select("text").mapInArrow(all_parts, "part int, packed binary").groupBy("part").applyInArrow(shared_parts, "sig long, key long, count long")
+    size_class = F.col("sig").bitwiseAND(F.lit(127))
+    tops, _ = _classes(percent)
+
+    def of_class(values):
+        return F.element_at(F.array(*[F.lit(v) for v in values]), (size_class + 1).cast("int"))
 
-    parts = texts.select("text").mapInArrow(all_parts, "part int, packed binary").groupBy("part").applyInArrow(shared_parts, "sig long, key long, count long, lead long")
+    # a fingerprint that one node has alone is rarer than all here, so the most frequent parts of a node are among these
+    by_count = Window.partitionBy("key", size_class).orderBy(F.desc("count"), "sig")
+    parts = parts.withColumn("place", F.row_number().over(by_count)).filter(F.col("place") > of_class(_spare(c, percent)[1] for c in range(len(tops)))).drop("place")
     parts = core.stored(parts, "shared-parts")
 
-    tops, _ = _classes(percent)
-    room = F.element_at(F.array(*[F.lit(max(2, min(BLOCK_SETS, BLOCK_TOKENS // int(t)))) for t in tops]), (F.col("sig").bitwiseAND(F.lit(127)) + 1).cast("int"))
-    best = parts.groupBy("key").agg(F.max(F.struct("count", "sig", "lead")).alias("b")).select("key", "b.*")
-    members = best.withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(7)), F.ceil(F.col("count") / room)).cast("int")).select("key", "sig", "chunk", "lead", F.lit(True).alias("home"))
+    room = of_class(max(2, min(BLOCK_SETS, BLOCK_TOKENS // int(t))) for t in tops)
+    best = core.stored(parts.groupBy("key").agg(F.max(F.struct("count", "sig")).alias("b")).select("key", "b.sig"), "best")
+    for _ in range(REGROUPED):
+        # a group joins the fingerprint that most groups share, of its own size class or above, so that sizes stay bounded by the class
+        held = parts.select(F.col("sig").alias("shared"), "key").join(best, "key").filter(F.col("shared").bitwiseAND(F.lit(127)) >= size_class).select("shared", "sig").distinct()
+        held = core.stored(held, "group-parts")
+        wide = core.stored(held.groupBy("shared").agg(F.count("*").alias("count")).filter("count > 1"), "wide-parts")
+        joined = held.join(wide, "shared").groupBy("sig").agg(F.max(F.struct("count", "shared")).alias("b")).select("sig", F.col("b.shared").alias("to"))
+        new = core.stored(best.join(joined, "sig", "left").select("key", F.coalesce("to", "sig").alias("sig")), "best")
+        core.dropped(best, held, wide)
+        best = new
+    groups = core.stored(best.groupBy("sig").agg(F.count("*").alias("count"), F.min("key").alias("lead")), "groups")
+    members = best.join(groups, "sig").withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(7)), F.ceil(F.col("count") / room)).cast("int")).select("key", "sig", "chunk", "lead", F.lit(True).alias("home"))
     members = core.stored(members.union(members.select(F.col("lead").alias("key"), "sig", "chunk", "lead", F.lit(False)).distinct()), "members")
 
     # Texts are read again for one document of each member. A bit map of fixed size keeps most others out; whatever it lets through falls out in the join.
     keyed = documents.filter("node is not null")
     wanted = keyed.join(members.select("key").distinct(), "key", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    core.dropped(best, groups)
     bits = spark.sparkContext.broadcast(_bits(wanted.filter("doc_id is not null"), "doc_id"))
 
     def open_sets(batches):
