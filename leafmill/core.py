@@ -110,5 +110,14 @@ def release() -> None:
         trim(0)
 
 
+def released(batches):
+    """``batches`` for a Python worker that gives unused memory back after each of them."""
+    for batch in batches:
+        yield batch
+        del batch
+        release()
+    release()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
