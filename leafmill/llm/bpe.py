@@ -19,7 +19,7 @@ import pyarrow as pa
 from . import words
 
 WORDS_KEPT = 1_200_000
-PIECES_KEPT = 800_000
+PIECES_KEPT = 400_000
 #: The tokenizer's own splitting pattern, for texts of ASCII and Latin-1 letters: a fixed value.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 #: Latin-1 letters besides ASCII, and ASCII that is not a control character or space.
@@ -42,13 +42,13 @@ class WordBPE:
         for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.last[k] = token.endswith(suffix)
         self.pieces: dict[str, bytes] = {}
-        self.known: dict[int, int] = {}  # word hash -> row in the two arrays below
         self._reset()
 
     def _reset(self) -> None:
-        self.known.clear()
+        self.names = np.zeros(0, np.uint64)  # word hashes, sorted, and the row of each in the two arrays below
+        self.rows = np.zeros(0, np.int32)
         self.start = np.zeros(WORDS_KEPT + 1, np.int64)
-        self.count = np.zeros(WORDS_KEPT + 1, np.int64)
+        self.count = np.zeros(WORDS_KEPT + 1, np.int32)
         self.pool = np.zeros(1 << 20, np.uint32)
         self.used = 0
 
@@ -92,14 +92,16 @@ class WordBPE:
         """The cache row of each word, after new words are encoded."""
         coded = pa.array(names).dictionary_encode()
         index, keys = coded.indices.to_numpy(), coded.dictionary.to_numpy()
-        get = self.known.get
-        rows = np.array([get(k, -1) for k in keys.tolist()], np.int64)
+        rows = np.full(len(keys), -1, np.int64)
+        if len(self.names):
+            at = np.minimum(np.searchsorted(self.names, keys), len(self.names) - 1)
+            rows = np.where(self.names[at] == keys, self.rows[at].astype(np.int64), -1)
         if (fresh := np.flatnonzero(rows < 0)).size:
-            if len(self.known) + len(fresh) > WORDS_KEPT:
+            if len(self.names) + len(fresh) > WORDS_KEPT:
                 self._reset()
                 fresh = np.arange(len(keys))
                 if len(fresh) > WORDS_KEPT:
-                    self.start, self.count = np.zeros(len(fresh) + 1, np.int64), np.zeros(len(fresh) + 1, np.int64)
+                    self.start, self.count = np.zeros(len(fresh) + 1, np.int64), np.zeros(len(fresh) + 1, np.int32)
             where = np.empty(len(keys), np.int64)
             where[index[::-1]] = np.arange(len(index) - 1, -1, -1)
             text = low.tobytes()
@@ -110,13 +112,16 @@ class WordBPE:
             while self.used + len(flat) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
             self.pool[self.used : self.used + len(flat)] = flat
-            base = len(self.known)
+            base = len(self.names)
             new = np.arange(base, base + len(fresh))
             self.start[new] = self.used + np.cumsum(n) - n
             self.count[new] = n
             self.used += len(flat)
-            self.known.update(zip(keys[fresh].tolist(), new.tolist(), strict=True))
             rows[fresh] = new
+            order = np.argsort(keys[fresh])
+            at = np.searchsorted(self.names, keys[fresh][order])
+            self.names = np.insert(self.names, at, keys[fresh][order])
+            self.rows = np.insert(self.rows, at, new[order].astype(np.int32))
         return rows[index]
 
     def encode(self, texts: pa.Array):
@@ -128,7 +133,7 @@ class WordBPE:
                 yield np.zeros(0, np.uint32), np.zeros(j - i, np.int64)
                 continue
             rows = self._rows(names, low, starts, ends)
-            n = self.count[rows]
+            n = self.count[rows].astype(np.int64)
             total = np.concatenate([[0], np.cumsum(n)])
             # gathers the ragged rows of the pool
             at = np.arange(total[-1]) + np.repeat(self.start[rows] - total[:-1], n)

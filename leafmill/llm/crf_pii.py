@@ -366,7 +366,7 @@ def report(docs: DataFrame) -> DataFrame:
     kinds = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
 
     def run(batches):
-        for batch in batches:
+        for batch in core.released(batches):
             found = find(batch["text"].to_pylist(), model.value)
             base = [joined(b) for b, _ in found]
             counts = [pa.array([sum(s[0] == k for s in b) for b, _ in found], pa.int64()) for k in KINDS]
@@ -384,7 +384,7 @@ def masked(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in core.released(batches):
             texts = batch.column(at).to_pylist()
             clean = [mask(t, spans) for t, (_, spans) in zip(texts, find(texts, model.value), strict=True)]
             columns = list(batch.columns)

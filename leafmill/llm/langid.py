@@ -124,7 +124,7 @@ def predictions(docs: DataFrame, classifier: Classifier, keep: tuple[str, ...] =
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema if f.name != "__text")
 
     def run(batches):
-        for batch in batches:
+        for batch in core.released(batches):
             found = [shared.value.predict(t) for t in batch["__text"].to_pylist()]
             lang, score, rejected = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*keep, "lang_pred", "score", "rejected"])

@@ -165,7 +165,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         held: _Row | None = None
-        for batch in batches:
+        for batch in core.released(batches):
             out: list[tuple] = []
             for doc_id, text, extra in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["extra"].to_pylist(), strict=True):
                 row = _Row(doc_id, text)

@@ -278,7 +278,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
     dealt = min(16 * core.shuffle_partitions(spark), 1 << 15)  # ranges of fingerprints, so that one range stays small
 
     def nodes_of(batches):
-        for batch in batches:
+        for batch in core.released(batches):
             counts, names = [], []
             for tokens in token_sets(batch["text"], n):
                 counts.append(len(tokens))
@@ -306,7 +306,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([both[cuts[k] : cuts[k + 1]].tobytes() for k in rows], pa.binary())], ["part", "packed"])
 
         size = 0
-        for batch in batches:
+        for batch in core.released(batches):
             for tokens in token_sets(batch["text"], n):
                 if not len(tokens) or (name := digest(tokens)) in seen:
                     continue
@@ -375,7 +375,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
     bits = spark.sparkContext.broadcast(_bits(wanted.filter("doc_id is not null"), "doc_id"))
 
     def open_sets(batches):
-        for batch in batches:
+        for batch in core.released(batches):
             place = batch["place"].to_numpy(zero_copy_only=False)
             take = (place < 0) | ((bits.value[place // 64] >> (place % 64)) & 1 > 0)
             text = batch["text"].filter(pa.array(take))
@@ -430,7 +430,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
                 opened[packed] = token_sets_of(lengths, packed, n)
             return opened[packed]
 
-        for batch in batches:
+        for batch in core.released(batches):
             found: set[tuple[bytes, bytes]] = set()
             for la, na, ta, lb, nb, tb in zip(*(batch[c].to_pylist() for c in ("labels", "lengths", "packed", "labels2", "lengths2", "packed2")), strict=True):
                 for i, j in np.argwhere(compare_blocks(block(na, ta), block(nb, tb), percent)).tolist():

@@ -131,7 +131,7 @@ def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int =
 
     def cut(batches):
         coder = bpe.encoder(bpe.vocabulary(vocabulary))
-        for batch in batches:
+        for batch in core.released(batches):
             row = 0
             for ids, n in coder.encode(batch["text"]):
                 ids = np.insert(ids, np.cumsum(n), end_id).astype("<u4")

@@ -175,7 +175,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = "word_bpe_49k.j
             return row
 
         size = 0
-        for batch in batches:
+        for batch in core.released(batches):
             row = 0
             names = batch["doc_id"].fill_null(_NO_ID).to_numpy(zero_copy_only=False)
             for ids, n in coder.encode(batch["text"]):
