@@ -6,7 +6,8 @@ without the rest of the text, and the order of paragraphs does not matter.
 
 The vector has two parts. Four 64-bit lanes are dense and decide equality. LEVELS x LANES 8-bit lanes are sparse: a paragraph has one
 non-zero lane, on level k for a share 2^-(k+1) of all paragraphs. Lanes that differ between two sums estimate how many paragraphs
-differ, and with both counts the Jaccard likeness. The last 32 bits count paragraphs.
+differ, and with both counts the Jaccard likeness. The top level has a share of 2^-31, so it is not full for any two texts that a row can
+hold. Written out, levels above the last one with a non-zero lane are left out. The last 32 bits count paragraphs.
 
 Null texts are empty texts; these have no paragraph and the zero fingerprint. Rows are ordered by descending doc_id, null last, rows of one
 doc_id by text. Equal texts have equal fingerprints. An empty table gives no rows.
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from .. import core
 
 LONGEST = 200
-DENSE, LEVELS, LANES = 4, 6, 32
+DENSE, LEVELS, LANES = 4, 32, 32
+#: Estimated paragraphs on a level by its lanes that differ, as far as a level is used.
+_APART = [-LANES * float(np.log1p(-k / LANES)) for k in range(LANES) if k < 0.8 * LANES]
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?"]] = True
 _GAP = np.zeros(256, bool)
@@ -81,12 +84,16 @@ class Sum:
             return Sum(self.dense + total, self.sparse + add, self.count + len(v)) if sign > 0 else Sum(self.dense - total, self.sparse - add, self.count - len(v))
 
     def hex(self) -> str:
-        return (self.dense.astype("<u8").tobytes() + self.sparse.tobytes() + self.count.to_bytes(4, "little")).hex()
+        used = np.flatnonzero(self.sparse)
+        levels = int(used[-1]) // LANES + 1 if len(used) else 0
+        return (self.dense.astype("<u8").tobytes() + self.sparse[: levels * LANES].tobytes() + self.count.to_bytes(4, "little")).hex()
 
 
 def from_hex(text: str) -> Sum:
     raw = bytes.fromhex(text)
-    return Sum(np.frombuffer(raw, "<u8", DENSE).astype(np.uint64), np.frombuffer(raw, np.uint8, LEVELS * LANES, 8 * DENSE).copy(), int.from_bytes(raw[-4:], "little"))
+    sparse = np.zeros(LEVELS * LANES, np.uint8)
+    sparse[: len(raw) - 8 * DENSE - 4] = np.frombuffer(raw[8 * DENSE : -4], np.uint8)
+    return Sum(np.frombuffer(raw, "<u8", DENSE).astype(np.uint64), sparse, int.from_bytes(raw[-4:], "little"))
 
 
 def likeness(a: Sum, b: Sum) -> float:
@@ -94,13 +101,11 @@ def likeness(a: Sum, b: Sum) -> float:
     if a.count == b.count and (a.dense == b.dense).all():
         return 1.0
     total = a.count + b.count
-    off = (a.sparse != b.sparse).reshape(LEVELS, LANES).sum(1)
+    off = (a.sparse != b.sparse).reshape(LEVELS, LANES).sum(1).tolist()
     apart, k = 0.0, LEVELS - 1
-    while k >= 0 and off[k] < 0.8 * LANES:
-        apart -= LANES * float(np.log1p(-off[k] / LANES))
+    while k >= 0 and off[k] < len(_APART):
+        apart += _APART[off[k]]
         k -= 1
-    if k == LEVELS - 1:
-        return 0.0
     apart = min(max(apart * 2 ** (k + 1), abs(a.count - b.count), 1), total)
     return (total - apart) / (total + apart)
 

@@ -2,9 +2,11 @@
 
 import hashlib
 import io
+import itertools
 import re
 import zipfile
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -187,6 +189,22 @@ def test_fingerprint_is_a_multiset():
     assert multiset_hash.from_hex(a.hex()).hex() == a.hex() and multiset_hash.likeness(a, b) == 1.0
 
 
+def test_likeness_of_long_texts(spark):
+    def exact(a, b):
+        x, y = (Counter(t[i:j] for i, j in itertools.pairwise([0, *multiset_hash.cuts(t.encode()).tolist()])) for t in (a, b))
+        return (x & y).total() / (x | y).total()
+
+    own = {k: "".join(f"line {j % (20_000 - k)} of text {k // 2}\n" for j in range(20_000)) for k in range(4)}
+    got = {r["doc_id"]: r for r in multiset_hash.fingerprints(spark.createDataFrame(list(own.items()), "doc_id long, text string")).collect()}
+    for k, text in own.items():
+        follow = own[(k - 1) % 4]
+        cut = len(text) // 3
+        assert abs(got[k]["near_edited"] - exact(text, text[: len(text) - cut] + follow[:cut])) < 0.15
+        assert abs(got[k]["near_next"] - exact(text, follow)) < 0.15
+    a, b = multiset_hash.fingerprint(own[0]), multiset_hash.from_hex(got[0]["fingerprint"])
+    assert a.hex() == b.hex() and multiset_hash.likeness(a, b) == 1.0
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "<|text|>"]), st.text(alphabet="\\<|/s>[INST]end turx\n", max_size=40)), max_size=5))
 def test_chat_round_trip(turns):
