@@ -37,6 +37,9 @@ ENDS = {
 }
 BORDER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "caption": {"table"}, "option": {"select", "datalist"}, "optgroup": {"select"}, "p": {"td", "th", "table", "button", "caption"}, "head": set(), "colgroup": {"table"}}
 
+#: Start tags that leave a head open; any other, and text, ends it.
+HEAD_MATTER = frozenset("base basefont bgsound link meta title noscript noframes style script template html head".split())
+
 _TAG = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.IGNORECASE)
@@ -57,7 +60,10 @@ def tree(html: str) -> Node:
 
     def add_text(raw: str) -> None:
         if raw:
-            stack[-1].children.append(unescape(raw))
+            text = unescape(raw)
+            if stack[-1].name == "head" and text.strip():
+                stack.pop()
+            stack[-1].children.append(text)
 
     def close(name: str, border: set[str]) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -86,6 +92,11 @@ def tree(html: str) -> Node:
             else:
                 close(name, {"table"} if name not in ("table", "body", "html") else set())
             continue
+        if stack[-1].name == "head":
+            if name in ("html", "head"):
+                continue
+            if name not in HEAD_MATTER:
+                stack.pop()
         # implied end tags: from the innermost open element outwards
         for k in range(len(stack) - 1, 0, -1):
             own = stack[k].name

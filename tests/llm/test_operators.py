@@ -111,6 +111,13 @@ def test_html():
     assert html_layout.render("<div>" * 20000 + "deep") == "deep"
 
 
+def test_html_head_without_end_tag():
+    for page in ("<html><head><title>T</title><h1>A</h1><p>Text", "<head><meta charset=x><html><head><link rel=x><style>no</style><script>no</script><h1>A</h1></head><p>Text", "<head><base href=x><template>no<p>no</template><noscript>no</noscript><body><h1>A</h1><div>Text</div>"):
+        assert html_layout.render(page) == "A\n\nText"
+    assert html_layout.render("<head><title>T</title> Text &amp; <b>more</b></head><p>x") == "Text & more\n\nx"
+    assert html_layout.render("<head> <title>T</title>\n</head>") == ""
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet="<>/abplitdrhe =\"'!-&;", max_size=80))
 def test_html_never_fails(s):
