@@ -1,6 +1,7 @@
 """Layout-aware text of HTML pages.
 
-A tree builder reads tags, supplies end tags that HTML lets authors leave out, and keeps raw text elements whole. Visibility rules leave out elements that
+A tree builder reads tags, supplies end tags that HTML lets authors leave out and rows around cells, moves what stands in a table outside its
+cells before the table, as browsers do, and keeps raw text elements whole. Visibility rules leave out elements that
 browsers do not show: head matter, scripts, styles, templates, form data lists, ``hidden`` and ``display:none`` or ``visibility:hidden`` styles. Everything
 else is text. Paragraphs and their like stand between blank lines, divisions and rows on lines of their own, list items after markers and
 indented by depth, and table cells are padded to columns. White space outside ``pre`` is collapsed.
@@ -37,6 +38,12 @@ ENDS = {
 }
 BORDER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "caption": {"table"}, "option": {"select", "datalist"}, "optgroup": {"select"}, "p": {"td", "th", "table", "button", "caption"}, "head": set(), "colgroup": {"table"}}
 
+#: Parts of tables, and the open elements that each may stand in; cells get a row.
+PARTS = {"td": ("tr", "thead", "tbody", "tfoot"), "th": ("tr", "thead", "tbody", "tfoot"), "tr": ("thead", "tbody", "tfoot"), "thead": (), "tbody": (), "tfoot": (), "caption": (), "colgroup": (), "col": ("colgroup",)}
+LOOSE = frozenset("table thead tbody tfoot tr".split())
+#: Start tags that stay where they are in a table.
+KEPT = frozenset(PARTS) | frozenset("script style template form".split())
+
 #: Start tags that leave a head open; any other, and text, ends it.
 HEAD_MATTER = frozenset("base basefont bgsound link meta title noscript noframes style script template html head".split())
 
@@ -57,18 +64,45 @@ def tree(html: str) -> Node:
     """The element tree; children are nodes and strings."""
     root = Node("#root", {})
     stack, at = [root], 0
+    # for each open element: the places of the nearest table around it, and of that table if no cell or caption lies between; 0 is none
+    scopes = [(0, 0)]
+
+    def push(node: Node) -> None:
+        table, loose = scopes[-1]
+        if node.name == "table":
+            table = loose = len(stack)
+        elif node.name == "template":
+            table = loose = 0
+        elif node.name in ("td", "th", "caption"):
+            loose = 0
+        stack.append(node)
+        scopes.append((table, loose))
+
+    def cut(k: int) -> None:
+        del stack[k:], scopes[k:]
+
+    def append(child: Node | str) -> None:
+        loose = scopes[-1][1]
+        if loose and stack[-1].name in LOOSE:
+            # before the table, which is the last child as long as it is open
+            stack[loose - 1].children.insert(-1, child)
+        else:
+            stack[-1].children.append(child)
 
     def add_text(raw: str) -> None:
         if raw:
             text = unescape(raw)
-            if stack[-1].name == "head" and text.strip():
-                stack.pop()
-            stack[-1].children.append(text)
+            if not text.strip():
+                stack[-1].children.append(text)
+                return
+            if stack[-1].name in ("head", "colgroup"):
+                cut(len(stack) - 1)
+            append(text)
 
     def close(name: str, border: set[str]) -> None:
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].name == name:
-                del stack[k:]
+                cut(k)
                 return
             if stack[k].name in border:
                 return
@@ -86,9 +120,9 @@ def tree(html: str) -> Node:
         name = m[2].lower()
         if m[1]:
             if name == "p" and not any(n.name == "p" for n in stack):
-                stack[-1].children.append(Node("p", {}))
+                append(Node("p", {}))
             elif name == "br":
-                stack[-1].children.append(Node("br", {}))
+                append(Node("br", {}))
             else:
                 close(name, {"table"} if name not in ("table", "body", "html") else set())
             continue
@@ -96,19 +130,39 @@ def tree(html: str) -> Node:
             if name in ("html", "head"):
                 continue
             if name not in HEAD_MATTER:
-                stack.pop()
+                cut(len(stack) - 1)
+        table, loose = scopes[-1]
+        if loose and name == "table":
+            cut(loose)
+        elif table and name in PARTS:
+            k = len(stack) - 1
+            while k > table and stack[k].name not in PARTS[name]:
+                k -= 1
+            cut(k + 1)
+            if name in ("td", "th") and stack[-1].name != "tr":
+                row = Node("tr", {})
+                stack[-1].children.append(row)
+                push(row)
+        elif stack[-1].name == "colgroup" and name != "template":
+            cut(len(stack) - 1)
         # implied end tags: from the innermost open element outwards
         for k in range(len(stack) - 1, 0, -1):
             own = stack[k].name
             if name in ENDS.get(own, ()):
                 between = {n.name for n in stack[k + 1 :]}
                 if not between & BORDER.get(own, set()):
-                    del stack[k:]
+                    cut(k)
             if own in ("table", "ul", "ol", "dl", "select") and own not in ENDS:
                 break
         attrs = {k.lower(): unescape(a or b or c) for k, a, b, c in _ATTR.findall(m[3])}
         node = Node(name, attrs)
-        stack[-1].children.append(node)
+        kept = name in KEPT or (name == "input" and attrs.get("type", "").lower() == "hidden")
+        if kept:
+            stack[-1].children.append(node)
+        else:
+            append(node)
+        if name == "form" and scopes[-1][1] and stack[-1].name in LOOSE:
+            continue  # a form in a table is empty
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}[\s/>]", re.IGNORECASE).search(html, at) if name != "plaintext" else None
             raw = html[at : end.start()] if end else html[at:]
@@ -117,9 +171,9 @@ def tree(html: str) -> Node:
             close_at = html.find(">", end.end() - 1) if end else -1
             at = close_at + 1 if close_at >= 0 else size
         elif name not in VOID and not m[3].endswith("/"):
-            stack.append(node)
-        elif name not in VOID and name in BLOCK:
-            stack.append(node)  # a slash closes nothing in HTML
+            push(node)
+        elif name not in VOID and (name in BLOCK or name in PARTS):
+            push(node)  # a slash closes nothing in HTML
     return root
 
 
@@ -258,7 +312,7 @@ def text_of(root: Node) -> str:
                     grid.insert(0, cells)
                     for cell in reversed(row):
                         todo += [("cell", cells), ("inner", cell, pre), ("open",)]
-                # what stands in a table outside its cells comes before it
+                # captions come before the rows
                 own = [c for c in node.children if (isinstance(c, str) and c.strip()) or (isinstance(c, Node) and c.name not in ("thead", "tbody", "tfoot", "tr"))]
                 todo += [("node", c, pre) for c in reversed(own)]
                 out.need(2)

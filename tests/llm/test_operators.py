@@ -118,6 +118,31 @@ def test_html_head_without_end_tag():
     assert html_layout.render("<head> <title>T</title>\n</head>") == ""
 
 
+def test_html_text_in_tables_outside_cells():
+    for page, want in (
+        ("<table><tr>note<td>a</tr><tr><td>b</table>", "note\n\na\nb"),
+        ("<table><tr><p>note</p><td>a<td>b</table>end", "note\n\na | b\n\nend"),
+        ("<table><tbody>one <b>two</b><tr><td>a</table>", "one two\n\na"),
+        ("<table><tr><form><td>x</td></form></tr><tr><td>y</table>", "x\ny"),
+        ("<table><tr><font><td>x</td></font><td>z</tr><tr><center><a href=u><td>y</td></a></center></tr></table>", "x | z\ny"),
+        ("<table><tr>only</tr><tr><td>a</table>", "only\n\na"),
+        ("<table><tbody><td>a<td>b<tr><td>c</table>", "a | b\nc"),
+        ("<table><td>a<tr><td>b <b>c<td>d</table>", "a\nb c | d"),
+        ("<table><caption>cap<tr><td>a<table><tr>in<td>b</table></table>", "cap\n\nain\n\nb"),
+        ("<table><tr><td>a</td></tr><table><tr><td>b</table>", "a\n\nb"),
+        ("<table><colgroup><col>note<tr><td/>a<td>b</table>", "note\n\na | b"),
+    ):
+        assert html_layout.render(page) == want, page
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("<table> </table> <tr> </tr> <td> </td> <th> <tbody> </tbody> <thead> <caption> </caption> <colgroup> <col> <p> </p> <div> </div> <b> </b> <form> </form> <ul> <li> </ul> <br> <head> </head> <body> <input> text text text".split()), max_size=25))
+def test_html_emits_every_visible_text(parts):
+    words = [f"w{k}." for k, x in enumerate(parts) if x == "text"]
+    page = "".join(f"w{k}." if x == "text" else x for k, x in enumerate(parts))
+    assert sorted(re.findall(r"w[0-9]+\.", html_layout.render(page))) == sorted(words)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet="<>/abplitdrhe =\"'!-&;", max_size=80))
 def test_html_never_fails(s):
