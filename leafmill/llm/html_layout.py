@@ -2,7 +2,8 @@
 
 A tree builder reads tags, supplies end tags that HTML lets authors leave out and rows around cells, moves what stands in a table outside its
 cells before the table, as browsers do, and keeps raw text elements whole. Visibility rules leave out elements that
-browsers do not show: head matter, scripts, styles, templates, form data lists, ``hidden`` and ``display:none`` or ``visibility:hidden`` styles. Everything
+browsers do not show: head matter, scripts, styles, templates, form data lists, embedded media, annotations and phantoms in MathML, titles, descriptions, metadata and
+definitions in SVG (what ``use`` draws of these is not followed), ``hidden`` and ``display:none`` or ``visibility:hidden`` styles. Everything
 else is text. Paragraphs and their like stand between blank lines, divisions and rows on lines of their own, list items after markers and
 indented by depth, and table cells are padded to columns. White space outside ``pre`` is collapsed.
 
@@ -25,7 +26,7 @@ from .. import core
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript plaintext".split())
 DECODED = frozenset("textarea title".split())
-HIDDEN = frozenset("head title script style template noscript noembed noframes iframe datalist object audio video canvas svg math param source track".split())
+HIDDEN = frozenset("head title script style template noscript noembed noframes iframe datalist object audio video canvas param source track".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr".split())
 BLOCK = SPACED | frozenset("html body div section article aside nav header footer main address form fieldset legend figcaption details summary li dt dd tr caption thead tbody tfoot center dialog menu option optgroup".split())
 #: An open element that ends when one of these begins, unless a border lies between.
@@ -38,6 +39,11 @@ ENDS = {
 }
 BORDER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "caption": {"table"}, "option": {"select", "datalist"}, "optgroup": {"select"}, "p": {"td", "th", "table", "button", "caption"}, "head": set(), "colgroup": {"table"}}
 
+#: What is not shown in SVG and MathML.
+FOREIGN_HIDDEN = frozenset("annotation annotation-xml mphantom defs metadata title desc symbol clippath mask marker pattern".split())
+#: Elements of SVG and MathML that hold HTML again, and HTML elements that end SVG and MathML.
+POINTS = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: Parts of tables, and the open elements that each may stand in; cells get a row.
 PARTS = {"td": ("tr", "thead", "tbody", "tfoot"), "th": ("tr", "thead", "tbody", "tfoot"), "tr": ("thead", "tbody", "tfoot"), "thead": (), "tbody": (), "tfoot": (), "caption": (), "colgroup": (), "col": ("colgroup",)}
 LOOSE = frozenset("table thead tbody tfoot tr".split())
@@ -54,29 +60,34 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "name")
+    __slots__ = ("attrs", "children", "foreign", "name")
 
-    def __init__(self, name: str, attrs: dict[str, str]):
-        self.name, self.attrs, self.children = name, attrs, []
+    def __init__(self, name: str, attrs: dict[str, str], foreign: bool = False):
+        self.name, self.attrs, self.children, self.foreign = name, attrs, [], foreign
 
 
 def tree(html: str) -> Node:
     """The element tree; children are nodes and strings."""
     root = Node("#root", {})
     stack, at = [root], 0
-    # for each open element: the places of the nearest table around it, and of that table if no cell or caption lies between; 0 is none
-    scopes = [(0, 0)]
+    # for each open element: the places of the nearest table around it, and of that table if no cell or caption lies between,
+    # and of the outermost element of the SVG or MathML it is in; 0 is none
+    scopes = [(0, 0, 0)]
 
     def push(node: Node) -> None:
-        table, loose = scopes[-1]
+        table, loose, foreign = scopes[-1]
         if node.name == "table":
             table = loose = len(stack)
         elif node.name == "template":
             table = loose = 0
         elif node.name in ("td", "th", "caption"):
             loose = 0
+        if node.name in ("svg", "math"):
+            foreign = foreign or len(stack)
+        elif node.name in POINTS:
+            foreign = 0
         stack.append(node)
-        scopes.append((table, loose))
+        scopes.append((table, loose, foreign))
 
     def cut(k: int) -> None:
         del stack[k:], scopes[k:]
@@ -116,6 +127,10 @@ def tree(html: str) -> Node:
         add_text(html[at : m.start()])
         at = m.end()
         if m[2] is None:
+            if scopes[-1][2] and m[0].startswith("<![CDATA["):
+                end = html.find("]]>", m.start())
+                at = end + 3 if end >= 0 else size
+                append(html[m.start() + 9 : end if end >= 0 else size])
             continue
         name = m[2].lower()
         if m[1]:
@@ -131,7 +146,9 @@ def tree(html: str) -> Node:
                 continue
             if name not in HEAD_MATTER:
                 cut(len(stack) - 1)
-        table, loose = scopes[-1]
+        if scopes[-1][2] and name in BREAKOUT:
+            cut(scopes[-1][2])
+        table, loose, _ = scopes[-1]
         if loose and name == "table":
             cut(loose)
         elif table and name in PARTS:
@@ -155,7 +172,8 @@ def tree(html: str) -> Node:
             if own in ("table", "ul", "ol", "dl", "select") and own not in ENDS:
                 break
         attrs = {k.lower(): unescape(a or b or c) for k, a, b, c in _ATTR.findall(m[3])}
-        node = Node(name, attrs)
+        foreign = scopes[-1][2] > 0
+        node = Node(name, attrs, foreign)
         kept = name in KEPT or (name == "input" and attrs.get("type", "").lower() == "hidden")
         if kept:
             stack[-1].children.append(node)
@@ -163,6 +181,8 @@ def tree(html: str) -> Node:
             append(node)
         if name == "form" and scopes[-1][1] and stack[-1].name in LOOSE:
             continue  # a form in a table is empty
+        if foreign and m[3].endswith("/"):
+            continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}[\s/>]", re.IGNORECASE).search(html, at) if name != "plaintext" else None
             raw = html[at : end.start()] if end else html[at:]
@@ -178,6 +198,8 @@ def tree(html: str) -> Node:
 
 
 def visible(node: Node) -> bool:
+    if node.foreign and (node.name in FOREIGN_HIDDEN or node.attrs.get("display") == "none" or node.attrs.get("visibility") == "hidden"):
+        return False
     return not (node.name in HIDDEN or "hidden" in node.attrs or (node.name == "input" and node.attrs.get("type", "").lower() == "hidden") or ("style" in node.attrs and _UNSEEN.search(node.attrs["style"])))
 
 
@@ -317,7 +339,9 @@ def text_of(root: Node) -> str:
                 todo += [("node", c, pre) for c in reversed(own)]
                 out.need(2)
                 continue
-            gap = 0 if item[0] == "inner" else 2 if name in SPACED and not (name in ("ul", "ol") and lists) else 1 if name in BLOCK else 0
+            gap = 0 if item[0] == "inner" else 2 if name in SPACED and not (name in ("ul", "ol") and lists) else 1 if name in BLOCK or (node.foreign and name in ("text", "mtr")) else 0
+            if node.foreign and name == "mtd":
+                out.space = True
             if gap:
                 out.need(gap)
                 todo.append(("need", gap))

@@ -143,6 +143,19 @@ def test_html_emits_every_visible_text(parts):
     assert sorted(re.findall(r"w[0-9]+\.", html_layout.render(page))) == sorted(words)
 
 
+def test_html_formulas_and_drawings():
+    for page, want in (
+        ("<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then", "if x=2 then"),
+        ("<math><semantics><mi>x</mi><annotation>no</annotation><annotation-xml><mi>no</mi></annotation-xml></semantics></math>y", "xy"),
+        ("<svg><title>no</title><desc>no <b>no</b></desc><metadata>no</metadata><defs><text>no</text></defs><text x=1>A</text><text>B &amp; <tspan>C</tspan></text></svg>", "A\nB & C"),
+        ("<svg><title/><style/><script/><path d=x /><text><![CDATA[a<b>]]></text><foreignObject><p>in</p></foreignObject></svg><p>after", "a<b>\n\nin\n\nafter"),
+        ("<svg><defs><text>no<p>after", "after"),
+        ("<math><mtable><mtr><mtd>1<mtd>2</mtd></mtr><mtr><mtd>3</mtd></mtr></mtable></math>", "1 2\n3"),
+        ("<defs>shown</defs><svg hidden><text>no</text></svg>", "shown"),
+    ):
+        assert html_layout.render(page) == want, page
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet="<>/abplitdrhe =\"'!-&;", max_size=80))
 def test_html_never_fails(s):
