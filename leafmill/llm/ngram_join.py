@@ -270,8 +270,24 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _mark():
+    """Rows of one doc_id are told apart by a hash of their text."""
+    return F.unhex(F.sha2(F.col("text").cast("string"), 256))
+
+
 def join(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
+    documents, nodes = _components(docs, n, percent)
+    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = nodes.select("node", "root").join(least, "root").select("node", "component_id")
+    return documents.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _components(docs: DataFrame, n: int, percent: int, marked: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A row (doc_id, n, node) for each document, and (node, least, root) for each node: its least doc_id and its component.
+
+    When ``marked``, documents have a mark, and nodes their ``best`` document too.
+    """
     spark = docs.sparkSession
     core.bounded_batches(spark)
     texts = _texts(docs)
@@ -283,10 +299,12 @@ def join(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
             for tokens in token_sets(batch["text"], n):
                 counts.append(len(tokens))
                 names.append(digest(tokens) if len(tokens) else None)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts, pa.int64()), pa.array(names, pa.binary()), pa.array([x and _key(x) for x in names], pa.int64())], ["doc_id", "n", "node", "key"])
+            rest = ["mark"] if marked else []
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts, pa.int64()), pa.array(names, pa.binary()), pa.array([x and _key(x) for x in names], pa.int64()), *[batch[c] for c in rest]], ["doc_id", "n", "node", "key", *rest])
         core.release()
 
-    documents = core.stored(texts.mapInArrow(nodes_of, "doc_id long, n long, node binary, key long"), "sets")
+    rows = texts.withColumn("mark", _mark()) if marked else texts
+    documents = core.stored(rows.mapInArrow(nodes_of, "doc_id long, n long, node binary, key long" + ", mark binary" * marked), "sets")
 
     def all_parts(batches):
         """Part fingerprints as packed rows, one for each of the ``dealt`` ranges: of a fingerprint the low 6 bytes, as the range tells most of the rest, and the 6 bytes of its node's key."""
@@ -449,15 +467,39 @@ def join(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
     roots = connected(links, "links")
     core.dropped(pairs_stored, blocks)
 
-    first = documents.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(known, "node", "left").select("node", "least", F.coalesce("known", "node").alias("known"))
-    first = first.join(roots.withColumnRenamed("node", "known"), "known", "left").select("node", "least", F.coalesce("root", "known").alias("root"))
-    first = core.stored(first, "nodes")
-    least = first.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = first.select("node", "root").join(least, "root").select("node", "component_id")
-    return documents.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    best_of = [F.min(_place()).alias("best")] if marked else []
+    more = ["best"] if marked else []
+    first = documents.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), *best_of).join(known, "node", "left").select("node", "least", *more, F.coalesce("known", "node").alias("known"))
+    first = first.join(roots.withColumnRenamed("node", "known"), "known", "left").select("node", "least", *more, F.coalesce("root", "known").alias("root"))
+    return documents, core.stored(first, "nodes")
+
+
+def _place():
+    """Documents of a component in order: by doc_id, null last, then by mark."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
 
 
 def representatives(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component: the one with the least doc_id. Documents without words and those without doc_id stay."""
-    losers = join(docs, n, percent).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(losers, "doc_id", "left_anti")
+    """``docs`` with one row of each component: one with the least doc_id, null last. Documents without words stay.
+
+    Rows are told apart by doc_id and text; of rows that repeat both, the one whose columns come first stays.
+    """
+    documents, nodes = _components(docs, n, percent, marked=True)
+    best = nodes.groupBy("root").agg(F.min("best").alias("best"))
+    named = nodes.select("node", "root").join(best, "root").select("node", "best")
+    rows = documents.join(named, "node").groupBy("doc_id", "mark").agg(F.min(_place() == F.col("best")).alias("stays"), F.count("*").alias("count"))
+    rows = core.stored(rows.filter("not stays or count > 1"), "told")
+    mark = next(f"mark{k}" for k in range(len(docs.columns) + 1) if f"mark{k}" not in docs.columns)
+    marked = docs.withColumn(mark, _mark()).alias("docs")
+
+    def among(some: DataFrame, how: str) -> DataFrame:
+        same = (F.col(f"docs.{mark}") == F.col("told.mark")) & F.col("docs.doc_id").cast("long").eqNullSafe(F.col("told.doc_id"))
+        return marked.join(some.select("doc_id", "mark").alias("told"), same, how)
+
+    single = among(rows, "left_anti").select(*docs.columns)
+    again = rows.filter("stays")
+    if again.isEmpty():
+        return single
+    order = Window.partitionBy("doc_id", mark).orderBy(F.to_json(F.struct(*docs.columns)))
+    one = among(again, "left_semi").withColumn(mark, F.row_number().over(order)).filter(F.col(mark) == 1)
+    return single.union(one.select(*docs.columns))

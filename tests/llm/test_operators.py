@@ -98,6 +98,21 @@ def test_join(spark, odd, empty):
     assert ngram_join.join(empty).collect() == []
 
 
+def test_one_row_of_each_component(spark, odd, empty):
+    got = ngram_join.representatives(odd)
+    assert got.columns == odd.columns
+    assert sorted((tuple(r)[:5] for r in got.collect()), key=repr) == sorted((r for r in ODD if r != ODD[1]), key=repr)
+    # repeated rows, rows of one id, rows without id, and components that share their least id
+    same, near, other = "a b c d e f g h i j", "a b c d e f g h i J", "k l m n o p q r s t"
+    rows = [(1, same, "z"), (1, same, "y"), (1, same, "y"), (1, near, "x"), (1, other, "x"), (2, other, "w"), (None, same, "v"), (None, "u v w", "v"), (None, "u v w", "v"), (3, None, "u"), (3, None, "u")]
+    got = ngram_join.representatives(spark.createDataFrame(rows, "doc_id long, text string, mark0 string")).collect()
+    kept = [tuple(r) for r in got]
+    ones = [r for r in kept if r[:2] in ((1, same), (1, near))]
+    assert len(ones) == 1 and ones[0][2] in "xy"
+    assert sorted((r for r in kept if r not in ones), key=repr) == sorted([(1, other, "x"), (None, "u v w", "v"), (3, None, "u"), (3, None, "u")], key=repr)
+    assert ngram_join.representatives(empty).collect() == []
+
+
 def test_blocks_are_opened_by_bound_only():
     a, b = [np.arange(0, 100, dtype=np.uint64)], [np.arange(5, 105, dtype=np.uint64), np.arange(1000, 1100, dtype=np.uint64)]
     assert ngram_join.compare_blocks(a, b, 90).tolist() == [[True, False]]
