@@ -1,39 +1,31 @@
 """Words of Arrow text columns as numpy arrays, without a Python object per word.
 
 A word is ``[^\\x20\\x09-\\x0D]+`` of the UTF-8 text; only A-Z change when lowered.
-Words are named by 64-bit hashes: a polynomial over random 64-bit byte values, taken
-from prefix sums, then mixed. The values are fixed by a seed, so every process of every
-run agrees.
+Words are named by 64 bits. A word of up to seven bytes has a name of its own: its bytes and length, mixed by a bijection. Longer words go through two lanes of
+mixed eight-byte blocks, words over LONG bytes through BLAKE2b. Names of different words can be equal by chance only, once in 2^64 pairs; who must be
+sure compares bytes with same(). Constants are fixed, so every process of every run agrees.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 20  # bytes of text that are hashed together
-_rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BACK = pow(_BASE, -1, 2**64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+LONG = 64
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _grow(n: int) -> None:
-    if len(_powers[0]) < n:
-        n = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, _BACK)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
+_LANE = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+#: Masks of the first 0 to 8 bytes of a little-endian block.
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """The splitmix64 finaliser."""
+    """The splitmix64 finaliser, a bijection."""
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
@@ -61,28 +53,86 @@ def chunks(offsets: np.ndarray):
         i = min(j, n)
 
 
-def scan(data: np.ndarray, offsets: np.ndarray, i: int, j: int):
-    """Of rows i to j: lowered bytes, start and end of each word in them, word hashes, and the first word of each row."""
-    raw = data[offsets[i] : offsets[j]]
+def blocks(raw: np.ndarray) -> np.ndarray:
+    """For every place in ``raw`` the eight bytes from it on as one number; bytes after the end are 0. ``raw`` must own 8 bytes after its end, as padded() gives."""
+    return np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))
+
+
+def padded(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(raw) + 8, np.uint8)
+    out[: len(raw)] = raw
+    return out
+
+
+def names_of(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Names of the words at [starts, ends) of a padded text."""
+    at = blocks(text)
+    size = ends - starts
+    first = at[starts] & _MASK[np.minimum(size, 8)]
+    with np.errstate(over="ignore"):
+        names = mix(first | (np.minimum(size, 8).astype(np.uint64) << np.uint64(56)))  # of eight bytes or more it is made anew
+        long = np.flatnonzero(size > 7)
+        if len(long):
+            a = mix(first[long] ^ (size[long].astype(np.uint64) * _LANE[0]))
+            b = mix(first[long] + (size[long].astype(np.uint64) ^ _LANE[1]))
+            pos, left, own = starts[long] + 8, size[long] - 8, np.arange(len(long))
+            done = (left <= 0) | (size[long] > LONG)
+            while True:
+                own = own[~done]
+                if not len(own):
+                    break
+                pos, left = pos[~done], left[~done]
+                block = at[pos] & _MASK[np.minimum(left, 8)]
+                x, y = a[own], b[own]
+                a[own] = mix((x ^ block) * _LANE[2] + y)
+                b[own] = mix(y + (block * _LANE[0] ^ (x >> np.uint64(17))))
+                pos, left = pos + 8, left - 8
+                done = left <= 0
+            names[long] = mix(a ^ (b * _LANE[1]))
+            data = memoryview(text)
+            for k in np.flatnonzero(size > LONG).tolist():
+                names[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return names
+
+
+def same(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the size[k] bytes of the padded text a at a_at[k] and of b at b_at[k] are equal."""
+    out = np.ones(len(size), bool)
+    x, y = blocks(a), blocks(b)
+    long = size > LONG
+    own, done = np.arange(len(size)), 0
+    own = own[~long]
+    while len(own):
+        mask = _MASK[np.clip(size[own] - done, 0, 8)]
+        out[own] &= ((x[a_at[own] + done] ^ y[b_at[own] + done]) & mask) == 0
+        done += 8
+        own = own[size[own] > done]
+    for k in np.flatnonzero(long).tolist():
+        out[k] = np.array_equal(a[a_at[k] : a_at[k] + size[k]], b[b_at[k] : b_at[k] + size[k]])
+    return out
+
+
+def spans(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word of rows that touch each other; cuts: where each row begins, and the end of the last."""
     n = len(raw)
-    _grow(n + 1)
-    low = LOWER[raw]
     inside = np.empty(n + 2, bool)
     inside[0] = inside[-1] = False
-    np.logical_not(_SPACE[raw], out=inside[1:-1])
+    np.logical_not(SPACE[raw], out=inside[1:-1])
     edge = inside[1:] != inside[:-1]
-    cuts = offsets[i : j + 1] - offsets[i]
-    # rows touch each other: a row's first byte starts a word even after a word
+    # a row's first byte starts a word even after a word
     inner = cuts[(cuts > 0) & (cuts < n)]
     starts = edge & inside[1:]
     ends = edge & inside[:-1]
     touch = inner[inside[1:-1][inner] & inside[1:-1][inner - 1]]
     starts[touch] = True
     ends[touch] = True
-    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    with np.errstate(over="ignore"):
-        np.cumsum(_BYTE[low] * _powers[0][:n], out=sums[1:])
-        names = mix((sums[ends] - sums[starts]) * _powers[1][starts])
-    return low, starts, ends, names, np.searchsorted(starts, cuts)
+    return np.flatnonzero(starts), np.flatnonzero(ends)
+
+
+def scan(data: np.ndarray, offsets: np.ndarray, i: int, j: int):
+    """Of rows i to j: padded lowered bytes, start and end of each word in them, word names, and the first word of each row."""
+    raw = data[offsets[i] : offsets[j]]
+    cuts = offsets[i : j + 1] - offsets[i]
+    text = padded(LOWER[raw])
+    starts, ends = spans(raw, cuts)
+    return text, starts, ends, names_of(text, starts, ends), np.searchsorted(starts, cuts)

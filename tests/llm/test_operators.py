@@ -10,12 +10,13 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from leafmill import core
-from leafmill.llm import bpe, chat, crf_pii, html_layout, langid, media, mixing, multiset_hash, ngram_join, packing, repair_ids
+from leafmill.llm import bpe, chat, crf_pii, html_layout, langid, media, mixing, multiset_hash, ngram_join, packing, repair_ids, words
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -187,10 +188,57 @@ def test_language(docs, odd, empty):
     assert langid.predictions(empty, langid.train(empty)).collect() == []
 
 
-def test_token_ids(spark, docs, odd, empty):
+@pytest.fixture(scope="module")
+def library():
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(bpe.vocabulary())
+    return Tokenizer.from_file(bpe.vocabulary())
+
+
+def same_ids(coder, library, texts):
+    got = [x.tolist() for ids, n in coder.encode(pa.array(texts, pa.string())) for x in np.split(ids, np.cumsum(n)[:-1])]
+    want = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    return got == want
+
+
+def thue_morse(size):
+    t, turn = "a", str.maketrans("ab", "ba")
+    while len(t) < size:
+        t += t.translate(turn)
+    return t, t.translate(turn)
+
+
+def test_encoder_gives_the_tokenizers_ids(library):
+    coder = bpe.WordBPE(bpe.vocabulary())
+    one, other = thue_morse(4096)
+    assert same_ids(coder, library, [one, other, f"{one} {other}", None, "", "<|ENDOFTEXT|> a", "<|endoftext|> a", "x<|startoftext|>y <|StartOfText|>", "<|endoftext|", "a<|endoftext|>B", "don't DON'T 'S", "ÀÞß×÷ÿ ÀB1²", "a" * 70_000])
+    rng = np.random.default_rng(4)
+    signs = [*"aB \n\téÉßẞİΣςﬁ日本ا१2Ⅷ😀'_-Å\u0301\u00a0\x85\x1c\u2003\u200b\x00\ufeffſǅ×÷", "'RE", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<", "|"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 30))) for _ in range(4000)]
+    texts += ["".join(chr(c) for c in rng.integers(1, 0x3000, 30)) for _ in range(1000)] + ["".join(chr(c) for c in rng.integers(0xAC00, 0xD7A3, 20)) for _ in range(200)]
+    assert same_ids(coder, library, texts)
+
+
+def test_encoder_with_equal_names_and_a_full_cache(library, monkeypatch):
+    texts = [f"word{k} Word{k} other{k % 7} é{k}" for k in range(400)]
+    monkeypatch.setattr(bpe, "UNITS_KEPT", 50)
+    assert same_ids(bpe.WordBPE(bpe.vocabulary()), library, texts)
+    monkeypatch.setattr(words, "names_of", lambda text, starts, ends: (ends - starts).astype(np.uint64))
+    coder = bpe.WordBPE(bpe.vocabulary())
+    assert same_ids(coder, library, texts) and same_ids(coder, library, texts[::-1])
+
+
+def test_word_names():
+    one, other = thue_morse(4096)
+    texts = [one, other, one[:64], other[:64], "a", "b", "aa", "A", "", "abcdefg", "abcdefgh", "abcdefg\0", "a b", "x" * 65, "x" * 66]
+    data, offsets = words.buffers(pa.array(texts, pa.string()))
+    text, starts, ends, names, first = words.scan(data, offsets, 0, len(texts))
+    spelt = [bytes(text[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    assert spelt == [w.lower().encode() for t in texts for w in WORD.findall(t)]
+    assert len(set(names.tolist())) == len(set(spelt)) and np.diff(first).tolist() == [len(WORD.findall(t)) for t in texts]
+
+
+def test_token_ids(spark, library, docs, odd, empty):
     for rows, small in ((docs, 3000), (odd, 50)):
         manifest = repair_ids.write_shards(rows, core.work_folder(spark, "t"), shard_ids=small)
         got = sorted((tuple(r) for r in repair_ids.read_shards(manifest).collect()), key=lambda r: r[1])
