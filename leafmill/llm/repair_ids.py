@@ -1,8 +1,8 @@
 """Token ids as grammar-compressed shards (Re-Pair), with random access by document.
 
 Each shard holds the ids of a run of documents in ascending doc_id order. Frequent adjacent pairs
-are replaced by new symbols, round after round; a pair never reaches over the end of a document. The
-file keeps the rules, the expansion length of every rule, the symbols, and for each document its id,
+are replaced by new symbols, round after round, until no pair is frequent or no symbol is left; a pair never reaches over the end of a document. Symbols
+take two bytes, or four with a vocabulary that leaves no room in two. The file keeps the rules, the expansion length of every rule, the symbols, and for each document its id,
 first symbol and number of ids, so a document is decoded without the rest of the shard.
 
 Null texts are empty documents: they hold the end id alone. Rows that share a doc_id follow each other by
@@ -26,34 +26,44 @@ from . import bpe, files
 
 MAGIC = b"LMRP0001"
 SHARD_IDS = 2_000_000
-ROUNDS = 4
 RULES_A_ROUND = 4000
 LEAST_COUNT = 12
 _SLOTS = 1 << 20
 _NO_ID = -(2**63)
 
 
+def symbol_bytes(base: int) -> int:
+    """Two bytes hold a symbol where they leave room for rules beside the vocabulary, else four do."""
+    return 2 if base + RULES_A_ROUND <= 1 << 16 else 4
+
+
 def _slot(keys: np.ndarray) -> np.ndarray:
-    return ((keys * np.uint32(2654435761)) >> np.uint32(12)).astype(np.int32)
+    if keys.dtype == np.uint32:
+        return ((keys * np.uint32(2654435761)) >> np.uint32(12)).astype(np.int32)
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS):
+def compress(ids: np.ndarray, ends: np.ndarray, base: int):
     """Re-Pair of one shard. ends: of each document, the index after its last id.
 
-    Returns symbols, the symbol index after each document's last symbol, and rules as pairs of symbols; rule k is symbol base + k.
-    Symbols stay below 65536, so that two bytes hold each.
+    Returns symbols, the symbol index after each document's last symbol, and rules as pairs of symbols; rule k is symbol base + k. Rounds go on until
+    no pair is there LEAST_COUNT times, or no symbol is left for rules.
     """
+    narrow = symbol_bytes(base) == 2
+    kind, half = (np.uint32, np.uint32(16)) if narrow else (np.uint64, np.uint64(32))
+    most = (1 << 16 if narrow else 1 << 31) - base
     seq = ids.astype(np.uint32)
     final = np.zeros(len(seq), bool)
     final[ends[ends > 0] - 1] = True
-    rules = np.zeros((0, 2), np.uint32)
-    for _ in range(rounds):
-        room = min(RULES_A_ROUND, 65536 - base - len(rules))
-        if len(seq) < 2 or room < 1:
-            break
-        keys = (seq[:-1] << np.uint32(16)) | seq[1:]
+    rules: list[np.ndarray] = []
+    made = 0
+    while len(seq) > 1 and made < most:
+        keys = (seq[:-1].astype(kind) << half) | seq[1:].astype(kind)
+        slots = _slot(keys)
         usable = ~final[:-1]
-        ordered = np.sort(keys[usable])
+        # a pair's slot holds no less than the pair itself: rare ones are not counted one by one
+        busy = np.bincount(slots[usable], minlength=_SLOTS) >= LEAST_COUNT
+        ordered = np.sort(keys[usable & busy[slots]])
         if not len(ordered):
             break
         heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
@@ -61,69 +71,80 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS)
         good = np.flatnonzero(counts >= LEAST_COUNT)
         if not len(good):
             break
-        good = good[np.argsort(-counts[good], kind="stable")[:room]]
+        good = good[np.argsort(-counts[good], kind="stable")[: min(RULES_A_ROUND, most - made)]]
         chosen = ordered[heads[good]]
         # of pairs that share a slot of the lookup table, the most frequent is taken in this round
-        slots = _slot(chosen)
-        _, firsts = np.unique(slots, return_index=True)
+        _, firsts = np.unique(_slot(chosen), return_index=True)
         chosen = chosen[np.sort(firsts)]
         table = np.full(_SLOTS, -1, np.int32)
         table[_slot(chosen)] = np.arange(len(chosen), dtype=np.int32)
-        rule = table[_slot(keys)]
-        hit = (rule >= 0) & usable
-        hit[hit] = chosen[rule[hit]] == keys[hit]
+        at = np.flatnonzero((table[slots] >= 0) & usable)
+        rule = table[slots[at]]
+        right = chosen[rule] == keys[at]
+        at, rule = at[right], rule[right]
         # of hits that overlap, every second one from the left
-        at = np.flatnonzero(hit)
         new_run = np.concatenate([[True], np.diff(at) > 1])
         run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - run_start) % 2 == 0]
-        first = base + len(rules)
-        seq[at] = (first + rule[at]).astype(np.uint32)
+        take = (np.arange(len(at)) - run_start) % 2 == 0
+        at, rule = at[take], rule[take]
+        seq[at] = (base + made + rule).astype(np.uint32)
         final[at] = final[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, final = seq[keep], final[keep]
-        rules = np.vstack([rules, np.stack([chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)], 1)])
-    return seq, np.flatnonzero(final) + 1, rules
+        rules.append(np.stack([chosen >> half, chosen & ((kind(1) << half) - kind(1))], 1).astype(np.uint32))
+        made += len(chosen)
+    return seq, np.flatnonzero(final) + 1, np.concatenate([np.zeros((0, 2), np.uint32), *rules])
+
+
+def _generations(rules: np.ndarray, base: int):
+    """Runs (first, end) of rules that only name symbols before the run."""
+    newest = np.maximum.accumulate(rules.max(1)).astype(np.int64) - base if len(rules) else np.zeros(0, np.int64)
+    done = 0
+    while done < len(rules):
+        end = int(np.searchsorted(newest, done, "left"))
+        yield done, end
+        done = end
+
+
+def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
+    """Number of ids that each rule stands for."""
+    lengths = np.ones(len(rules), np.uint32)
+    for a, b in _generations(rules, base):
+        own = rules[a:b].astype(np.int64)
+        lengths[a:b] = np.where(own >= base, lengths[np.maximum(own - base, 0)], 1).sum(1)
+    return lengths
 
 
 def expansions(rules: np.ndarray, lengths: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """A pool with the ids of every rule, and the start of each rule in it."""
     starts = np.concatenate([[0], np.cumsum(lengths.astype(np.int64))])
     pool = np.zeros(int(starts[-1]), np.uint32)
-    for k, (a, b) in enumerate(rules.tolist()):
-        at = int(starts[k])
-        for s in (a, b):
-            if s < base:
-                pool[at] = s
-                at += 1
-            else:
-                n = int(lengths[s - base])
-                pool[at : at + n] = pool[starts[s - base] : starts[s - base] + n]
-                at += n
+    for a, b in _generations(rules, base):
+        pool[starts[a] : starts[b]] = expand(rules[a:b].ravel(), lengths, pool, starts, base)
     return pool, starts[:-1]
 
 
 def expand(seq: np.ndarray, lengths: np.ndarray, pool: np.ndarray, starts: np.ndarray, base: int) -> np.ndarray:
     """The ids that symbols stand for."""
     seq = seq.astype(np.int64)
-    rule = seq >= base
+    rule = np.flatnonzero(seq >= base)
     n = np.ones(len(seq), np.int64)
     n[rule] = lengths[seq[rule] - base]
-    src = seq.copy()  # the pool is read as if the plain ids lay before it
-    src[rule] = starts[seq[rule] - base] + base
     total = np.cumsum(n)
-    at = np.arange(total[-1] if len(total) else 0) + np.repeat(src - (total - n), n)
-    return np.concatenate([np.arange(base, dtype=np.uint32), pool])[at]
+    out = np.repeat(seq.astype(np.uint32), n)
+    # where rules stand, their ids are gathered from the pool
+    size = n[rule]
+    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(total[rule] - size, size) + within] = pool[np.repeat(starts[seq[rule] - base], size) + within]
+    return out
 
 
 def shard_bytes(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, base: int) -> list[bytes]:
     """A shard file: magic, header, then the arrays that the header lists."""
     seq, symbol_ends, rules = compress(ids, np.cumsum(counts), base)
-    lengths = np.ones(len(rules), np.uint32)
-    for k, (a, b) in enumerate(rules.tolist()):
-        lengths[k] = (lengths[a - base] if a >= base else 1) + (lengths[b - base] if b >= base else 1)
-    arrays = {"doc_ids": doc_ids.astype("<i8"), "counts": counts.astype("<i8"), "symbol_ends": symbol_ends.astype("<i8"), "rules": rules.astype("<u2"), "lengths": lengths.astype("<u4"), "symbols": seq.astype("<u2")}
+    symbol = f"<u{symbol_bytes(base)}"
+    arrays = {"doc_ids": doc_ids.astype("<i8"), "counts": counts.astype("<i8"), "symbol_ends": symbol_ends.astype("<i8"), "rules": rules.astype(symbol), "lengths": rule_lengths(rules, base).astype("<u4"), "symbols": seq.astype(symbol)}
     header = json.dumps({"base": base, "arrays": [[k, v.dtype.str, v.size] for k, v in arrays.items()]}).encode()
     return [MAGIC, struct.pack("<I", len(header)), header, *(v.tobytes() for v in arrays.values())]
 

@@ -220,10 +220,11 @@ def test_encoder_gives_the_tokenizers_ids(library):
 
 
 def test_encoder_with_equal_names_and_a_full_cache(library, monkeypatch):
-    texts = [f"word{k} Word{k} other{k % 7} é{k}" for k in range(400)]
+    texts = [f"longword{chr(97 + k % 26)}{chr(97 + k // 26)} Longword{k} otherlong{k % 7} é{k} don't{k}" for k in range(400)]
     monkeypatch.setattr(bpe, "UNITS_KEPT", 50)
     assert same_ids(bpe.WordBPE(bpe.vocabulary()), library, texts)
-    monkeypatch.setattr(words, "names_of", lambda text, starts, ends: (ends - starts).astype(np.uint64))
+    names_of = words.names_of
+    monkeypatch.setattr(words, "names_of", lambda text, starts, ends: np.where(ends - starts > 7, ends - starts, names_of(text, starts, ends)).astype(np.uint64))
     coder = bpe.WordBPE(bpe.vocabulary())
     assert same_ids(coder, library, texts) and same_ids(coder, library, texts[::-1])
 
@@ -260,6 +261,22 @@ def test_grammar_round_trip(lists):
     assert [repair_ids.document(shard, k).tolist() for k in range(len(docs))] == docs
 
 
+@pytest.mark.parametrize("base", [50, 61_000, 65_536, 200_000, 1 << 30])
+def test_grammar_of_any_vocabulary(base):
+    rng = np.random.default_rng(base)
+    passage = rng.integers(max(0, base - 500), base, 300).astype(np.uint32)
+    docs = [np.concatenate([passage[rng.integers(0, 40) :], rng.integers(0, base, 20).astype(np.uint32), [1]]).astype(np.uint32) for _ in range(60)]
+    ids, counts = np.concatenate(docs), np.array([len(x) for x in docs])
+    seq, ends, rules = repair_ids.compress(ids, np.cumsum(counts), base)
+    # no frequent pair is left within documents, and rules only name symbols before them
+    inner = np.setdiff1d(np.arange(len(seq) - 1), ends - 1)
+    assert Counter(zip(seq[inner].tolist(), seq[inner + 1].tolist(), strict=True)).most_common(1)[0][1] < 2 * repair_ids.LEAST_COUNT
+    assert (rules < base + np.arange(len(rules))[:, None]).all() and len(seq) < 0.4 * len(ids)
+    shard = repair_ids.open_shard(b"".join(repair_ids.shard_bytes(np.arange(60), counts, ids, base)))
+    assert all((repair_ids.document(shard, k) == docs[k]).all() for k in range(60))
+    assert (repair_ids.expand(shard["symbols"], shard["lengths"], shard["pool"], shard["starts"], base) == ids).all()
+
+
 def test_mixing(docs, odd, empty):
     got = mixing.mix(docs).toPandas()
     by = got.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"), size=("size", "sum"))
