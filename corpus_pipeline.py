@@ -13,8 +13,7 @@ from leafmill.llm import crf_pii, langid, mixing, ngram_join, packing
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told by compression; those that it rejects go. The label column is not changed."""
-    found = langid.predictions(docs, langid.train(docs), keep=tuple(docs.columns))
-    return found.filter("not rejected").select(*docs.columns)
+    return langid.accepted(docs, langid.train(docs))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
