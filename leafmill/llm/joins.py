@@ -1,0 +1,35 @@
+"""Joins with tables that have one row for each key, where a key may hold a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .. import core
+
+#: Tables of at most so many short rows are broadcast: a few MB.
+SMALL = 20_000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with ``table``, which has one short row for each value of ``on``.
+
+    Values that hold more than a quarter of a task's equal share of the rows are at most four for each task: their rows of
+    ``table`` are broadcast, so their rows stay where they are. All other values are dealt by hash. Rows without a value are not dealt at all. Both
+    tables should be stored ones, as they are read more than once.
+    """
+    if table.limit(SMALL + 1).count() <= SMALL:
+        return rows.join(F.broadcast(table), on, how)
+    there = rows.filter(F.col(on).isNotNull())
+    by = there.groupBy(on).agg(F.count("*").alias("rows_"))
+    tasks = core.shuffle_partitions(rows.sparkSession)
+    total = there.count()
+    hot = core.stored(by.filter(F.col("rows_") > max(total // (4 * tasks), 1)).select(on), "hot-keys")  # at most 4 * tasks rows
+    columns = [*rows.columns, *(c for c in table.columns if c != on)]
+    frequent = there.join(F.broadcast(table.join(F.broadcast(hot), on, "left_semi")), on, "inner" if how == "inner" else "left").join(F.broadcast(hot), on, "left_semi")
+    others = there.join(F.broadcast(hot), on, "left_anti").join(table, on, how)
+    out = frequent.select(*columns).union(others.select(*columns))
+    if how == "left":
+        none = rows.filter(F.col(on).isNull()).select(*rows.columns, *(F.lit(None).cast(table.schema[c].dataType).alias(c) for c in table.columns if c != on))
+        out = out.union(none.select(*columns))
+    return out

@@ -29,7 +29,7 @@ def op4_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(core.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    return mixing.mix(core.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "expected", "copies", "cut")
 
 
 def op6_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from leafmill import core
-from leafmill.llm import bpe, chat, crf_pii, html_layout, langid, media, mixing, multiset_hash, ngram_join, packing, repair_ids, words
+from leafmill.llm import bpe, chat, crf_pii, html_layout, joins, langid, media, mixing, multiset_hash, ngram_join, packing, repair_ids, words
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -296,20 +296,102 @@ def test_grammar_of_any_vocabulary(base):
     assert (repair_ids.expand(shard["symbols"], shard["lengths"], shard["pool"], shard["starts"], base) == ids).all()
 
 
-def test_mixing(docs, odd, empty):
+def brute_mix(rows, most=2.0, share=1.5, weights=(5, 2, 1), near=0.01):
+    """Targets, expected copies and the draw, in plain Python, from the ranks that the operator gives to rows (source, size, place, ...)."""
+    sources = sorted({r["source"] for r in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(r["size"] for r in rows if r["source"] == s) for s in sources}
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(sources)}
+    low, high = 0.0, 1e12
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(most * total[s], weight[s] * level) for s in sources) < share * sum(total.values()) else (low, level)
+    target = {s: min(most * total[s], weight[s] * high) for s in sources}
+    out = []
+    for s in sources:
+        own = [r for r in rows if r["source"] == s]
+        low, high = 0.0, 1e6
+        for _ in range(200):
+            level = (low + high) / 2
+            low, high = (level, high) if sum(min(most, level * (r["size"] + 1) ** 0.25) * r["size"] for r in own) < target[s] else (low, level)
+        out.append((s, total[s], target[s], level))
+    return out
+
+
+def test_mixing(spark, docs, odd, empty):
     got = mixing.mix(docs).toPandas()
-    by = got.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"), size=("size", "sum"))
-    weight = pd.Series([(5, 2, 1)[k % 3] for k in range(len(by))], sorted(by.index)).reindex(by.index)
-    assert abs(by.target.sum() - 1.5 * by["size"].sum()) < 1e-3 and (by.target <= 2 * by["size"] + 1e-6).all()
-    level = (by.target / weight)[by.target < 2 * by["size"] - 1e-6]
-    assert np.allclose(level, level.iloc[0]) and (2 * by["size"] / weight <= level.iloc[0] + 1e-6)[by.target >= 2 * by["size"] - 1e-6].all()
-    assert (abs(by.taken - by.target) <= 1).all() and (got.taken <= 2 * got["size"]).all()
-    again = mixing.mix(docs).toPandas()
+    want = brute_mix(got.to_dict("records"))
+    for source, total, target, level in want:
+        own = got[got.source == source]
+        assert (own.source_size == total).all() and np.allclose(own.target, target)
+        if target < 2 * total - 1e-6:
+            assert np.allclose(own.expected, np.minimum(2, level * (own["size"] + 1) ** 0.25), rtol=1e-6)
+            assert own.expected.nunique() > 1
+        else:
+            assert (own.copies == 2).all()
+        # whole copies and at most one more; the words come near the target
+        assert ((own.copies == np.floor(own.expected)) | (own.copies == np.floor(own.expected) + 1)).all() and (own.cut > 0).sum() <= 1
+        assert abs(own.taken.sum() - target) <= max(1, 0.01 * target)
+    assert (got.taken <= 2 * got["size"]).all() and (got.taken == got.copies * got["size"] + got.cut).all()
+    again = mixing.mix(docs.repartition(5)).toPandas()
     assert got.sort_values("doc_id").taken.tolist() == again.sort_values("doc_id").taken.tolist()
-    assert mixing.mix(odd).count() == len(ODD) and mixing.mix(empty).collect() == []
     out = mixing.mixed(docs).toPandas()
-    assert sorted(out.columns) == sorted(docs.columns)
-    assert out.text.map(lambda t: len(WORD.findall(t))).sum() == got.taken.sum()
+    assert out.columns.tolist() == docs.columns
+    assert out.text.map(lambda t: len(WORD.findall(t))).sum() == got.taken.sum() and (out.groupby("doc_id").size().reindex(got[got.copies + (got.cut > 0) > 0].doc_id) == (got.copies + (got.cut > 0))[got.copies + (got.cut > 0) > 0].to_numpy()).all()
+    assert mixing.mix(odd).count() == len(ODD) and mixing.mix(empty).collect() == [] == mixing.mixed(empty).collect()
+    assert mixing.mixed(odd).schema == odd.schema
+    assert mixing.mixed(odd).agg({"key": "min"}).first()[0] == "x"
+
+
+def test_mixing_takes_the_least_ranks(spark):
+    """Of each source the drawn documents are those of least rank, until the words are reached; repeated rows are taken as often as needed."""
+    rng = np.random.default_rng(8)
+    rows = [(k, "w " * int(rng.integers(1, 60)), f"s{k % 3}") for k in range(300)] + [(900, "a b c d", "s9")] * 20 + [(901, "x y", None)] * 3 + [(902, None, "s0"), (903, "only", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    base, plan = mixing._plan(docs, mixing.WEIGHTS, 1.5, 2.0, 17, mixing.NEAR, mixing.by_length)
+    found = mixing._decided(base, plan, 2.0, 17, mixing.by_length).toPandas()
+    mixed_rows = Counter((r["doc_id"], r["source"]) for r in mixing.mixed(docs).collect())
+    for key, own in found.groupby("key"):
+        target = own.target.iloc[0]
+        missing = target - (own.whole * own["size"]).sum()
+        drawn = own[(own.copies > own.whole) | (own.cut > 0)]
+        other = own[~own.index.isin(drawn.index) & own.place.notna()]
+        if len(drawn) and len(other):
+            assert drawn.place.max() <= other.place.min() or len(own.place.unique()) < len(own)
+        words = ((own.copies - own.whole) * own["size"] + own.cut).sum()
+        assert words >= 0 and abs(words - missing) <= max(1, 0.01 * target), key
+        assert sum(n for (d, s), n in mixed_rows.items() if (f"={s}" if s else "") == key) == own.copies.sum() + (own.cut > 0).sum()
+
+
+def test_mixing_inclusion_rates(spark):
+    """Over many seeds, documents are taken as often as expected: longer ones more often."""
+    rng = np.random.default_rng(2)
+    rows = [(k, "w " * int(n), "a") for k, n in enumerate(rng.choice([10, 100, 1000], 240))] + [(1000 + k, "w " * 50, "b") for k in range(2000)]
+    docs = core.stored(spark.createDataFrame(rows, "doc_id long, text string, source string"), "t")
+    taken, seeds = 0, 6
+    for seed in range(seeds):
+        one = mixing.mix(docs, weights=(1, 4), share=0.8, seed=seed).toPandas().sort_values("doc_id")
+        taken = taken + one.copies.to_numpy()
+    by = one.assign(rate=taken / seeds).query("source == 'a'").groupby("size").agg(rate=("rate", "mean"), expected=("expected", "first"))
+    assert by.expected.is_monotonic_increasing and by.expected.iloc[0] < 0.7 * by.expected.iloc[-1] and (abs(by.rate - by.expected) < 0.1).all()
+
+
+def test_mixing_in_cells(spark, docs, monkeypatch):
+    """The border is the same however fine the cells in which it is looked for, and if sources are many."""
+    want = sorted(map(tuple, mixing.mix(docs).collect()))
+    for rows_sorted, rows_a_cell, small in ((5, 2, 20_000), (1, 1, 0)):
+        monkeypatch.setattr(mixing, "ROWS_SORTED", rows_sorted)
+        monkeypatch.setattr(mixing, "ROWS_A_CELL", rows_a_cell)
+        monkeypatch.setattr(joins, "SMALL", small)
+        assert sorted(map(tuple, mixing.mix(docs).collect())) == want
+
+
+def test_join_with_a_frequent_key(spark, monkeypatch):
+    monkeypatch.setattr(joins, "SMALL", 0)
+    rows = core.stored(spark.createDataFrame([(k, "hot" if k % 2 else f"k{k % 17}" if k % 5 else None) for k in range(500)], "v long, k string"), "t")
+    table = core.stored(spark.createDataFrame([("hot", 1), ("k2", 2), ("k4", 3), ("unused", 4)], "k string, n long"), "t")
+    for how in ("inner", "left"):
+        want = rows.join(table, "k", how).select("v", "k", "n").collect()
+        assert sorted(map(repr, joins.looked_up(rows, table, "k", how).select("v", "k", "n").collect())) == sorted(map(repr, want))
 
 
 def test_fingerprints(docs, odd, empty):
