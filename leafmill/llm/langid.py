@@ -24,7 +24,7 @@ from pyspark.sql import types as S
 from .. import core
 
 BLOCK = 1024
-PER_LANGUAGE = 400
+PER_LANGUAGE = 150
 CHARACTERS = 4 << 20
 #: A text is rejected if the second language needs less than this share more.
 MARGIN = 0.003
