@@ -16,7 +16,8 @@ Matrix. Every block is compared inside. Two blocks are looked at again only if t
 different components: the overlap of each query set with the other block's token union bounds its Jaccard similarity with every
 member, and the block is opened for the queries that this bound lets through.
 
-No pair that links is lost, and no list of pairs of a group is ever made. Lineage is cut by tables in the shared folder, which go
+No pair that links is lost at any threshold, and no list of pairs of a group of documents is ever made; blocks that share a fingerprint in different components are
+paired, and those pairs grow with the square of such blocks. Fingerprints, nodes and components that hold a large share of all rows are split. Lineage is cut by tables in the shared folder, which go
 when nothing needs them any more. Sets travel as compressed texts, of which the copies in a block cost little, and tokens are made again where they are
 compared: 64-bit tokens do not compress.
 
@@ -36,15 +37,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import core
-from . import words
+from . import joins, words
 
 PERCENT = 90
-RATIO = 1.37
+RATIO = 1.37  # least ratio of the upper sizes of two classes
 WEAK = 3  # parts of fewer tokens say little; sets leave them, or the smallest of them, out as far as their slack goes
 BLOCK_SETS, BLOCK_TOKENS = 128, 1 << 18
 FLUSH = 1 << 19
 BITS = 1 << 24
 REGROUPED = 2  # rounds in which groups join the group that most of them share a fingerprint with
+FREQUENT, SPREAD = 256, 32  # a fingerprint that a task meets more often than this goes to so many rows of its range
+BLOCKS_A_TASK = 64  # blocks of one fingerprint that a task pairs with all others of it
 OPEN_BLOCKS = 8  # blocks whose token sets a task keeps while it compares pairs
 _K = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -86,10 +89,12 @@ def _key(node: bytes) -> int:
 
 @lru_cache
 def _classes(percent: int) -> tuple[np.ndarray, tuple]:
-    """Upper sizes of the classes, and for each class the most tokens in which two linked sets differ."""
+    """Upper sizes of the classes, and for each class the most tokens in which two linked sets differ. Linked sets lie in one class or in two that follow each other."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent is a whole number from 1 to 100")
     tops = [0]
     while tops[-1] < 1 << 31:
-        tops.append(max(tops[-1] + 1, int(tops[-1] * RATIO)))
+        tops.append(max(tops[-1] + 1, -int(-tops[-1] * RATIO // 1), -(-100 * tops[-1] // percent)))
     tops = np.array(tops[1:])
     return tops, tuple(int(2 * t * (100 - percent) // (100 + percent)) for t in tops)
 
@@ -241,15 +246,18 @@ def compare_blocks(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np
 
 
 def connected(edges: DataFrame, what: str = "components") -> DataFrame:
-    """(node, root) of every node in edges (u, v): the least node that is reachable. Labels move to neighbours and jump along labels, each round stored."""
+    """(node, root) of every node in edges (u, v): the least node that is reachable. Labels move to neighbours and jump along labels, each round stored.
+
+    Neither the edges of a hub nor the members of a large component meet in one task: see joins.looked_up.
+    """
     both = core.stored(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), f"{what}-edges")
     labels = core.stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("root")), what)
     while True:
-        near = both.join(labels.select(F.col("node").alias("v"), "root"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
-        better = labels.join(near, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        near = joins.looked_up(both, labels.select(F.col("node").alias("v"), "root"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
+        better = core.stored(labels.join(near, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")), f"{what}-near")
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        new = core.stored(better.join(jump, "root", "left").select("node", "old", F.least("root", "far").alias("root")), what)
-        core.dropped(labels)
+        new = core.stored(joins.looked_up(better, jump, "root", "left").select("node", "old", F.least("root", "far").alias("root")), what)
+        core.dropped(labels, better)
         if new.filter("old <> root").isEmpty():
             core.dropped(both)
             return new.select("node", "root")
@@ -279,8 +287,9 @@ def join(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
     documents, nodes = _components(docs, n, percent)
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.select("node", "root").join(least, "root").select("node", "component_id")
-    return documents.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    least = core.stored(least, "least")
+    named = core.stored(joins.looked_up(nodes.select("node", "root"), least, "root").select("node", "component_id"), "named")
+    return joins.looked_up(documents, named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def _components(docs: DataFrame, n: int, percent: int, marked: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -307,21 +316,34 @@ def _components(docs: DataFrame, n: int, percent: int, marked: bool = False) ->
     documents = core.stored(rows.mapInArrow(nodes_of, "doc_id long, n long, node binary, key long" + ", mark binary" * marked), "sets")
 
     def all_parts(batches):
-        """Part fingerprints as packed rows, one for each of the ``dealt`` ranges: of a fingerprint the low 6 bytes, as the range tells most of the rest, and the 6 bytes of its node's key."""
+        """Part fingerprints as packed rows, one for each of the ``dealt`` ranges: of a fingerprint the low 6 bytes, as the range tells most of the rest, and the 6 bytes of its node's key.
+
+        Fingerprints that are frequent here go to one of SPREAD rows by their key, so that a range stays small; two of their keys also go the common way, which tells it that
+        they are shared.
+        """
         seen: set[bytes] = set()
         held: list[np.ndarray] = []
         held_keys: list[np.ndarray] = []
 
         def flush():
             sig, key = np.concatenate(held), np.concatenate(held_keys)
-            part = ((sig >> np.uint64(32)) * np.uint64(dealt)) >> np.uint64(32)
+            _, own, times = np.unique(sig, return_inverse=True, return_counts=True)
+            many = np.flatnonzero(times[own] > FREQUENT)
+            lane = np.zeros(len(sig), np.uint64)
+            if len(many):
+                lane[many] = 1 + words.mix(key[many]) % np.uint64(SPREAD)
+                by = many[np.lexsort((key[many], own[many]))]
+                first = np.concatenate([[True], own[by][1:] != own[by][:-1]])
+                two = by[first | np.concatenate([[False], first[:-1]])]
+                sig, key, lane = np.concatenate([sig, sig[two]]), np.concatenate([key, key[two]]), np.concatenate([lane, np.zeros(len(two), np.uint64)])
+            part = (((sig >> np.uint64(32)) * np.uint64(dealt)) >> np.uint64(32)) * np.uint64(SPREAD + 1) + lane
             order = np.argsort(part, kind="stable")
             both = np.concatenate([x[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6] for x in (sig, key)], 1)
-            cuts = np.searchsorted(part[order], np.arange(dealt + 1))
-            rows = [k for k in range(dealt) if cuts[k + 1] > cuts[k]]
+            heads = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1]]))
+            ends = np.append(heads[1:], len(part))
             held.clear()
             held_keys.clear()
-            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([both[cuts[k] : cuts[k + 1]].tobytes() for k in rows], pa.binary())], ["part", "packed"])
+            return pa.RecordBatch.from_arrays([pa.array(part[order][heads].astype(np.int64)), pa.array([both[a:b].tobytes() for a, b in zip(heads.tolist(), ends.tolist(), strict=True)], pa.binary())], ["part", "packed"])
 
         size = 0
         for batch in core.released(batches):
@@ -343,22 +365,26 @@ def _components(docs: DataFrame, n: int, percent: int, marked: bool = False) ->
         core.release()
 
     def shared_parts(table: pa.Table) -> pa.Table:
-        """Of one range of fingerprints, those that two or more nodes have."""
+        """Of one range of fingerprints, those that two or more nodes have; of a row of frequent ones, all."""
         flat = np.frombuffer(b"".join(table["packed"].to_pylist()), np.uint8).reshape(-1, 12)
         wide = np.zeros((2, len(flat), 8), np.uint8)
         wide[0, :, :6], wide[1, :, :6] = flat[:, :6], flat[:, 6:]
         sig, key = wide.view("<u8")[:, :, 0]
-        sig |= np.uint64(table["part"][0].as_py() << 48)
+        part = table["part"][0].as_py()
+        sig |= np.uint64(part // (SPREAD + 1) << 48)
         order = np.lexsort((key, sig))
         sig, key = sig[order], key[order]
         fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])])
         sig, key = sig[fresh], key[fresh]
         heads = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         count = np.diff(np.append(heads, len(sig)))
-        many = np.repeat(count > 1, count)
-        return pa.table({"sig": sig[many].view(np.int64), "key": key[many].view(np.int64), "count": np.repeat(count, count)[many]})
+        many = np.repeat((count > 1) | (part % (SPREAD + 1) > 0), count)
+        return pa.table({"sig": sig[many].view(np.int64), "key": key[many].view(np.int64)})
 
-    parts = texts.select("text").mapInArrow(all_parts, "part int, packed binary").groupBy("part").applyInArrow(shared_parts, "sig long, key long, count long")
+    shared = texts.select("text").mapInArrow(all_parts, "part long, packed binary").groupBy("part").applyInArrow(shared_parts, "sig long, key long")
+    shared = core.stored(shared.distinct(), "parts")
+    counts = core.stored(shared.groupBy("sig").agg(F.count("*").alias("count")), "part-counts")
+    parts = joins.looked_up(shared, counts, "sig")
     size_class = F.col("sig").bitwiseAND(F.lit(127))
     tops, _ = _classes(percent)
 
@@ -368,7 +394,8 @@ def _components(docs: DataFrame, n: int, percent: int, marked: bool = False) ->
     # a fingerprint that one node has alone is rarer than all here, so the most frequent parts of a node are among these
     by_count = Window.partitionBy("key", size_class).orderBy(F.desc("count"), "sig")
     parts = parts.withColumn("place", F.row_number().over(by_count)).filter(F.col("place") > of_class(_spare(c, percent)[1] for c in range(len(tops)))).drop("place")
-    parts = core.stored(parts, "shared-parts")
+    parts = core.stored(parts.select("sig", "key", "count"), "shared-parts")
+    core.dropped(shared, counts)
 
     room = of_class(max(2, min(BLOCK_SETS, BLOCK_TOKENS // int(t))) for t in tops)
     best = core.stored(parts.groupBy("key").agg(F.max(F.struct("count", "sig")).alias("b")).select("key", "b.sig"), "best")
@@ -377,17 +404,17 @@ def _components(docs: DataFrame, n: int, percent: int, marked: bool = False) ->
         held = parts.select(F.col("sig").alias("shared"), "key").join(best, "key").filter(F.col("shared").bitwiseAND(F.lit(127)) >= size_class).select("shared", "sig").distinct()
         held = core.stored(held, "group-parts")
         wide = core.stored(held.groupBy("shared").agg(F.count("*").alias("count")).filter("count > 1"), "wide-parts")
-        joined = held.join(wide, "shared").groupBy("sig").agg(F.max(F.struct("count", "shared")).alias("b")).select("sig", F.col("b.shared").alias("to"))
-        new = core.stored(best.join(joined, "sig", "left").select("key", F.coalesce("to", "sig").alias("sig")), "best")
-        core.dropped(best, held, wide)
+        joined = core.stored(joins.looked_up(held, wide, "shared").groupBy("sig").agg(F.max(F.struct("count", "shared")).alias("b")).select("sig", F.col("b.shared").alias("to")), "joined")
+        new = core.stored(joins.looked_up(best, joined, "sig", "left").select("key", F.coalesce("to", "sig").alias("sig")), "best")
+        core.dropped(best, held, wide, joined)
         best = new
     groups = core.stored(best.groupBy("sig").agg(F.count("*").alias("count"), F.min("key").alias("lead")), "groups")
-    members = best.join(groups, "sig").withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(7)), F.ceil(F.col("count") / room)).cast("int")).select("key", "sig", "chunk", "lead", F.lit(True).alias("home"))
+    members = joins.looked_up(best, groups, "sig").withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(7)), F.ceil(F.col("count") / room)).cast("int")).select("key", "sig", "chunk", "lead", F.lit(True).alias("home"))
     members = core.stored(members.union(members.select(F.col("lead").alias("key"), "sig", "chunk", "lead", F.lit(False)).distinct()), "members")
 
     # Texts are read again for one document of each member. A bit map of fixed size keeps most others out; whatever it lets through falls out in the join.
-    keyed = documents.filter("node is not null")
-    wanted = keyed.join(members.select("key").distinct(), "key", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    keyed = documents.filter("node is not null").groupBy("node", "key").agg(F.min("doc_id").alias("doc_id"))
+    wanted = keyed.join(members.select("key").distinct(), "key", "left_semi")
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
     core.dropped(best, groups)
     bits = spark.sparkContext.broadcast(_bits(wanted.filter("doc_id is not null"), "doc_id"))
@@ -416,11 +443,15 @@ def _components(docs: DataFrame, n: int, percent: int, marked: bool = False) ->
     units = parts.select(F.col("sig").alias("shared"), "key").join(labelled, "key").groupBy("shared", "sig", "chunk").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     units = units_stored = core.stored(units, "units")
     core.dropped(parts)
-    # only fingerprints that meet in several components matter
-    open_parts = units.groupBy("shared").agg(F.min("low").alias("a"), F.max("high").alias("b")).filter("a <> b").select("shared")
-    units = units.join(open_parts, "shared", "left_semi")
-    other = units.select("shared", *[F.col(c).alias(f"{c}2") for c in ("sig", "chunk", "low", "high")])
-    pairs = units.join(other, "shared").filter("(sig < sig2 or sig = sig2 and chunk < chunk2) and not (low = high and low2 = high2 and low = low2)").select("sig", "chunk", "sig2", "chunk2").distinct()
+    # only fingerprints that meet in several components matter; the blocks of a frequent one are dealt to several tasks, each with all others
+    open_parts = units.groupBy("shared").agg(F.min("low").alias("a"), F.max("high").alias("b"), F.count("*").alias("n")).filter("a <> b").select("shared", F.ceil(F.col("n") / BLOCKS_A_TASK).cast("int").alias("lanes"))
+    open_parts = core.stored(open_parts, "open-parts")
+    units = core.stored(joins.looked_up(units, open_parts, "shared"), "open-units")
+    core.dropped(units_stored, open_parts)
+    units_stored = units
+    other = units.select("shared", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), *[F.col(c).alias(f"{c}2") for c in ("sig", "chunk", "low", "high")])
+    units = units.withColumn("lane", F.pmod(F.xxhash64("sig", "chunk"), F.col("lanes")).cast("int"))
+    pairs = units.join(other, ["shared", "lane"]).filter("(sig < sig2 or sig = sig2 and chunk < chunk2) and not (low = high and low2 = high2 and low = low2)").select("sig", "chunk", "sig2", "chunk2").distinct()
     pairs = pairs_stored = core.stored(pairs, "block-pairs")
     core.dropped(units_stored)
     needed = _bits(pairs.select("sig", "chunk").union(pairs.select("sig2", "chunk2")), "sig", "chunk")
@@ -462,7 +493,9 @@ def _components(docs: DataFrame, n: int, percent: int, marked: bool = False) ->
 
     links = pairs.select("labels", "lengths", "packed", "labels2", "lengths2", "packed2").mapInArrow(across, "u binary, v binary")
     ends = known.select("node", "known")
-    links = links.distinct().join(ends.select(F.col("node").alias("u"), F.col("known").alias("ku")), "u", "left").join(ends.select(F.col("node").alias("v"), F.col("known").alias("kv")), "v", "left")
+    links = core.stored(links.distinct(), "block-links")
+    links = core.stored(joins.looked_up(links, ends.select(F.col("node").alias("u"), F.col("known").alias("ku")), "u", "left"), "block-links")
+    links = joins.looked_up(links, ends.select(F.col("node").alias("v"), F.col("known").alias("kv")), "v", "left")
     links = links.select(F.coalesce("ku", "u").alias("u"), F.coalesce("kv", "v").alias("v")).filter("u <> v")
     roots = connected(links, "links")
     core.dropped(pairs_stored, blocks)
@@ -470,7 +503,7 @@ def _components(docs: DataFrame, n: int, percent: int, marked: bool = False) ->
     best_of = [F.min(_place()).alias("best")] if marked else []
     more = ["best"] if marked else []
     first = documents.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), *best_of).join(known, "node", "left").select("node", "least", *more, F.coalesce("known", "node").alias("known"))
-    first = first.join(roots.withColumnRenamed("node", "known"), "known", "left").select("node", "least", *more, F.coalesce("root", "known").alias("root"))
+    first = joins.looked_up(core.stored(first, "firsts"), core.stored(roots.withColumnRenamed("node", "known"), "roots"), "known", "left").select("node", "least", *more, F.coalesce("root", "known").alias("root"))
     return documents, core.stored(first, "nodes")
 
 
@@ -485,9 +518,9 @@ def representatives(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> Data
     Rows are told apart by doc_id and text; of rows that repeat both, the one whose columns come first stays.
     """
     documents, nodes = _components(docs, n, percent, marked=True)
-    best = nodes.groupBy("root").agg(F.min("best").alias("best"))
-    named = nodes.select("node", "root").join(best, "root").select("node", "best")
-    rows = documents.join(named, "node").groupBy("doc_id", "mark").agg(F.min(_place() == F.col("best")).alias("stays"), F.count("*").alias("count"))
+    best = core.stored(nodes.groupBy("root").agg(F.min("best").alias("best")), "best")
+    named = core.stored(joins.looked_up(nodes.select("node", "root"), best, "root").select("node", "best"), "named")
+    rows = joins.looked_up(documents, named, "node").groupBy("doc_id", "mark").agg(F.min(_place() == F.col("best")).alias("stays"), F.count("*").alias("count"))
     rows = core.stored(rows.filter("not stays or count > 1"), "told")
     mark = next(f"mark{k}" for k in range(len(docs.columns) + 1) if f"mark{k}" not in docs.columns)
     marked = docs.withColumn(mark, _mark()).alias("docs")

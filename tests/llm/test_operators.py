@@ -69,35 +69,68 @@ def brute_components(rows, n=3, percent=90):
     return sorted(((d, len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows)), key=repr)
 
 
-def test_join_tokens_bound_parts():
-    rng = np.random.default_rng(3)
-    for percent in (80, 90):
-        for size in (1, 5, 9, 10, 40, 75, 130, 600):
+@pytest.mark.parametrize("percent", [50, 60, 70, 73, 80, 90, 100])
+def test_linked_sets_share_a_part(percent):
+    rng = np.random.default_rng(percent)
+    linked = 0
+    for size in (1, 2, 3, 5, 9, 10, 16, 17, 33, 40, 75, 130, 600):
+        for _ in range(6):
             base = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
-            for drop in range(0, max(1, size // 8) + 1):
-                other = np.unique(np.concatenate([base[drop:], rng.integers(0, 2**63, drop, dtype=np.uint64)]))
+            drop = int(rng.integers(0, size * (100 - percent) // 100 + 1))
+            for more in {0, drop // 2, drop, int(rng.integers(0, size * (100 - percent) // percent + 1))}:
+                other = np.unique(np.concatenate([base[drop:], rng.integers(0, 2**63, more, dtype=np.uint64)]))
                 o = len(np.intersect1d(base, other))
-                if 100 * o >= percent * (len(base) + len(other) - o):
+                if len(other) and 100 * o >= percent * (len(base) + len(other) - o):
+                    linked += 1
                     assert set(ngram_join.part_names(base, percent).tolist()) & set(ngram_join.part_names(other, percent).tolist())
+    assert linked > 50
+    with pytest.raises(ValueError):
+        ngram_join.part_names(base, 0)
 
 
-def test_join(spark, odd, empty):
-    rng = np.random.default_rng(5)
-    words = [f"w{k}" for k in range(400)]
+def near_copies(seed, groups=6, copies=12):
+    rng = np.random.default_rng(seed)
+    names = [f"w{k}" for k in range(400)]
     rows = []
-    for g in range(6):
-        base = list(rng.choice(words, 120 + 40 * g))
-        for c in range(12):
+    for g in range(groups):
+        base = list(rng.choice(names, 120 + 40 * g))
+        for _ in range(copies):
             t = list(base)
-            for k in rng.integers(0, len(t), rng.integers(0, 4)):
+            for k in rng.integers(0, len(t), rng.integers(0, 4 + 3 * g)):
                 t[k] = f"z{rng.integers(1e9)}"
-            rows.append((len(rows), " ".join(t)))
-    for pct, n in ((90, 3), (80, 5)):
+            rows.append((len(rows), " ".join(t[: len(t) - int(rng.integers(0, 10))])))
+    return rows
+
+
+def test_join(spark, docs, odd, empty):
+    rows = near_copies(5)
+    for pct, n in ((80, 5), (55, 3)):
         got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), n, pct).collect()
         assert sorted((tuple(r) for r in got), key=repr) == brute_components(rows, n, pct)
     got = sorted((tuple(r) for r in ngram_join.join(odd).collect()), key=repr)
     assert got == brute_components([(r[0], r[1]) for r in ODD])
     assert ngram_join.join(empty).collect() == []
+    own = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert sorted((tuple(r) for r in ngram_join.join(docs).collect()), key=repr) == brute_components(own)
+
+
+def test_join_with_frequent_fingerprints(spark, monkeypatch):
+    """Hot keys take other ways through the join; the components stay the same."""
+    rows = near_copies(6, 2, 40)
+    rows += [(1000 + k, rows[3][1]) for k in range(60)] + [(2000 + k, None) for k in range(30)]
+    for name, value in (("FREQUENT", 2), ("SPREAD", 3), ("BLOCKS_A_TASK", 2), ("BLOCK_SETS", 4)):
+        monkeypatch.setattr(ngram_join, name, value)
+    monkeypatch.setattr(joins, "SMALL", 0)
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute_components(rows, 3, 90)
+
+
+def test_connected_star(spark, monkeypatch):
+    monkeypatch.setattr(joins, "SMALL", 0)
+    edges = [(f"h{k % 3}", f"n{k}") for k in range(300)] + [("h0", "h1"), ("x1", "x2"), ("x2", "x3")]
+    got = {r["node"]: r["root"] for r in ngram_join.connected(spark.createDataFrame(edges, "u string, v string")).collect()}
+    assert {got[x] for x in got if x[0] in "hn" and x not in ("h2",) and (x[0] == "h" or int(x[1:]) % 3 < 2)} == {"h0"}
+    assert got["n2"] == got["h2"] == "h2" and got["x3"] == got["x2"] == "x1"
 
 
 def test_one_row_of_each_component(spark, odd, empty):
