@@ -26,7 +26,7 @@ from . import bpe, files
 
 MAGIC = b"LMRP0001"
 SHARD_IDS = 2_000_000
-RULES_A_ROUND = 4000
+RULES_A_ROUND = 8000
 LEAST_COUNT = 12
 _SLOTS = 1 << 20
 _NO_ID = -(2**63)
@@ -58,12 +58,9 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int):
     rules: list[np.ndarray] = []
     made = 0
     while len(seq) > 1 and made < most:
-        keys = (seq[:-1].astype(kind) << half) | seq[1:].astype(kind)
-        slots = _slot(keys)
+        keys = (seq[:-1].astype(kind) << half) | seq[1:]
         usable = ~final[:-1]
-        # a pair's slot holds no less than the pair itself: rare ones are not counted one by one
-        busy = np.bincount(slots[usable], minlength=_SLOTS) >= LEAST_COUNT
-        ordered = np.sort(keys[usable & busy[slots]])
+        ordered = np.sort(keys[usable])
         if not len(ordered):
             break
         heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
@@ -76,12 +73,18 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int):
         # of pairs that share a slot of the lookup table, the most frequent is taken in this round
         _, firsts = np.unique(_slot(chosen), return_index=True)
         chosen = chosen[np.sort(firsts)]
+        pairs = np.stack([chosen >> half, chosen & ((kind(1) << half) - kind(1))], 1).astype(np.uint32)
         table = np.full(_SLOTS, -1, np.int32)
         table[_slot(chosen)] = np.arange(len(chosen), dtype=np.int32)
-        at = np.flatnonzero((table[slots] >= 0) & usable)
-        rule = table[slots[at]]
-        right = chosen[rule] == keys[at]
-        at, rule = at[right], rule[right]
+        # most places fall out by one of their two symbols, in tables that stay in a cache
+        left, right = np.zeros((2, 1 << 16), bool)
+        left[pairs[:, 0] & np.uint32(0xFFFF)] = right[pairs[:, 1] & np.uint32(0xFFFF)] = True
+        low = seq.astype(np.uint16)
+        at = np.flatnonzero(left[low[:-1]] & right[low[1:]] & usable)
+        rule = table[_slot(keys[at])]
+        hit = rule >= 0
+        hit[hit] = chosen[rule[hit]] == keys[at[hit]]
+        at, rule = at[hit], rule[hit]
         # of hits that overlap, every second one from the left
         new_run = np.concatenate([[True], np.diff(at) > 1])
         run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
@@ -92,7 +95,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int):
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, final = seq[keep], final[keep]
-        rules.append(np.stack([chosen >> half, chosen & ((kind(1) << half) - kind(1))], 1).astype(np.uint32))
+        rules.append(pairs)
         made += len(chosen)
     return seq, np.flatnonzero(final) + 1, np.concatenate([np.zeros((0, 2), np.uint32), *rules])
 
