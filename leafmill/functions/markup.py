@@ -159,22 +159,80 @@ def fragment_cleaned(fragments: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["html", "changes"])
 
 
+@on_batches("struct<html:string,changes:int>")
+def fragment_with_images(fragments: pd.Series, images: pd.Series) -> pd.DataFrame:
+    """Like fragment_cleaned, but images that are in the package are kept."""
+    found = [(None, None) if f is None else clean_fragment(f, frozenset(() if own is None else own)) for f, own in zip(fragments, images, strict=True)]
+    return pd.DataFrame(found, columns=["html", "changes"])
+
+
 @on_batches("string")
 def xml_errors(documents: pd.Series) -> pd.Series:
     return pd.Series([xml_error(d) for d in documents], dtype=object)
 
 
-_INLINE = ((re.compile(r"`([^`]+)`"), r"<code>\1</code>"), (re.compile(r"!\[([^\]]*)\]\(([^)\s]+)\)"), r'<img alt="\1" src="\2"/>'), (re.compile(r"\[([^\]]+)\]\(([^)\s]+)\)"), r'<a href="\2">\1</a>'), (re.compile(r"\*\*(.+?)\*\*"), r"<strong>\1</strong>"), (re.compile(r"\*(.+?)\*"), r"<em>\1</em>"))
-
-
-def _inline(text: str) -> str:
-    for pattern, put in _INLINE:
-        text = pattern.sub(put, text)
-    return text
+_INLINE = re.compile(
+    r"(?P<code>`+)(?P<in_code>.+?)(?P=code)(?!`)|!\[(?P<alt>[^\]]*)\]\((?P<src>[^)\s]+)(?:\s+\"[^\"]*\")?\)|\[(?P<label>[^\]]+)\](?:\((?P<href>[^)\s]+)(?:\s+\"[^\"]*\")?\)|\[(?P<ref>[^\]]*)\])"
+    r"|(?P<strong>\*\*|(?<!\w)__)(?=\S)(?P<in_strong>.+?)(?<=\S)(?P=strong)|(?P<em>\*|(?<![\w_])_)(?=[^\s*_])(?P<in_em>.+?)(?<=[^\s*_])(?P=em)(?![\w_])",
+    re.DOTALL,
+)
+_LINK = re.compile(r"(?m)^\s{0,3}\[([^\]]+)\]:\s*<?(\S+?)>?(?:\s+[\"'(].*[\"')])?\s*$\n?")
+_FENCE = re.compile(r"\s{0,3}(```+)")
+_HEAD = re.compile(r"\s{0,3}(#{1,6})\s+(.*?)\s*#*$")
+_RULE = re.compile(r"\s{0,3}([-*_])(\s*\1){2,}\s*")
+_GRID = re.compile(r"\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*")
+_ITEM = re.compile(r"(\s*)([-*+]|[0-9]+\.)\s+(.*)")
+
+
+def _inline(text: str, links: dict[str, str]) -> str:
+    """Code, images, links, strong and emphasis, one after another from the left; what stands inside is looked at in the same way, but for code."""
+
+    def put(m: re.Match) -> str:
+        if m["code"]:
+            return f"<code>{html.escape(m['in_code'].strip(), quote=False)}</code>"
+        if m["src"]:
+            return f'<img alt="{m["alt"]}" src="{m["src"]}"/>'
+        if m["label"]:
+            href = m["href"] or links.get((m["ref"] or m["label"]).lower())
+            return f'<a href="{href}">{_inline(m["label"], links)}</a>' if href else m[0]
+        if m["strong"]:
+            return f"<strong>{_inline(m['in_strong'], links)}</strong>"
+        return f"<em>{_inline(m['in_em'], links)}</em>"
+
+    return _INLINE.sub(put, text)
+
+
+def _list(lines: list[str], links: dict[str, str]) -> str:
+    """A list from its lines: an item that is indented further than the one before opens a list in it."""
+    out: list[str] = []
+    open_lists: list[tuple[int, str]] = []
+    for line in lines:
+        m = _ITEM.fullmatch(line)
+        if not m:
+            out.append("\n" + _inline(line.strip(), links))
+            continue
+        depth, tag = len(m[1].expandtabs(4)), "ol" if m[2][0].isdigit() else "ul"
+        while open_lists and depth < open_lists[-1][0]:
+            out.append(f"</li></{open_lists.pop()[1]}>")
+        if not open_lists or depth > open_lists[-1][0] + 1:
+            open_lists.append((depth, tag))
+            out.append(f"<{tag}><li>")
+        else:
+            out.append("</li><li>")
+        out.append(_inline(m[3], links))
+    out += [f"</li></{tag}>" for _, tag in reversed(open_lists)]
+    return "".join(out)
 
 
-def markdown_html(text: str) -> str:
-    """A subset of markdown: headings, fenced code, lists, quotes, tables with a rule line, rules, paragraphs, and inline code, images, links, strong and emphasis. Raw HTML passes through."""
+def markdown_html(text: str, links: dict[str, str] | None = None) -> str:
+    """Markdown: headings, fenced code, nested lists, quotes, tables with a rule line, rules, paragraphs, reference links, and inline code, images, links, strong and emphasis by stars or underscores. Raw HTML passes through."""
+    if links is None:
+        links = {}
+        parts = re.split(r"(?ms)(^\s{0,3}```.*?^\s{0,3}```[^\n]*$)", text)
+        for k in range(0, len(parts), 2):
+            links.update((name.lower(), url) for name, url in _LINK.findall(parts[k]))
+            parts[k] = _LINK.sub("", parts[k])
+        text = "".join(parts)
     out: list[str] = []
     lines = text.split("\n")
     k = 0
@@ -182,44 +240,44 @@ def markdown_html(text: str) -> str:
         line = lines[k]
         if not line.strip():
             k += 1
-        elif re.match(r"\s{0,3}```", line):
-            end = next((j for j in range(k + 1, len(lines)) if re.match(r"\s{0,3}```", lines[j])), len(lines))
+        elif m := _FENCE.match(line):
+            end = next((j for j in range(k + 1, len(lines)) if _FENCE.match(lines[j])), len(lines))
             out.append("<pre><code>" + html.escape("\n".join(lines[k + 1 : end]), quote=False) + "\n</code></pre>")
             k = end + 1
-        elif m := re.match(r"\s{0,3}(#{1,6})\s+(.*?)\s*#*$", line):
-            out.append(f"<h{len(m[1])}>{_inline(m[2])}</h{len(m[1])}>")
+        elif m := _HEAD.match(line):
+            out.append(f"<h{len(m[1])}>{_inline(m[2], links)}</h{len(m[1])}>")
             k += 1
-        elif re.fullmatch(r"\s{0,3}([-*_])(\s*\1){2,}\s*", line):
+        elif _RULE.fullmatch(line):
             out.append("<hr/>")
             k += 1
-        elif "|" in line and k + 1 < len(lines) and re.fullmatch(r"\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*", lines[k + 1]):
+        elif "|" in line and k + 1 < len(lines) and _GRID.fullmatch(lines[k + 1]):
             rows = [line]
             j = k + 2
             while j < len(lines) and "|" in lines[j]:
                 rows.append(lines[j])
                 j += 1
-            cells = [[_inline(c.strip()) for c in r.strip().strip("|").split("|")] for r in rows]
+            cells = [[_inline(c.strip(), links) for c in r.strip().strip("|").split("|")] for r in rows]
             out.append("<table><thead><tr>" + "".join(f"<th>{c}</th>" for c in cells[0]) + "</tr></thead><tbody>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in cells[1:]) + "</tbody></table>")
             k = j
-        elif m := re.match(r"\s{0,3}([-*+]|[0-9]+\.)\s+", line):
-            tag = "ol" if m[1][0].isdigit() else "ul"
-            items = []
-            while k < len(lines) and (m := re.match(r"\s{0,3}([-*+]|[0-9]+\.)\s+(.*)", lines[k])):
-                items.append(f"<li>{_inline(m[2])}</li>")
-                k += 1
-            out.append(f"<{tag}>{''.join(items)}</{tag}>")
+        elif (m := _ITEM.fullmatch(line)) and len(m[1]) < 4:
+            j = k
+            while j < len(lines) and lines[j].strip() and not _FENCE.match(lines[j]) and (_ITEM.fullmatch(lines[j]) or lines[j][:1].isspace()):
+                j += 1
+            out.append(_list(lines[k:j], links))
+            k = j
         elif line.lstrip().startswith(">"):
             quote = []
             while k < len(lines) and lines[k].lstrip().startswith(">"):
                 quote.append(lines[k].lstrip()[1:].lstrip())
                 k += 1
-            out.append("<blockquote>" + markdown_html("\n".join(quote)) + "</blockquote>")
+            out.append("<blockquote>" + markdown_html("\n".join(quote), links) + "</blockquote>")
         else:
-            own = []
+            own = [line]
+            k += 1
             while k < len(lines) and lines[k].strip() and not re.match(r"\s{0,3}(#{1,6}\s|```|>)", lines[k]):
                 own.append(lines[k])
                 k += 1
-            out.append(f"<p>{_inline(chr(10).join(own))}</p>" if own else "")
+            out.append(f"<p>{_inline(chr(10).join(own), links)}</p>")
     return "\n".join(out)
 
 

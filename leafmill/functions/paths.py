@@ -20,8 +20,9 @@ def is_remote(ref) -> Column:
 
 
 def unquoted(c) -> Column:
-    """%-escapes decoded; + stays, and a bad escape leaves the text as it is."""
-    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+    """%-escapes decoded; + stays, and so does a % that begins no escape."""
+    whole = F.replace(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))
+    return F.coalesce(F.try_url_decode(whole), c)
 
 
 def path_of(ref) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import paths
+from ..functions import images, paths
 
 MIMETYPE = "application/epub+zip"
 CONTAINER = "META-INF/container.xml"
@@ -58,7 +58,7 @@ def container_findings(members: DataFrame) -> DataFrame:
 
 def rootfile_findings(packages: DataFrame, members: DataFrame) -> DataFrame:
     """packages(epub, container_error, opf_path, opf_error): what the container says."""
-    has = packages.filter("container_error is null")
+    has = packages.filter("container_error is null").join(members.filter(F.col("name") == CONTAINER).select("epub").distinct(), "epub", "left_semi")
     named = has.filter("opf_path is not null and opf_path <> ''")
     lost = named.join(members.select("epub", F.col("name").alias("opf_path")), ["epub", "opf_path"], "left_anti")
     return union([
@@ -121,21 +121,44 @@ def broken_refs(refs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def content_findings(documents: DataFrame, refs: DataFrame, members: DataFrame) -> DataFrame:
-    """documents(epub, path, xml_error, namespace)."""
+    """documents(epub, path, xml_error, namespace). A document has one finding of its own at most; references are resolved once and looked up among the members."""
     good = documents.filter("xml_error is null")
-    of_good = refs.join(good.select("epub", F.col("path").alias("doc_path")), ["epub", "doc_path"], "left_semi")
     told = F.concat(F.lit("<"), F.col("tag"), F.lit(" "), F.col("attr"), F.lit("='"), F.col("value"), F.lit("'>"))
+    broken_xml = F.col("xml_error").isNotNull()
+    own = documents.filter(broken_xml | (F.coalesce("namespace", F.lit("")) != XHTML))
+    code = F.when(broken_xml, "content/not-xml").otherwise("content/wrong-namespace")
+    message = F.coalesce("xml_error", F.concat(F.lit("namespace "), F.coalesce("namespace", F.lit("none"))))
+    of_good = resolved_refs(refs.join(good.select("epub", F.col("path").alias("doc_path")), ["epub", "doc_path"], "left_semi")).filter("remote or target is not null")
+    there = members.select("epub", F.col("name").alias("target")).distinct().withColumn("found", F.lit(True))
+    bad = of_good.join(there, ["epub", "target"], "left").filter("remote or found is null")
     return union([
-        finding(documents.filter("xml_error is not null"), "error", "content/not-xml", F.col("xml_error"), F.col("path"), order=15),
-        finding(good.filter(F.coalesce("namespace", F.lit("")) != XHTML), "error", "content/wrong-namespace", F.concat(F.lit("namespace "), F.coalesce("namespace", F.lit("none"))), F.col("path"), order=16),
-        finding(resolved_refs(of_good).filter("remote"), "warning", "content/remote-resource", told, F.col("doc_path"), order=17),
-        finding(broken_refs(of_good, members), "error", "content/broken-reference", told, F.col("doc_path"), order=18),
+        finding(own, "error", code, message, F.col("path"), order=F.when(broken_xml, 15).otherwise(16)),
+        finding(bad, F.when(F.col("remote"), "warning").otherwise("error"), F.when(F.col("remote"), "content/remote-resource").otherwise("content/broken-reference"), told, F.col("doc_path"), order=F.when(F.col("remote"), 17).otherwise(18)),
     ])
 
 
-def image_findings(images: DataFrame) -> DataFrame:
-    """images(epub, name, decodable)."""
-    return finding(images.filter(F.col("name").rlike(IMAGE_NAME) & ~F.col("decodable")), "error", "image/not-decodable", F.lit("the image does not decode"), F.col("name"), order=19)
+def image_findings(probes: DataFrame) -> DataFrame:
+    """probes(epub, name, decodable), as probed_images() gives."""
+    return finding(probes.filter(F.col("name").rlike(IMAGE_NAME) & ~F.col("decodable")), "error", "image/not-decodable", F.lit("the image does not decode"), F.col("name"), order=19)
+
+
+def probed_images(members: DataFrame) -> DataFrame:
+    """(epub, name, format, mode, width, height, decodable, error) of the members that are images by their name."""
+    found = members.filter(F.col("name").rlike(IMAGE_NAME)).select("epub", "name", images.probed("content").alias("p"))
+    return found.select("epub", "name", "p.*")
+
+
+def reading_order(spine: DataFrame, manifest: DataFrame, packages: DataFrame, members: DataFrame) -> DataFrame:
+    """(epub, pos, path): the documents of a book in the order of its spine, without its navigation and without files that are not there."""
+    named = spine_paths(spine, manifest).join(packages.select("epub", "nav_path"), "epub").filter("nav_path is null or path <> nav_path")
+    return named.select("epub", "pos", "path").join(members.select("epub", F.col("name").alias("path")).distinct(), ["epub", "path"], "left_semi")
+
+
+def book_texts(order: DataFrame, documents: DataFrame) -> DataFrame:
+    """(epub, text, spine_documents): the texts of a book's documents, in reading order with a space between."""
+    rows = order.join(documents.select("epub", "path", F.col("text").alias("body")), ["epub", "path"])
+    parts = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("body", F.lit("")).alias("body"))))
+    return rows.groupBy("epub").agg(F.array_join(F.transform(parts, lambda p: p["body"]), " ").alias("text"), F.count("*").alias("spine_documents"))
 
 
 def tool_findings(messages: DataFrame) -> DataFrame:
@@ -146,21 +169,60 @@ def tool_findings(messages: DataFrame) -> DataFrame:
     return finding(messages, level, F.concat(F.lit("epubcheck/"), F.coalesce("id", F.lit("?"))), F.coalesce("message", F.lit("")), F.concat(place, more), layer="epubcheck", order=F.col("ord"))
 
 
-def render_findings(documents: DataFrame, nav: DataFrame | None = None) -> DataFrame:
-    """documents(epub, pos, document, is_nav, load_error, page_errors, failed_requests, broken_images, visible_text_chars, image_count, horizontal_overflow): reports of a renderer."""
-    place = F.col("document")
-    each = lambda column: documents.select("epub", "document", F.posexplode(F.slice(column, 1, 5)).alias("k", "what"))
-    total = documents.groupBy("epub").agg(F.sum("visible_text_chars").alias("chars"))
+RENDERED_DDL = "epub string, pos int, document string, is_nav boolean, load_error string, page_errors array<string>, failed_requests array<string>, broken_images array<string>, visible_text_chars int, image_count int, horizontal_overflow boolean"
+
+
+def to_render(spine: DataFrame, manifest: DataFrame, packages: DataFrame, members: DataFrame, most: int | None = None) -> DataFrame:
+    """(epub, pos, document, is_nav, content): what a renderer is given: the spine in order, the first ``most`` documents of each book; content is null for files that are not there."""
+    rows = spine_paths(spine, manifest)
+    if most:
+        first = Window.partitionBy("epub").orderBy("pos")
+        rows = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= most).drop("n")
+    rows = rows.join(packages.select("epub", "nav_path"), "epub").select("epub", "pos", F.col("path").alias("document"), F.coalesce(F.col("path") == F.col("nav_path"), F.lit(False)).alias("is_nav"))
+    return rows.join(members.select("epub", F.col("name").alias("document"), "content"), ["epub", "document"], "left").select("epub", "pos", "document", "is_nav", "content")
+
+
+def render_failures(rendered: DataFrame, packages: DataFrame, members: DataFrame) -> DataFrame:
+    """Books that a renderer cannot open, and spine documents that are not there. rendered: to_render()'s rows."""
+    unopened = members.filter("name is null and error is not null")
+    lost = packages.filter("coalesce(opf_path, '') = '' and container_error is null")
+    bad = packages.filter("container_error is not null or opf_error is not null")
     return union([
-        finding(documents.filter("load_error is not null"), "error", "render/load-failed", F.col("load_error"), place, "render", 1),
-        finding(documents.filter("size(broken_images) > 0"), "error", "render/broken-images", F.array_join(F.slice("broken_images", 1, 5), ", "), place, "render", 2),
-        finding(each("failed_requests"), "error", "render/resource-failed", F.col("what"), place, "render", 3),
-        finding(each("page_errors"), "warning", "render/page-error", F.col("what"), place, "render", 4),
-        finding(documents.filter("visible_text_chars < 20 and image_count = 0 and not is_nav"), "warning", "render/blank-document", F.lit("the document shows nothing"), place, "render", 5),
-        finding(documents.filter("horizontal_overflow"), "warning", "render/horizontal-overflow", F.lit("wider than the window"), place, "render", 6),
-        finding(total.filter("chars < 200"), "error", "render/book-blank", F.lit("the book shows almost no text"), layer="render", order=7),
+        finding(lost, "error", "render/no-container", F.lit("no OPF to render"), layer="render", order=0),
+        finding(unopened, "error", "render/unpack-failed", F.col("error"), layer="render", order=0),
+        finding(bad, "error", "render/unpack-failed", F.coalesce("container_error", "opf_error"), layer="render", order=0),
+        finding(rendered.filter("content is null"), "error", "render/missing-spine-doc", F.lit("the spine document is not in the archive"), F.col("document"), "render", 1),
     ])
 
 
+def render_findings(documents: DataFrame) -> DataFrame:
+    """documents(epub, pos, document, is_nav, load_error, page_errors, failed_requests, broken_images, visible_text_chars, image_count, horizontal_overflow): reports of a renderer.
+
+    The findings of a document are made as one array, so its row is read once; a document that did not load has no other.
+    """
+
+    def one(order: int, level: str, code: str, message) -> Column:
+        message = message if isinstance(message, Column) else F.lit(message)
+        return F.struct(F.lit(order).alias("ord"), F.lit(level).alias("level"), F.lit(code).alias("code"), message.alias("message"))
+
+    def when(condition: Column, *what) -> Column:
+        return F.when(condition, F.array(one(*what))).otherwise(F.array().cast(kind))
+
+    kind = "array<struct<ord:int,level:string,code:string,message:string>>"
+    loaded = F.concat(
+        when(F.size("broken_images") > 0, 2, "error", "render/broken-images", F.array_join(F.slice("broken_images", 1, 5), ", ")),
+        F.transform(F.slice("failed_requests", 1, 5), lambda x: one(3, "error", "render/resource-failed", x)).cast(kind),
+        F.transform(F.slice("page_errors", 1, 5), lambda x: one(4, "warning", "render/page-error", x)).cast(kind),
+        when((F.col("visible_text_chars") < 20) & (F.col("image_count") == 0) & ~F.col("is_nav"), 5, "warning", "render/blank-document", "the document shows nothing"),
+        when(F.col("horizontal_overflow"), 6, "warning", "render/horizontal-overflow", "wider than the window"),
+    )
+    failed = F.array(one(1, "error", "render/load-failed", F.col("load_error"))).cast(kind)
+    made = documents.select("epub", "document", F.explode(F.when(F.col("load_error").isNotNull(), failed).otherwise(loaded)).alias("f"))
+    by_document = made.select("epub", F.lit("render").alias("layer"), "f.*", F.col("document").alias("location"))
+    total = documents.groupBy("epub").agg(F.sum("visible_text_chars").alias("chars"))
+    book = finding(total.filter("chars < 200"), "error", "render/book-blank", F.lit("the book shows almost no text"), layer="render", order=7)
+    return by_document.select(*book.columns).unionByName(book)
+
+
 def render_totals(documents: DataFrame) -> DataFrame:
     return documents.groupBy("epub").agg(F.count("*").alias("documents"), F.sum("visible_text_chars").alias("visible_text_chars"), F.sum(F.size("broken_images")).alias("broken_images"))

@@ -71,21 +71,33 @@ def figure_refs(docs: DataFrame) -> DataFrame:
 
 
 def figures_resolved(docs: DataFrame, images: DataFrame) -> DataFrame:
-    """Named figures that exist, by page and index."""
+    """Named figures that exist, by page and index: references to other pages or images are left out."""
     return figure_refs(docs).join(images, ["doc_id", "page_index", "image_index"])
 
 
+def figures_packed(docs: DataFrame, images: DataFrame) -> DataFrame:
+    """(doc_id, images map<ref, content>): the figures that a text names and that exist, in order of page and index. images has ``content``."""
+    found = figures_resolved(docs, images).filter("content is not null")
+    rows = F.array_sort(F.collect_list(F.struct("page_index", "image_index", "ref", "content")))
+    return found.groupBy("doc_id").agg(rows.alias("rows")).select("doc_id", F.map_from_entries(F.transform("rows", lambda r: F.struct(r["ref"], r["content"]))).alias("images"))
+
+
 HEADING = r"(?m)^(?U:\s){0,3}(#{1,2})(?U:\s)+(.+)$"
 
 
 def chapters(docs: DataFrame) -> DataFrame:
     """(doc_id, idx from 1, title, body). Text before the first heading is left out, as long as there is one; without any, the whole is "Document"."""
-    mark = "\u0001"
-    marked = F.regexp_replace("text", HEADING, f"{mark}$2{mark}")
+    mark, taken = "\u0001", "\u0002"
+    # the mark is written otherwise in the text first, and read back in titles and bodies
+    safe = F.replace(F.replace("text", F.lit(taken), F.lit(f"{taken}b")), F.lit(mark), F.lit(f"{taken}a"))
+    marked = F.regexp_replace(safe, HEADING, f"{mark}$2{mark}")
+
+    def back(c: Column) -> Column:
+        return T.strip(F.replace(F.replace(c, F.lit(f"{taken}a"), F.lit(mark)), F.lit(f"{taken}b"), F.lit(taken)))
 
     def headed(parts: Column) -> Column:
         n = F.greatest(F.floor((F.size(parts) - 1) / 2).cast("int"), F.lit(1))
-        both = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(T.strip(F.element_at(parts, (2 * i).cast("int"))).alias("title"), T.strip(F.element_at(parts, (2 * i + 1).cast("int"))).alias("body")))
+        both = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(back(F.element_at(parts, (2 * i).cast("int"))).alias("title"), back(F.element_at(parts, (2 * i + 1).cast("int"))).alias("body")))
         return F.when(F.size(parts) > 1, both)
 
     found = F.coalesce(T.once(F.split(marked, mark), headed), F.array(F.struct(F.lit("Document").alias("title"), F.col("text").alias("body"))))

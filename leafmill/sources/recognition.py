@@ -14,15 +14,21 @@ def _whole(spark: SparkSession, path: str, glob: str) -> DataFrame:
 
 
 def read_outputs(spark: SparkSession, path: str) -> DataFrame:
-    """(name, text) of a model's output folder: all .md files, else all .txt, else all .json (a string, or the field text or content)."""
+    """(name, text) of a model's output folder: all .md files, else all .txt, else all .json (see from_json)."""
     for glob in ("*.md", "*.txt"):
         found = _whole(spark, path, glob)
         if not found.isEmpty():
             return found
-    raw = _whole(spark, path, "*.json")
+    return from_json(_whole(spark, path, "*.json"))
+
+
+def from_json(raw: DataFrame) -> DataFrame:
+    """(name, text) of JSON outputs: a string, an object's text or content, or a list, whose items are joined with a blank line between; other texts as they are."""
     v = F.try_parse_json("text")
-    item = lambda p: F.try_variant_get(v, p, "string")
-    return raw.select("name", F.coalesce(item("$.text"), item("$.content"), item("$"), F.col("text")).alias("text"))
+    told = lambda x: F.coalesce(F.try_variant_get(x, "$.text", "string"), F.try_variant_get(x, "$.content", "string"), F.try_variant_get(x, "$", "string"))
+    items = F.try_variant_get(v, "$", "array<variant>")
+    listed = F.array_join(F.transform(items, lambda x: F.try_variant_get(x, "$", "string")), "\n\n")
+    return raw.select("name", F.coalesce(F.when(items.isNotNull(), listed), told(v), F.col("text")).alias("text"))
 
 
 def with_tool(rows: DataFrame, tool: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
