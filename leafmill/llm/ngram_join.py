@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import core
-from . import joins, words
+from .. import core, joins
+from . import words
 
 PERCENT = 90
 RATIO = 1.37  # least ratio of the upper sizes of two classes
