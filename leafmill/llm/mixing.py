@@ -28,7 +28,7 @@ from .. import core, joins
 
 WEIGHTS = (5, 2, 1)
 NEAR = 0.01
-CELLS, ROWS_A_CELL, ROWS_SORTED = 4096, 1000, 100_000
+CELLS, ROWS_A_CELL, ROWS_SORTED = 4096, 500, 2000
 
 
 def words_in(text: str) -> Column:
