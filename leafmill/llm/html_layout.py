@@ -5,16 +5,20 @@ cells before the table, as browsers do, and keeps raw text elements whole. Visib
 browsers do not show: head matter, scripts, styles, templates, form data lists, embedded media, annotations and phantoms in MathML, titles, descriptions, metadata and
 definitions in SVG (what ``use`` draws of these is not followed), ``hidden`` and ``display:none`` or ``visibility:hidden`` styles. Everything
 else is text. Paragraphs and their like stand between blank lines, divisions and rows on lines of their own, list items after markers and
-indented by depth, and table cells are padded to columns. White space outside ``pre`` is collapsed.
+indented by depth (to INDENT characters), and table cells are padded to columns, also over colspan and rowspan; a cell of more than WIDE characters does not widen its column.
+White space outside ``pre`` is collapsed.
 
-A null page gives null text, an empty page or one without visible text an empty text. Tags that are never closed, closed twice or cut off by the
-end of the page do no harm: a ``<`` that starts no tag is text. Recursion is not used, so depth has no limit. An empty table gives no rows.
+A null page gives null text, an empty page or one without visible text an empty text. Rows that share a page_id are pages of their own. Tags that are never closed, closed twice or cut off by the
+end of the page do no harm: a ``<`` that starts no tag is text. Recursion is not used, so depth has no limit, and time grows in proportion to a page's length: open elements are found by
+name, tables in more than NESTED others are written row by row, and row spans that would be walked over more than SPAN_STEPS times for each cell are left out of the layout (not their text). An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,10 +57,20 @@ KEPT = frozenset(PARTS) | frozenset("script style template form".split())
 #: Start tags that leave a head open; any other, and text, ends it.
 HEAD_MATTER = frozenset("base basefont bgsound link meta title noscript noframes style script template html head".split())
 
-_TAG = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+_TAG = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)", re.DOTALL)
+#: What is inside a tag after its name, without going back, and its parts.
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_INSIDE = re.compile(r"[^>\"']++|\"[^\"]*+\"|'[^']*+'")
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.IGNORECASE)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
+INDENT, WIDE, SPAN_STEPS, NESTED = 80, 120, 50, 12
+_CLOSED_BY: dict[str, tuple[str, ...]] = {}
+for _own, _names in ENDS.items():
+    for _name in _names:
+        _CLOSED_BY[_name] = (*_CLOSED_BY.get(_name, ()), _own)
+#: Elements beyond which no end tag is implied.
+_STOPS = ("table", "ul", "ol", "dl", "select")
 
 
 class Node:
@@ -66,6 +80,31 @@ class Node:
         self.name, self.attrs, self.children, self.foreign = name, attrs, [], foreign
 
 
+class _Ends:
+    """Where tags end. A tag without an end is text; a place from which no end was found is told at once for later tags, as there are only three ways (none, in either quote) to go over a text."""
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.lost: list[tuple[list[int], list[int]]] = []
+
+    def rest(self, at: int) -> re.Match | None:
+        if at > self.last:
+            return None
+        for starts, ends in self.lost:
+            k = bisect_right(starts, at) - 1
+            if k >= 0 and at <= ends[k]:
+                return None
+        found = _REST.match(self.html, at)
+        if found is None:
+            free = []
+            while m := _INSIDE.match(self.html, at):
+                if m[0][0] not in "\"'":
+                    free.append(m.span())
+                at = m.end()
+            self.lost.append(([a for a, _ in free], [b for _, b in free]))
+        return found
+
+
 def tree(html: str) -> Node:
     """The element tree; children are nodes and strings."""
     root = Node("#root", {})
@@ -73,6 +112,7 @@ def tree(html: str) -> Node:
     # for each open element: the places of the nearest table around it, and of that table if no cell or caption lies between,
     # and of the outermost element of the SVG or MathML it is in; 0 is none
     scopes = [(0, 0, 0)]
+    places: dict[str, list[int]] = {}  # of open elements, by name
 
     def push(node: Node) -> None:
         table, loose, foreign = scopes[-1]
@@ -86,12 +126,20 @@ def tree(html: str) -> Node:
             foreign = foreign or len(stack)
         elif node.name in POINTS:
             foreign = 0
+        places.setdefault(node.name, []).append(len(stack))
         stack.append(node)
         scopes.append((table, loose, foreign))
 
     def cut(k: int) -> None:
+        for node in stack[k:]:
+            places[node.name].pop()
         del stack[k:], scopes[k:]
 
+    def place(name: str) -> int:
+        """Of the innermost open element of that name; 0 if there is none."""
+        found = places.get(name)
+        return found[-1] if found else 0
+
     def append(child: Node | str) -> None:
         loose = scopes[-1][1]
         if loose and stack[-1].name in LOOSE:
@@ -110,36 +158,37 @@ def tree(html: str) -> Node:
                 cut(len(stack) - 1)
             append(text)
 
-    def close(name: str, border: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name == name:
-                cut(k)
-                return
-            if stack[k].name in border:
-                return
-
-    size = len(html)
+    size, ends = len(html), _Ends(html)
+    look = 0
     while at < size:
-        m = _TAG.search(html, at)
+        m = _TAG.search(html, look)
         if not m:
             add_text(html[at:])
             break
+        rest = None
+        if m[2] is not None and (rest := ends.rest(m.end())) is None:
+            # no tag, and no other one begins within its name
+            inner = [k for k in (html.find("<!", m.start() + 1, m.end()), html.find("<?", m.start() + 1, m.end())) if k >= 0]
+            look = min(inner, default=m.end())
+            continue
         add_text(html[at : m.start()])
-        at = m.end()
+        at = look = rest.end() if rest else m.end()
         if m[2] is None:
             if scopes[-1][2] and m[0].startswith("<![CDATA["):
                 end = html.find("]]>", m.start())
-                at = end + 3 if end >= 0 else size
+                at = look = end + 3 if end >= 0 else size
                 append(html[m.start() + 9 : end if end >= 0 else size])
             continue
         name = m[2].lower()
         if m[1]:
-            if name == "p" and not any(n.name == "p" for n in stack):
+            if name == "p" and not place("p"):
                 append(Node("p", {}))
             elif name == "br":
                 append(Node("br", {}))
             else:
-                close(name, {"table"} if name not in ("table", "body", "html") else set())
+                k = place(name)
+                if k and (k >= place("table") or name in ("body", "html")):
+                    cut(k)
             continue
         if stack[-1].name == "head":
             if name in ("html", "head"):
@@ -162,16 +211,16 @@ def tree(html: str) -> Node:
                 push(row)
         elif stack[-1].name == "colgroup" and name != "template":
             cut(len(stack) - 1)
-        # implied end tags: from the innermost open element outwards
-        for k in range(len(stack) - 1, 0, -1):
-            own = stack[k].name
-            if name in ENDS.get(own, ()):
-                between = {n.name for n in stack[k + 1 :]}
-                if not between & BORDER.get(own, set()):
-                    cut(k)
-            if own in ("table", "ul", "ol", "dl", "select") and own not in ENDS:
-                break
-        attrs = {k.lower(): unescape(a or b or c) for k, a, b, c in _ATTR.findall(m[3])}
+        # implied end tags: from the innermost open element outwards, up to a list, a table or a border
+        if name in _CLOSED_BY:
+            stop = max(map(place, _STOPS))
+            while True:
+                k = max((k for own in _CLOSED_BY[name] if (k := place(own)) > stop and all(place(x) <= k for x in BORDER.get(own, ()))), default=0)
+                if not k:
+                    break
+                cut(k)
+        inside = rest[1]
+        attrs = {k.lower(): unescape(a or b or c) for k, a, b, c in _ATTR.findall(inside)}
         foreign = scopes[-1][2] > 0
         node = Node(name, attrs, foreign)
         kept = name in KEPT or (name == "input" and attrs.get("type", "").lower() == "hidden")
@@ -181,7 +230,7 @@ def tree(html: str) -> Node:
             append(node)
         if name == "form" and scopes[-1][1] and stack[-1].name in LOOSE:
             continue  # a form in a table is empty
-        if foreign and m[3].endswith("/"):
+        if foreign and inside.endswith("/"):
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}[\s/>]", re.IGNORECASE).search(html, at) if name != "plaintext" else None
@@ -189,8 +238,8 @@ def tree(html: str) -> Node:
             if raw:
                 node.children.append(unescape(raw) if name in DECODED else raw)
             close_at = html.find(">", end.end() - 1) if end else -1
-            at = close_at + 1 if close_at >= 0 else size
-        elif name not in VOID and not m[3].endswith("/"):
+            at = look = close_at + 1 if close_at >= 0 else size
+        elif name not in VOID and not inside.endswith("/"):
             push(node)
         elif name not in VOID and (name in BLOCK or name in PARTS):
             push(node)  # a slash closes nothing in HTML
@@ -262,17 +311,67 @@ def _cells(table: Node) -> list[list[Node]]:
     return [r for r in rows if r]
 
 
-def _grid(rows: list[list[str]]) -> list[str]:
-    """Cells padded to the widths of their columns; a cell of several lines takes several lines."""
-    width: list[int] = []
+def _span(node: Node, name: str, most: int) -> int:
+    value = node.attrs.get(name, "1").strip()
+    return min(max(int(value), 1), most) if re.fullmatch(r"[0-9]{1,9}", value) else 1
+
+
+def _laid_out(rows: list[list[Node]]) -> list[list[tuple[int, int]]]:
+    """First column, and the column after the last, of each cell: cells stand beside those of rows above that reach down."""
+    budget = SPAN_STEPS * sum(map(len, rows))
+    out, reaching = [], []  # cells that reach down: first column, end, rows left; in order of columns
+    for row in rows:
+        placed, at, k = [], 0, 0
+        for cell in row:
+            width = _span(cell, "colspan", 1000)
+            while k < len(reaching) and reaching[k][0] < at + width:
+                at = max(at, reaching[k][1])
+                k += 1
+                budget -= 1
+            placed.append((at, at + width, _span(cell, "rowspan", 65534)))
+            at += width
+        out.append([p[:2] for p in placed])
+        budget -= len(reaching)
+        if budget < 0:
+            reaching = []
+            continue
+        reaching = sorted([(a, b, n - 1) for a, b, n in (*reaching, *placed) if n > 1])
+    return out
+
+
+def _grid(rows: list[list[str]], places: list[list[tuple[int, int]]] | None = None) -> list[str]:
+    """Cells padded to the widths of their columns; a cell of several lines takes several lines, one over several columns their room."""
+    places = places or [[(k, k + 1) for k in range(len(row))] for row in rows]
+    columns = {a: k for k, a in enumerate(sorted({a for row in places for a, _ in row}))}
+    edges = sorted(columns)
+    width = [0] * len(columns)
     split = [[cell.split("\n") for cell in row] for row in rows]
-    for row in split:
-        for k, cell in enumerate(row):
-            width[k:] = [max([*width[k : k + 1], *map(len, cell)]), *width[k + 1 :]]
+    for row, where in zip(split, places, strict=True):
+        for cell, (a, b) in zip(row, where, strict=True):
+            if bisect_left(edges, b) - columns[a] == 1:
+                width[columns[a]] = max(width[columns[a]], *(n for line in cell if (n := len(line)) <= WIDE), 0)
+    if len(columns) <= WIDE:  # a cell over several columns widens the last of them
+        for row, where in zip(split, places, strict=True):
+            for cell, (a, b) in zip(row, where, strict=True):
+                first, last = columns[a], bisect_left(edges, b) - 1
+                if last > first:
+                    need = max((n for line in cell if (n := len(line)) <= WIDE), default=0) - sum(width[first : last + 1]) - 3 * (last - first)
+                    width[last] += max(need, 0)
+    begin = [0, *accumulate(w + 3 for w in width)]
     out = []
-    for row in split:
+    for row, where in zip(split, places, strict=True):
         for line in range(max(map(len, row))):
-            out.append(" | ".join((cell[line] if line < len(cell) else "").ljust(width[k]) for k, cell in enumerate(row)).rstrip())
+            text, parts = 0, []
+            for k, (cell, (a, _)) in enumerate(zip(row, where, strict=True)):
+                if k or columns[a]:
+                    # up to the mark before this column; longer text pushes on
+                    gap = " " * max(begin[columns[a]] - 3 - text, 0) + " | "
+                    parts.append(gap)
+                    text += len(gap)
+                own = cell[line] if line < len(cell) else ""
+                parts.append(own)
+                text += len(own)
+            out.append("".join(parts).rstrip())
     return out
 
 
@@ -300,7 +399,7 @@ def text_of(root: Node) -> str:
             outs.append(_Out())
         elif item[0] == "grid":
             out.need(2)
-            for line in _grid(item[1]):
+            for line in _grid(item[1], item[2]):
                 out.need(1)
                 out._start()
                 out.parts.append(line)
@@ -326,12 +425,10 @@ def text_of(root: Node) -> str:
             if name == "input":
                 out.text(node.attrs.get("value", "") if node.attrs.get("type", "text").lower() in ("text", "submit", "button", "reset", "search") else "")
                 continue
-            if name == "table" and (rows := _cells(node)):
-                grid: list[list[str]] = []
-                todo.append(("grid", grid))
-                for row in reversed(rows):
-                    cells: list[str] = []
-                    grid.insert(0, cells)
+            if name == "table" and len(outs) <= NESTED and (rows := _cells(node)):
+                grid: list[list[str]] = [[] for _ in rows]
+                todo.append(("grid", grid, _laid_out(rows)))
+                for row, cells in zip(reversed(rows), reversed(grid), strict=True):
                     for cell in reversed(row):
                         todo += [("cell", cells), ("inner", cell, pre), ("open",)]
                 # captions come before the rows
@@ -340,7 +437,7 @@ def text_of(root: Node) -> str:
                 out.need(2)
                 continue
             gap = 0 if item[0] == "inner" else 2 if name in SPACED and not (name in ("ul", "ol") and lists) else 1 if name in BLOCK or (node.foreign and name in ("text", "mtr")) else 0
-            if node.foreign and name == "mtd":
+            if name in ("td", "th") or (node.foreign and name == "mtd"):
                 out.space = True
             if gap:
                 out.need(gap)
@@ -357,7 +454,7 @@ def text_of(root: Node) -> str:
                     if lists and lists[-1][0] == "ol":
                         mark = f"{lists[-1][1]}. "
                         lists[-1][1] += 1
-                out.indent += " " * (len(mark) or 2)
+                out.indent = (out.indent + " " * (len(mark) or 2))[: INDENT + len(mark)]
                 out.marker = mark
             elif name == "q":
                 todo.append(("text", '"', True))

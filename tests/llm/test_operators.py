@@ -4,6 +4,7 @@ import hashlib
 import io
 import itertools
 import re
+import time
 import zipfile
 import zlib
 from collections import Counter
@@ -206,6 +207,36 @@ def test_html_formulas_and_drawings():
         assert html_layout.render(page) == want, page
 
 
+def test_html_spans():
+    for page, want in (
+        ("<table><tr><td>a<td colspan=2>wide one<td>z<tr><td rowspan=2>down<td>b1<td>b2<td>b3<tr><td>c1<td>c2<td>c3</table>", "a    | wide one  | z\ndown | b1 | b2   | b3\n     | c1 | c2   | c3"),
+        ("<table><tr><th colspan=3>title<tr><td>x<td>yyyy<td>z</table>", "title\nx | yyyy | z"),
+        ("<table><tr><td colspan=0>a<td rowspan=x>b<tr><td>c<td>d</table>", "a | b\nc | d"),
+        ("<table><tr><td>" + "w" * 500 + "<td>k<tr><td>a<td>b</table>", "w" * 500 + " | k\na | b"),
+    ):
+        got = html_layout.render(page)
+        assert re.sub(" +", " ", got) == re.sub(" +", " ", want), got
+    lines = html_layout.render("<table><tr><td>a<td colspan=2>wide one<td>z<tr><td rowspan=2>down<td>b1<td>b2<td>b3<tr><td>c1<td>c2<td>c3</table>").split("\n")
+    assert lines[0].index("z") == lines[1].index("b3") == lines[2].index("c3")
+
+
+HOSTILE = ("<div>", "</x>", "</p>", "<a '", '<a "', "<b>", "<p>", "<ul><li>x", "<table><tr><td>", "<span>", "<dd>", "<dt>", "<tr><td>a", "<td>a", "<td colspan=900 rowspan=900>a", "x<b>", "<select><option>", "<svg><![CDATA[", "<title></titl", "<a", "<!", "&", "<math><mi>", "<table>x<b>", "</table>")
+
+
+def seconds(f, page):
+    began = time.process_time()
+    f(page)
+    return time.process_time() - began
+
+
+@pytest.mark.parametrize("one", HOSTILE)
+def test_html_time_grows_in_proportion(one):
+    for other in ("", "<div>", "</x>", "<table><tr><td>", "<p>"):
+        for page in (lambda n: one * n + other * n, lambda n: (one + other) * n, lambda n: other * n + one * n + ">"):  # noqa: B023
+            small = min(seconds(html_layout.render, page(250)) for _ in range(2))
+            assert seconds(html_layout.render, page(2000)) < 20 * small + 0.15, (one, other)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet="<>/abplitdrhe =\"'!-&;", max_size=80))
 def test_html_never_fails(s):
