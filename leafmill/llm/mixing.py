@@ -130,7 +130,7 @@ def _borders(odds: DataFrame, plan: DataFrame, near: float) -> DataFrame:
     last = last.withColumn("taken", F.floor(left / F.col("size")).cast("long")).withColumn("left", left - F.col("taken") * F.col("size")).withColumn("over", F.col("size") - F.col("left"))
     whole = (F.col("over") <= near * F.col("target")) & ((F.col("over") <= F.col("left")) | (F.col("left") > near * F.col("target")))
     cut = F.when(whole | (F.col("left") <= near * F.col("target")), 0).otherwise(F.floor(F.col("left") + 1e-6)).cast("long")
-    last = last.select("key", F.struct("place", "doc_id", "mark").alias("border"), (F.col("taken") + whole.cast("long")).alias("at_border"), cut.alias("border_words"))
+    last = last.select("key", F.struct("place", "doc_id", "mark").alias("border"), (F.col("taken") + whole.cast("long")).alias("at_border"), cut.alias("border_words"), F.col("n").alias("border_rows"))
     return plan.join(last, "key", "left")
 
 
@@ -151,12 +151,18 @@ def _decided(rows: DataFrame, plan: DataFrame, most: float, seed: int, favour: C
     me = F.struct("place", "doc_id", "mark")
     side = F.when(F.col("place").isNull(), 1).when(F.col("border").isNull(), -1).when(me.eqNullSafe(F.col("border")), 0).when(me < F.col("border"), -1).otherwise(1)
     found = found.withColumn("side", side)
-    apart = found.filter("side <> 0").withColumn("copies", F.col("whole") + (F.col("side") < 0).cast("long")).withColumn("cut", F.lit(0).cast("long"))
-    # the rows at the border: one for each source, or as many as repeat
-    n = F.row_number().over(Window.partitionBy("key").orderBy("place"))
-    at = found.filter("side = 0").withColumn("n", n)
-    at = at.withColumn("copies", F.col("whole") + (F.col("n") <= F.col("at_border")).cast("long")).withColumn("cut", F.when(F.col("n") == F.col("at_border") + 1, F.col("border_words")).otherwise(0).cast("long"))
-    return apart.unionByName(at.drop("n"))
+    here = F.col("side") == 0
+
+    def taken(some: DataFrame, n: Column) -> DataFrame:
+        """n: the number, from 1, of a row at the border among its like."""
+        drawn = (F.col("side") < 0) | (here & (n <= F.col("at_border")))
+        return some.withColumn("copies", F.col("whole") + drawn.cast("long")).withColumn("cut", F.when(here & (n == F.col("at_border") + 1), F.col("border_words")).otherwise(0).cast("long"))
+
+    if plan.filter("border_rows > 1").isEmpty():
+        return taken(found, F.lit(1))
+    # rows that repeat at a border are numbered; there are as many as rows of one doc_id, text and source
+    numbered = found.filter(here).withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("place")))
+    return taken(found.filter(~here), F.lit(1)).unionByName(taken(numbered, F.col("n")).drop("n"))
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, near: float = NEAR, favour: Callable[[Column], Column] = by_length) -> DataFrame:
@@ -172,7 +178,8 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: f
     rows = docs.select(_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), words_in("text").alias("size"), _mark().alias("mark"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     found = _decided(rows, plan, most, seed, favour).select("row", "copies", "cut")
     copies = F.concat(F.when(F.col("copies") > 0, F.array_repeat(F.lit(-1).cast("long"), F.col("copies").cast("int"))).otherwise(F.array().cast("array<long>")), F.when(F.col("cut") > 0, F.array("cut")).otherwise(F.array().cast("array<long>")))
-    taken = found.select("row", F.explode(copies).alias("take"))
+    # explode() would have Spark filter empty lists first, and for that count the words of every text again
+    taken = found.select("row", F.explode_outer(copies).alias("take")).filter("take is not null")
     words = F.filter(F.split("row.text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     cut = F.array_join(F.slice(words, 1, F.greatest(F.col("take"), F.lit(0)).cast("int")), " ")
     whole = F.col("take") < 0
