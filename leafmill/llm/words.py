@@ -13,7 +13,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20  # bytes of text that are hashed together
+CHUNK = 1 << 18  # bytes of text that are hashed together
 LONG = 64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
