@@ -97,7 +97,7 @@ def dropped(*tables: DataFrame) -> None:
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most ``rows`` rows and 4 MB, so that long texts cannot fill a Python worker. Smaller bounds that a session has already stay."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
-        now = spark.conf.get(key, "0")
+        now = spark.conf.get(key).removesuffix("b")
         if not (now.isdigit() and 0 < int(now) <= most):
             spark.conf.set(key, str(most))
 
