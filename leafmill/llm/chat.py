@@ -8,7 +8,7 @@ The template here writes control strings around turns. Texts that hold a control
 backslashes are doubled, so every text is read back as it was.
 
 Null roles and texts are empty; a null conv_id is one conversation; turns sort by number (null first), then role and text, and repeated rows are turns of
-their own. An empty table gives conversation -1 only in the query, and no rows here.
+their own. A conversation is held by one task, and rendering its prefixes takes time and memory with the square of its turns (0.2 s for 1,000 turns of 200 characters). An empty table gives conversation -1 only in the query, and no rows here.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ plans one partition for each range of RANGE bytes; a task reads the archive's di
 through Arrow. Each member is read on its own by its offset and tried again on its own; one that stays unreadable gives a row with ``error``.
 
 Null texts are empty; an empty payload is one row of padding. Equal texts give equal media bytes: names and places of members are not part of them. Rows that
-share a doc_id are members of their own. An empty table gives no archive and no rows.
+share a doc_id, or repeat whole, are members of their own. A very long text is one member, held by one task; archives and byte ranges are not split within a member. An empty table gives no archive and no rows.
 """
 
 from __future__ import annotations

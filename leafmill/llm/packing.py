@@ -1,14 +1,14 @@
 """Packing of token sequences by non-negative least squares over shallow length combinations.
 
-A document's ids are cut into windows of the full length, a main piece of a multiple of UNIT tokens and a
-tail below UNIT. Windows stand alone. Main pieces have lengths 1 to 63 units, so combinations of up to four lengths that
+A document's ids are cut into windows of the full length, a main piece of a multiple of a unit (a 64th of the window) and a
+tail below it. Windows stand alone. Main pieces have lengths 1 to 63 units at any window, so combinations of up to four lengths that
 fill a window exactly are enumerated; non-negative least squares finds how often each combination is used to match the
 histogram of lengths; counts are rounded down, and what is left is packed greedily, many equal
 sequences at a time. The driver sees the histogram and the plan, both of a size that only depends on the
 window; pieces find their sequence by their rank among pieces of the same length.
 
-Null texts are empty: they hold the end id alone. Rows that share a doc_id are documents of their own.
-An empty table gives no rows.
+Null texts are empty: they hold the end id alone. Rows that share a doc_id are documents of their own; pieces of equal length are ranked by doc_id, start and
+checksum, and rows that repeat in all of these are alike, so either may come first. Very long texts are many windows. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,11 +26,16 @@ from .. import core
 from . import bpe
 
 WINDOW = 4096
-UNIT = 64
+UNITS = 64
 ROWS_A_BUCKET = 5_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+def unit_of(window: int) -> int:
+    """Lengths are told apart by units, so that their number, and with it the plan, is the same for every window."""
+    return max(1, window // UNITS)
+
+
 @lru_cache
 def combinations(units: int, depth: int = 4) -> tuple[tuple[int, ...], ...]:
     """Falling sequences of 2 to depth parts that add up to units."""
@@ -76,12 +81,13 @@ def nnls(a: np.ndarray, b: np.ndarray, most: int = 400) -> np.ndarray:
     return x
 
 
-def plan(histogram: dict[int, int], window: int = WINDOW, unit: int = UNIT) -> list[tuple[int, int, int, int, int, int]]:
+def plan(histogram: dict[int, int], window: int = WINDOW, unit: int | None = None) -> list[tuple[int, int, int, int, int, int]]:
     """Slots (length, first rank, end rank, first sequence, pieces of this slot in a sequence, offset).
 
     A piece of that length and rank r in [first, end) goes to sequence first_sequence + (r - first) // pieces,
     at offset + (r - first) % pieces * length.
     """
+    unit = unit or unit_of(window)
     left = {k: v for k, v in sorted(histogram.items(), reverse=True) if v > 0 and k > 0}
     ranks = dict.fromkeys(left, 0)
     slots, sequence = [], 0
@@ -125,9 +131,10 @@ def plan(histogram: dict[int, int], window: int = WINDOW, unit: int = UNIT) -> l
     return slots
 
 
-def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, window: int = WINDOW, unit: int = UNIT) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, window: int = WINDOW, unit: int | None = None) -> DataFrame:
     """The pieces of every document: doc_id, start, length, ids_crc32, doc_tokens."""
     core.bounded_batches(docs.sparkSession)
+    unit = unit or unit_of(window)
 
     def cut(batches):
         coder = bpe.encoder(bpe.vocabulary(vocabulary))
@@ -153,7 +160,7 @@ def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
 
 
-def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, window: int = WINDOW, unit: int = UNIT) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, window: int = WINDOW, unit: int | None = None) -> DataFrame:
     """Pieces with their sequence_id and offset. Every id lies in one piece; a sequence has no gaps."""
     spark = docs.sparkSession
     cut = core.stored(pieces(docs, vocabulary, end_id, window, unit), "pieces")
