@@ -17,7 +17,7 @@ from ..functions import markup
 from ..functions import text as T
 from ..operators import fidelity, package, shaping
 from ..sources import epub
-from . import library, report
+from . import jobs, library, report
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -606,3 +606,34 @@ def converted_books(spark, d):
     verdicts, _, _ = library.validate(members)
     counted = members.groupBy("epub").agg(F.count_if(F.col("name").rlike("chapter_[0-9]+")).alias("chapters"), F.count_if(F.endswith("name", F.lit("page_0_0.jpg"))).alias("figures"))
     return verdicts.join(counted, "epub").select(F.col("epub").cast("long").alias("item_id"), "chapters", "figures", "verdict")
+
+
+@query("SELECT item_id, CAST(CASE item_id % 4 WHEN 0 THEN item_id % 5 + 1 WHEN 1 THEN item_id % 7 + 1 END AS INTEGER) AS page_count, CASE WHEN item_id % 4 < 2 THEN 'pending' ELSE 'error' END AS status, CASE item_id % 4 WHEN 2 THEN 'not a PDF by its name' WHEN 3 THEN 'the PDF cannot be opened' END AS error, CAST(CASE WHEN item_id % 4 < 2 THEN 200 ELSE 400 END AS INTEGER) AS code, item_id % 4 < 2 AS kept FROM benchmark")
+def uploads_accepted(spark, d):
+    """Items as uploads: PDFs whose page tree or page objects tell their number, texts, and names that are no PDF's."""
+    k, n = F.col("item_id") % 4, F.lit("%PDF-1.7\n")
+    tree = F.concat(n, F.lit("1 0 obj << /Type /Pages /Kids [] /Count "), (F.col("item_id") % 5 + 1).cast("string"), F.lit(" >> endobj << /Type /Page >>"))
+    objects = F.concat(n, F.repeat(F.lit("<< /Type /Page /Parent 1 0 R >> "), (F.col("item_id") % 7 + 1).cast("int")), F.lit("<< /Type /PageLabel >>"))
+    content = F.when(k == 1, objects).when(k == 3, F.col("text")).otherwise(tree)
+    name = F.concat(F.col("item_id").cast("string"), F.when(k == 2, ".doc").when(k == 1, ".PDF").otherwise(".pdf"))
+    log = jobs.accept(table(spark, d, "benchmark").select(name.alias("filename"), F.encode(content, "UTF-8").alias("content")), core.work_folder(spark, "uploads"))
+    page_count = F.when(F.col("error").isNull(), F.col("page_count"))
+    return log.select(F.regexp_extract("original_name", r"^(\d+)", 1).cast("long").alias("item_id"), page_count.alias("page_count"), "status", "error", "code", F.col("pdf_path").isNotNull().alias("kept"))
+
+
+@query("SELECT doc_id, CAST(CASE doc_id % 5 WHEN 0 THEN 404 WHEN 1 THEN 409 WHEN 2 THEN 409 WHEN 3 THEN CASE WHEN doc_id % 2 = 0 OR doc_id % 3 = 0 THEN 200 ELSE 503 END ELSE CASE WHEN doc_id % 2 = 0 OR doc_id % 3 = 0 THEN 200 ELSE 503 END END AS INTEGER) AS code, doc_id % 4 = 0 AS safe, ['My Book_ 1.epub', source || '.epub', 'document.epub'][doc_id % 3 + 1] AS output FROM documents")
+def job_guards(spark, d):
+    """Documents as jobs in every state, with good and bad file names."""
+    status = _pick(F.col("doc_id"), F.lit(None).cast("string"), "processing", "done", "pending", "error")
+    name = _pick(F.col("doc_id"), "a b.EPUB", "../a.epub", "a.pdf", "x/y.epub")
+    asked = _pick(F.col("doc_id"), "My Book: 1", "", F.lit(None).cast("string"))
+    uploaded = _pick(F.col("doc_id"), "x.pdf", F.concat("source", F.lit(".pdf")), F.lit(None).cast("string"))
+    return table(spark, d, "documents").select("doc_id", jobs.start_code(status, F.col("doc_id") % 2 == 0, F.col("doc_id") % 3 == 0).alias("code"), jobs.safe_filename(name).alias("safe"), jobs.output_name(asked, uploaded).alias("output"))
+
+
+@query("SELECT doc_id, CAST(3 AS INTEGER) AS page_index, CAST(doc_id % 7 AS INTEGER) AS image_index FROM documents WHERE doc_id % 6 > 3")
+def figures_in_range(spark, d):
+    """Figures on page 3 of documents of 0 to 5 pages."""
+    docs = table(spark, d, "documents")
+    refs = shaping.figure_refs(docs.select("doc_id", F.concat(F.lit("images/page_3_"), (F.col("doc_id") % 7).cast("string"), F.lit(".jpg")).alias("text")))
+    return jobs.in_range(refs, docs.select("doc_id", (F.col("doc_id") % 6).alias("page_count"))).select("doc_id", "page_index", "image_index")

@@ -14,9 +14,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from leafmill import core, joins
-from leafmill.functions import images, markup, paths, text
+from leafmill.functions import images, markup, paths, pdf, text
 from leafmill.operators import fidelity, package, shaping
-from leafmill.plans import library, report
+from leafmill.plans import jobs, library, report
 from leafmill.sources import epub
 
 
@@ -307,3 +307,16 @@ def test_render_order_and_bound(spark):
     rows = package.to_render(spine, entries, packs, members, most=3)
     assert [(r["document"], r["is_nav"], r["content"] is None) for r in rows.orderBy("pos").collect()] == [("p0", True, False), ("p1", False, False), ("p2", False, True)]
     assert [(r["code"], r["location"]) for r in package.render_failures(rows, packs, members).collect()] == [("render/missing-spine-doc", "p2")]
+
+
+def test_pdf_pages(spark, tmp_path):
+    packed = zlib.compress(b"1 0 2 20 << /Type /Pages /Count 12 /Kids [3 0 R] >> << /Type /Page >>")
+    cases = [(b"%PDF-1.7 << /Type /Pages /Kids [<< /X 1 >>] /Count 3 >> << /Type /Pages /Count 2 >> << /Type /Page >>", 3), (b"%PDF-1.4 << /Type /Page /A << /B 1 >> >> <</Type/Page>> << /Type /PageLabel >>", 2), (b"%PDF-1.5 5 0 obj << /Type /ObjStm /Filter /FlateDecode >> stream\n" + packed + b"\nendstream", 12), (b"no pdf /Type /Page", None), (b"%PDF-1.4", None), (b"", None), (None, None), (b"%PDF-1.5 << /ObjStm >> stream\nxx", None)]
+    assert [pdf.page_count(data) for data, _ in cases] == [n for _, n in cases]
+    (tmp_path / "in").mkdir()
+    for k, (data, _) in enumerate(cases[:4]):
+        (tmp_path / "in" / f"b{k}.{'PDF' if k % 2 else 'pdf'}").write_bytes(data)
+    (tmp_path / "in" / "other.txt").write_bytes(b"x")
+    log = {r["original_name"]: r for r in jobs.accept(jobs.ingest(spark, str(tmp_path / "in")), str(tmp_path / "kept")).collect()}
+    assert {n: (r["status"], r["page_count"], r["code"]) for n, r in log.items()} == {"b0.pdf": ("pending", 3, 200), "b1.PDF": ("pending", 2, 200), "b2.pdf": ("pending", 12, 200), "b3.PDF": ("error", None, 400)}
+    assert len({r["job_id"] for r in log.values()}) == 4 and all(os.path.exists(r["pdf_path"]) for r in log.values() if r["code"] == 200) and len(os.listdir(tmp_path / "kept")) == 3
