@@ -17,6 +17,8 @@ from ..functions import text as T
 ERROR_BELOW, WARN_BELOW, POOR_PAGE, EXTRA_OVER, TITLES_BELOW = 0.75, 0.90, 0.5, 0.20, 0.75
 SPANS_TOLD, SPANS_KEPT, TITLES_KEPT, TITLES_TOLD = 20, 50, 25, 5
 MOJIBAKE = "[ÂÃ][-¿–—‘’“”®©]"
+#: Keys (24 bytes each) that are broadcast at most.
+FEW = 100_000
 IMAGE_NAME = r"(?i)\.(jpg|jpeg|png|gif|webp)$"
 
 
@@ -49,7 +51,7 @@ def joined_runs(pages: DataFrame, keys: list[str], n: int = 5) -> DataFrame:
 
 def among(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
     """Rows whose key is in ``few``, which is stored and has no key twice; it is broadcast if it is small."""
-    small = few.limit(joins.SMALL * 5 + 1).count() <= joins.SMALL * 5
+    small = few.limit(FEW + 1).count() <= FEW
     return rows.join(F.broadcast(few) if small else few, on, "left_semi")
 
 
