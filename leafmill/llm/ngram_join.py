@@ -252,14 +252,15 @@ def connected(edges: DataFrame, what: str = "components") -> DataFrame:
     """
     both = core.stored(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), f"{what}-edges")
     labels = core.stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("root")), what)
+    hubs = joins.frequent_keys(both, "v")
     while True:
-        near = joins.looked_up(both, labels.select(F.col("node").alias("v"), "root"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
+        near = joins.looked_up(both, labels.select(F.col("node").alias("v"), "root"), "v", hot=hubs).groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
         better = core.stored(labels.join(near, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")), f"{what}-near")
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
         new = core.stored(joins.looked_up(better, jump, "root", "left").select("node", "old", F.least("root", "far").alias("root")), what)
         core.dropped(labels, better)
         if new.filter("old <> root").isEmpty():
-            core.dropped(both)
+            core.dropped(both, hubs)
             return new.select("node", "root")
         labels = new
 
@@ -365,7 +366,7 @@ def _components(docs: DataFrame, n: int, percent: int, marked: bool = False) ->
         core.release()
 
     def shared_parts(table: pa.Table) -> pa.Table:
-        """Of one range of fingerprints, those that two or more nodes have; of a row of frequent ones, all."""
+        """Of one range of fingerprints, those that two or more nodes have, with their number; of a row of frequent ones, all."""
         flat = np.frombuffer(b"".join(table["packed"].to_pylist()), np.uint8).reshape(-1, 12)
         wide = np.zeros((2, len(flat), 8), np.uint8)
         wide[0, :, :6], wide[1, :, :6] = flat[:, :6], flat[:, 6:]
@@ -379,12 +380,19 @@ def _components(docs: DataFrame, n: int, percent: int, marked: bool = False) ->
         heads = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         count = np.diff(np.append(heads, len(sig)))
         many = np.repeat((count > 1) | (part % (SPREAD + 1) > 0), count)
-        return pa.table({"sig": sig[many].view(np.int64), "key": key[many].view(np.int64)})
-
-    shared = texts.select("text").mapInArrow(all_parts, "part long, packed binary").groupBy("part").applyInArrow(shared_parts, "sig long, key long")
-    shared = core.stored(shared.distinct(), "parts")
-    counts = core.stored(shared.groupBy("sig").agg(F.count("*").alias("count")), "part-counts")
-    parts = joins.looked_up(shared, counts, "sig")
+        lane = np.full(many.sum(), part % (SPREAD + 1), np.int32)
+        return pa.table({"sig": sig[many].view(np.int64), "key": key[many].view(np.int64), "count": np.repeat(count, count)[many], "lane": lane})
+
+    shared = texts.select("text").mapInArrow(all_parts, "part long, packed binary").groupBy("part").applyInArrow(shared_parts, "sig long, key long, count long, lane int")
+    shared = core.stored(shared, "parts")
+    spread = core.stored(shared.filter("lane > 0").select("sig").distinct(), "spread-parts")
+    parts = shared.select("sig", "key", "count")
+    if not spread.isEmpty():
+        # of fingerprints that went several ways the nodes meet here, and are counted
+        few = F.broadcast(spread) if spread.limit(joins.SMALL + 1).count() <= joins.SMALL else spread
+        met = core.stored(parts.join(few, "sig", "left_semi").select("sig", "key").distinct(), "met-parts")
+        met = joins.looked_up(met, core.stored(met.groupBy("sig").agg(F.count("*").alias("count")), "part-counts"), "sig", weight="count")
+        parts = parts.join(few, "sig", "left_anti").unionByName(met.select("sig", "key", "count"))
     size_class = F.col("sig").bitwiseAND(F.lit(127))
     tops, _ = _classes(percent)
 
@@ -395,7 +403,7 @@ def _components(docs: DataFrame, n: int, percent: int, marked: bool = False) ->
     by_count = Window.partitionBy("key", size_class).orderBy(F.desc("count"), "sig")
     parts = parts.withColumn("place", F.row_number().over(by_count)).filter(F.col("place") > of_class(_spare(c, percent)[1] for c in range(len(tops)))).drop("place")
     parts = core.stored(parts.select("sig", "key", "count"), "shared-parts")
-    core.dropped(shared, counts)
+    core.dropped(shared, spread)
 
     room = of_class(max(2, min(BLOCK_SETS, BLOCK_TOKENS // int(t))) for t in tops)
     best = core.stored(parts.groupBy("key").agg(F.max(F.struct("count", "sig")).alias("b")).select("key", "b.sig"), "best")
@@ -404,12 +412,12 @@ def _components(docs: DataFrame, n: int, percent: int, marked: bool = False) ->
         held = parts.select(F.col("sig").alias("shared"), "key").join(best, "key").filter(F.col("shared").bitwiseAND(F.lit(127)) >= size_class).select("shared", "sig").distinct()
         held = core.stored(held, "group-parts")
         wide = core.stored(held.groupBy("shared").agg(F.count("*").alias("count")).filter("count > 1"), "wide-parts")
-        joined = core.stored(joins.looked_up(held, wide, "shared").groupBy("sig").agg(F.max(F.struct("count", "shared")).alias("b")).select("sig", F.col("b.shared").alias("to")), "joined")
+        joined = core.stored(joins.looked_up(held, wide, "shared", weight="count").groupBy("sig").agg(F.max(F.struct("count", "shared")).alias("b")).select("sig", F.col("b.shared").alias("to")), "joined")
         new = core.stored(joins.looked_up(best, joined, "sig", "left").select("key", F.coalesce("to", "sig").alias("sig")), "best")
         core.dropped(best, held, wide, joined)
         best = new
     groups = core.stored(best.groupBy("sig").agg(F.count("*").alias("count"), F.min("key").alias("lead")), "groups")
-    members = joins.looked_up(best, groups, "sig").withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(7)), F.ceil(F.col("count") / room)).cast("int")).select("key", "sig", "chunk", "lead", F.lit(True).alias("home"))
+    members = joins.looked_up(best, groups, "sig", weight="count").withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(7)), F.ceil(F.col("count") / room)).cast("int")).select("key", "sig", "chunk", "lead", F.lit(True).alias("home"))
     members = core.stored(members.union(members.select(F.col("lead").alias("key"), "sig", "chunk", "lead", F.lit(False)).distinct()), "members")
 
     # Texts are read again for one document of each member. A bit map of fixed size keeps most others out; whatever it lets through falls out in the join.
@@ -446,7 +454,7 @@ def _components(docs: DataFrame, n: int, percent: int, marked: bool = False) ->
     # only fingerprints that meet in several components matter; the blocks of a frequent one are dealt to several tasks, each with all others
     open_parts = units.groupBy("shared").agg(F.min("low").alias("a"), F.max("high").alias("b"), F.count("*").alias("n")).filter("a <> b").select("shared", F.ceil(F.col("n") / BLOCKS_A_TASK).cast("int").alias("lanes"))
     open_parts = core.stored(open_parts, "open-parts")
-    units = core.stored(joins.looked_up(units, open_parts, "shared"), "open-units")
+    units = core.stored(joins.looked_up(units, open_parts, "shared", weight="lanes"), "open-units")
     core.dropped(units_stored, open_parts)
     units_stored = units
     other = units.select("shared", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), *[F.col(c).alias(f"{c}2") for c in ("sig", "chunk", "low", "high")])
