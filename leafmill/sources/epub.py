@@ -15,6 +15,7 @@ from urllib.parse import unquote, urlparse
 from xml.etree import ElementTree as ET
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from ..functions import markup
 from ..functions.batches import on_batches
 
 MEMBERS = "epub string, ord int, name string, compress_type int, content binary, error string"
+MEMBERS_A_BATCH = 64
+_ARROW = pa.schema([("epub", pa.string()), ("ord", pa.int32()), ("name", pa.string()), ("compress_type", pa.int32()), ("content", pa.binary()), ("error", pa.string())])
 NS = {"c": "urn:oasis:names:tc:opendocument:xmlns:container", "o": "http://www.idpf.org/2007/opf", "d": "http://purl.org/dc/elements/1.1/"}
 FIELDS = ("identifier", "title", "language")
 
@@ -64,7 +67,9 @@ class _Reader(DataSourceReader):
         if partition.path:
             system = fs.FileSystem.from_uri(self.path)[0] if ":/" in self.path else fs.LocalFileSystem()
             with system.open_input_file(partition.path) as f:
-                yield from members_of(partition.path, f.read())
+                rows = members_of(partition.path, f.read())
+            for k in range(0, len(rows), MEMBERS_A_BATCH):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + MEMBERS_A_BATCH], strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
 class EpubSource(DataSource):
@@ -303,8 +308,6 @@ def write_files(books: DataFrame, folder: str) -> DataFrame:
     """Writes archives (filename, content) as files of ``folder``; each is written beside its place first and then moved, so a reader never sees half of one. Returns (path, size)."""
 
     def run(batches):
-        import pyarrow as pa
-
         system, local = fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
         system.create_dir(local, recursive=True)
         for batch in batches:
@@ -442,8 +445,6 @@ def rewrite(paths: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             out = []
             for path in batch["path"].to_pylist():
