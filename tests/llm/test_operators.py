@@ -464,6 +464,24 @@ def test_fingerprints(docs, odd, empty):
     assert multiset_hash.fingerprints(empty).collect() == []
 
 
+def test_likeness_of_documents(docs):
+    """Against the exact Jaccard likeness of the paragraphs' multisets: the mean error and the largest."""
+
+    def paragraphs(t):
+        raw = t.encode()
+        return Counter(raw[i:j] for i, j in itertools.pairwise([0, *multiset_hash.cuts(raw).tolist()]))
+
+    own = dict(sorted(((r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()), reverse=True))
+    names, off = list(own), []
+    for r in multiset_hash.fingerprints(docs).collect():
+        text, follow = own[r["doc_id"]], own[names[(names.index(r["doc_id"]) + 1) % len(names)]]
+        cut = len(text) // 3
+        for got, other in ((r["near_edited"], text[: len(text) - cut] + follow[:cut]), (r["near_next"], follow)):
+            x, y = paragraphs(text), paragraphs(other)
+            off.append(abs(got - ((x & y).total() / (x | y).total() if x or y else 1.0)))
+    assert np.mean(off) < 0.07 and max(off) < 0.4, (np.mean(off), max(off))
+
+
 def test_fingerprint_is_a_multiset():
     a, b = multiset_hash.fingerprint("x one\ny two\nz three\n"), multiset_hash.fingerprint("z three\nx one\ny two\n")
     assert a.hex() == b.hex() != multiset_hash.fingerprint("x one\nx one\ny two\nz three\n").hex()
