@@ -7,7 +7,8 @@ without the rest of the text, and the order of paragraphs does not matter.
 The vector has two parts. Four 64-bit lanes are dense and decide equality. LEVELS x LANES 8-bit lanes are sparse: a paragraph has one
 non-zero lane, on level k for a share 2^-(k+1) of all paragraphs. Lanes that differ between two sums estimate how many paragraphs
 differ, and with both counts the Jaccard likeness. The top level has a share of 2^-31, so it is not full for any two texts that a row can
-hold. Written out, levels above the last one with a non-zero lane are left out. The last 32 bits count paragraphs.
+hold. A paragraph that one text has many times more than the other changes one lane only, so
+likeness is told too high where lines repeat (its bound is the difference of the counts). Written out, levels above the last one with a non-zero lane are left out. The last 32 bits count paragraphs.
 
 Null texts are empty texts; these have no paragraph and the zero fingerprint. Rows are ordered by descending doc_id, null last, rows of one
 doc_id by text. Equal texts have equal fingerprints. An empty table gives no rows.
