@@ -46,9 +46,10 @@ BLOCK_SETS, BLOCK_TOKENS = 128, 1 << 18
 FLUSH = 1 << 19
 BITS = 1 << 24
 REGROUPED = 2  # rounds in which groups join the group that most of them share a fingerprint with
-FREQUENT, SPREAD = 256, 32  # a fingerprint that a task meets more often than this goes to so many rows of its range
+FREQUENT, SPREAD = 512, 32  # a fingerprint that a task meets more often than this goes to so many rows of its range
 BLOCKS_A_TASK = 64  # blocks of one fingerprint that a task pairs with all others of it
 OPEN_BLOCKS = 8  # blocks whose token sets a task keeps while it compares pairs
+_MARK = 1 << 47  # above the key of a node: its fingerprint is frequent
 _K = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -84,7 +85,7 @@ def digest(tokens: np.ndarray) -> bytes:
 
 def _key(node: bytes) -> int:
     """The short name of a node, by which it is looked up before its full name is compared."""
-    return int.from_bytes(node[:6], "little")
+    return int.from_bytes(node[:6], "little") & (_MARK - 1)
 
 
 @lru_cache
@@ -319,8 +320,8 @@ def _components(docs: DataFrame, n: int, percent: int, marked: bool = False) ->
     def all_parts(batches):
         """Part fingerprints as packed rows, one for each of the ``dealt`` ranges: of a fingerprint the low 6 bytes, as the range tells most of the rest, and the 6 bytes of its node's key.
 
-        Fingerprints that are frequent here go to one of SPREAD rows by their key, so that a range stays small; two of their keys also go the common way, which tells it that
-        they are shared.
+        Fingerprints that are frequent here go to one of SPREAD rows by their key, so that a range stays small; one of their keys also goes the common way, marked, which tells
+        it that they are frequent.
         """
         seen: set[bytes] = set()
         held: list[np.ndarray] = []
@@ -333,10 +334,8 @@ def _components(docs: DataFrame, n: int, percent: int, marked: bool = False) ->
             lane = np.zeros(len(sig), np.uint64)
             if len(many):
                 lane[many] = 1 + words.mix(key[many]) % np.uint64(SPREAD)
-                by = many[np.lexsort((key[many], own[many]))]
-                first = np.concatenate([[True], own[by][1:] != own[by][:-1]])
-                two = by[first | np.concatenate([[False], first[:-1]])]
-                sig, key, lane = np.concatenate([sig, sig[two]]), np.concatenate([key, key[two]]), np.concatenate([lane, np.zeros(len(two), np.uint64)])
+                one = many[np.unique(own[many], return_index=True)[1]]
+                sig, key, lane = np.concatenate([sig, sig[one]]), np.concatenate([key, key[one] | np.uint64(_MARK)]), np.concatenate([lane, np.zeros(len(one), np.uint64)])
             part = (((sig >> np.uint64(32)) * np.uint64(dealt)) >> np.uint64(32)) * np.uint64(SPREAD + 1) + lane
             order = np.argsort(part, kind="stable")
             both = np.concatenate([x[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6] for x in (sig, key)], 1)
@@ -366,33 +365,33 @@ def _components(docs: DataFrame, n: int, percent: int, marked: bool = False) ->
         core.release()
 
     def shared_parts(table: pa.Table) -> pa.Table:
-        """Of one range of fingerprints, those that two or more nodes have, with their number; of a row of frequent ones, all."""
+        """Of one range of fingerprints, those that two or more nodes have, with their number; of frequent ones all, which are told by ``lane``."""
         flat = np.frombuffer(b"".join(table["packed"].to_pylist()), np.uint8).reshape(-1, 12)
         wide = np.zeros((2, len(flat), 8), np.uint8)
         wide[0, :, :6], wide[1, :, :6] = flat[:, :6], flat[:, 6:]
         sig, key = wide.view("<u8")[:, :, 0]
         part = table["part"][0].as_py()
         sig |= np.uint64(part // (SPREAD + 1) << 48)
+        frequent = np.unique(sig[key >= np.uint64(_MARK)])
+        key &= np.uint64(_MARK - 1)
         order = np.lexsort((key, sig))
         sig, key = sig[order], key[order]
         fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])])
         sig, key = sig[fresh], key[fresh]
         heads = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         count = np.diff(np.append(heads, len(sig)))
-        many = np.repeat((count > 1) | (part % (SPREAD + 1) > 0), count)
-        lane = np.full(many.sum(), part % (SPREAD + 1), np.int32)
-        return pa.table({"sig": sig[many].view(np.int64), "key": key[many].view(np.int64), "count": np.repeat(count, count)[many], "lane": lane})
+        lane = np.where(np.isin(sig, frequent), -1, part % (SPREAD + 1)).astype(np.int32)
+        many = np.repeat(count > 1, count) | (lane != 0)
+        return pa.table({"sig": sig[many].view(np.int64), "key": key[many].view(np.int64), "count": np.repeat(count, count)[many], "lane": lane[many]})
 
     shared = texts.select("text").mapInArrow(all_parts, "part long, packed binary").groupBy("part").applyInArrow(shared_parts, "sig long, key long, count long, lane int")
     shared = core.stored(shared, "parts")
-    spread = core.stored(shared.filter("lane > 0").select("sig").distinct(), "spread-parts")
-    parts = shared.select("sig", "key", "count")
-    if not spread.isEmpty():
-        # of fingerprints that went several ways the nodes meet here, and are counted
-        few = F.broadcast(spread) if spread.limit(joins.SMALL + 1).count() <= joins.SMALL else spread
-        met = core.stored(parts.join(few, "sig", "left_semi").select("sig", "key").distinct(), "met-parts")
-        met = joins.looked_up(met, core.stored(met.groupBy("sig").agg(F.count("*").alias("count")), "part-counts"), "sig", weight="count")
-        parts = parts.join(few, "sig", "left_anti").unionByName(met.select("sig", "key", "count"))
+    parts = shared.filter("lane = 0").select("sig", "key", "count")
+    # of fingerprints that went several ways the nodes meet here, and are counted
+    met = core.stored(shared.filter("lane <> 0").select("sig", "key").distinct(), "met-parts")
+    if not met.isEmpty():
+        counts = core.stored(met.groupBy("sig").agg(F.count("*").alias("count")).filter("count > 1"), "part-counts")
+        parts = parts.unionByName(joins.looked_up(met, counts, "sig", weight="count").select("sig", "key", "count"))
     size_class = F.col("sig").bitwiseAND(F.lit(127))
     tops, _ = _classes(percent)
 
@@ -403,7 +402,7 @@ def _components(docs: DataFrame, n: int, percent: int, marked: bool = False) ->
     by_count = Window.partitionBy("key", size_class).orderBy(F.desc("count"), "sig")
     parts = parts.withColumn("place", F.row_number().over(by_count)).filter(F.col("place") > of_class(_spare(c, percent)[1] for c in range(len(tops)))).drop("place")
     parts = core.stored(parts.select("sig", "key", "count"), "shared-parts")
-    core.dropped(shared, spread)
+    core.dropped(shared, met)
 
     room = of_class(max(2, min(BLOCK_SETS, BLOCK_TOKENS // int(t))) for t in tops)
     best = core.stored(parts.groupBy("key").agg(F.max(F.struct("count", "sig")).alias("b")).select("key", "b.sig"), "best")
@@ -460,8 +459,15 @@ def _components(docs: DataFrame, n: int, percent: int, marked: bool = False) ->
     other = units.select("shared", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), *[F.col(c).alias(f"{c}2") for c in ("sig", "chunk", "low", "high")])
     units = units.withColumn("lane", F.pmod(F.xxhash64("sig", "chunk"), F.col("lanes")).cast("int"))
     pairs = units.join(other, ["shared", "lane"]).filter("(sig < sig2 or sig = sig2 and chunk < chunk2) and not (low = high and low2 = high2 and low = low2)").select("sig", "chunk", "sig2", "chunk2").distinct()
-    pairs = pairs_stored = core.stored(pairs, "block-pairs")
+    pairs = core.stored(pairs, "block-pairs")
     core.dropped(units_stored)
+    # of two blocks the one with less text goes to the other
+    sizes = core.stored(blocks.select("sig", "chunk", F.octet_length("packed").alias("bytes")), "block-sizes")
+    sized = pairs.join(sizes, ["sig", "chunk"]).join(sizes.select(*[F.col(c).alias(f"{c}2") for c in ("sig", "chunk", "bytes")]), ["sig2", "chunk2"])
+    less = F.col("bytes") <= F.col("bytes2")
+    turned = [F.when(less, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("sig", "sig2"), ("chunk", "chunk2"), ("sig2", "sig"), ("chunk2", "chunk"))]
+    pairs = pairs_stored = core.stored(sized.select(*turned), "block-pairs")
+    core.dropped(sizes)
     needed = _bits(pairs.select("sig", "chunk").union(pairs.select("sig2", "chunk2")), "sig", "chunk")
     needed = spark.sparkContext.broadcast(needed)
 
