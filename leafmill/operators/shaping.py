@@ -56,10 +56,13 @@ def text_layer(pages: DataFrame, toc: DataFrame, images: DataFrame | None = None
     return done.select("doc_id", F.when(F.col("n") >= F.greatest(F.lit(1), F.floor(F.col("pages") * F.lit(TEXT_PAGES))), F.col("whole")).otherwise("").alias("text"))
 
 
-def figures_kept(images: DataFrame) -> DataFrame:
-    """Images of a page that count as figures: large enough, no full-page background, and the first of an xref. image_index counts all images of the page."""
+def figures_kept(images: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Images of a page that count as figures: large enough, no full-page background, and the first of an xref. image_index counts all images of the page.
+
+    Where rows repeat an image_index, ``ties`` are columns by which one of them is first.
+    """
     fit = images.filter("width >= 80 and height >= 80")
-    first = Window.partitionBy("doc_id", "page_index", "xref").orderBy("image_index")
+    first = Window.partitionBy("doc_id", "page_index", "xref").orderBy("image_index", *ties)
     return fit.withColumn("n", F.row_number().over(first)).filter("n = 1 and area_fraction < 0.8").drop("n")
 
 

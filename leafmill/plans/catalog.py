@@ -352,9 +352,9 @@ def figure_refs(spark, d):
 
 @query("SELECT l_orderkey AS doc_id, CAST(min(l_linenumber) AS INTEGER) AS image_index, l_partkey AS xref FROM lineitem WHERE l_quantity >= 10 GROUP BY l_orderkey, l_partkey HAVING min_by(l_discount, l_linenumber) < 0.08")
 def figures_kept(spark, d):
-    """Order lines as images: part as xref, quantity as size, discount as share of the page."""
-    x = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_index"), F.col("l_linenumber").alias("image_index"), F.col("l_partkey").alias("xref"), (F.col("l_quantity") * 8).alias("width"), (F.col("l_quantity") * 8).alias("height"), (F.col("l_discount") * 10).alias("area_fraction"))
-    return shaping.figures_kept(x).select("doc_id", F.col("image_index").cast("int").alias("image_index"), "xref")
+    """Order lines as images: part as xref, quantity as size, discount as share of the page. Of lines that repeat a number the first in the table counts."""
+    x = table(spark, d, "lineitem").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_index"), F.col("l_linenumber").alias("image_index"), F.col("l_partkey").alias("xref"), (F.col("l_quantity") * 8).alias("width"), (F.col("l_quantity") * 8).alias("height"), (F.col("l_discount") * 10).alias("area_fraction"))
+    return shaping.figures_kept(x, ("file", "row")).select("doc_id", F.col("image_index").cast("int").alias("image_index"), "xref")
 
 
 def _parts_manifest(spark, d):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from leafmill import core, joins
 from leafmill.functions import images, markup, paths, pdf, text
 from leafmill.operators import fidelity, package, shaping
-from leafmill.plans import jobs, library, report
+from leafmill.plans import catalog, jobs, library, report
 from leafmill.sources import epub
 
 
@@ -320,3 +320,22 @@ def test_pdf_pages(spark, tmp_path):
     log = {r["original_name"]: r for r in jobs.accept(jobs.ingest(spark, str(tmp_path / "in")), str(tmp_path / "kept")).collect()}
     assert {n: (r["status"], r["page_count"], r["code"]) for n, r in log.items()} == {"b0.pdf": ("pending", 3, 200), "b1.PDF": ("pending", 2, 200), "b2.pdf": ("pending", 12, 200), "b3.PDF": ("error", None, 400)}
     assert len({r["job_id"] for r in log.values()}) == 4 and all(os.path.exists(r["pdf_path"]) for r in log.values() if r["code"] == 200) and len(os.listdir(tmp_path / "kept")) == 3
+
+
+def test_figures_of_equal_index(spark, tmp_path):
+    """Of order lines that repeat a number, the first in the table counts, as in DuckDB, however the table is read."""
+    import duckdb
+
+    rows = [(k, 1, 1, 10.0, 0.09 if k % 2 else 0.01) for k in range(40)] + [(999, 1, 1, 5.0, 0.0)] * 500 + [(k, 1, 1, 10.0, 0.01 if k % 2 else 0.09) for k in range(40)]
+    rows += [(k, 2, 2, 10.0, 0.08 - 0.01 * (r == k % 5)) for r in range(5) for k in range(40)]
+    path = f"{tmp_path}/lineitem.parquet"
+    duckdb.sql(f"COPY (SELECT * FROM (VALUES {', '.join(map(str, rows))}) t(l_orderkey, l_partkey, l_linenumber, l_quantity, l_discount)) TO '{path}'")
+    wide = spark.read.parquet(path)
+    assert wide.count() == len(rows)
+    with duckdb.connect() as c:
+        c.sql("SET threads = 1")
+        c.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{path}'")
+        want = sorted(c.sql(catalog.ORACLES["figures_kept"]).fetchall())
+    assert sorted(tuple(r) for r in catalog.QUERIES["figures_kept"](spark, str(tmp_path)).collect()) == want
+    images = spark.createDataFrame([(1, 0, 0, 7, 100, 100, area, row) for row, area in ((3, 0.1), (1, 0.9), (2, 0.1))], "doc_id long, page_index int, image_index int, xref int, width int, height int, area_fraction double, row int")
+    assert shaping.figures_kept(images, ("row",)).count() == 0 and shaping.figures_kept(images.filter("row > 1"), ("row",)).count() == 1
