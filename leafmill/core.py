@@ -74,13 +74,24 @@ def work_folder(spark: SparkSession, what: str) -> str:
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: a cut in the lineage that survives lost executors."""
-    path = work_folder(df.sparkSession, what)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = work_folder(spark, what)
+    # shuffle files of the write go with it, not when the driver happens to collect its garbage
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     _folders[id(out)] = weakref.ref(out), path
     return out
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _folders: dict[int, tuple[weakref.ref, str]] = {}
 
 

@@ -4,16 +4,16 @@ Sets. A document's tokens are 64-bit hashes of its distinct word n-grams; equal
 128-bit digest of its tokens.
 
 Groups. Two sets of at most L tokens that link differ in at most d = 2L(1-t)/(1+t) tokens. Tokens are dealt to
-d + 1 + slack + late parts by hash, so linked sets have slack + late + 1 equal parts. A set leaves out up to ``slack`` of its
+d + 1 + slack + late + more parts by hash, so linked sets have slack + late + more + 1 equal parts. A set leaves out up to ``slack`` of its
 smallest parts, then the ``late`` most frequent of the rest, ties by fingerprint. Both orders are of fingerprints, the same for
-all sets: of the equal parts, two sets together leave out at most slack in the first step and late in the second, and one is left.
+all sets: of the equal parts, two sets together leave out at most slack in the first step and late in the second, and more + 1 are left.
 So passages that many documents share make no candidates unless they fill most of a document.
 Nodes that share the fingerprint of a part are similar; each node joins the group of its most shared part, and groups are split
 by hash, by their number of members, into blocks of bounded size. Each block also holds the group's leader, so blocks of one
 group meet in the leader's component.
 
-Matrix. Every block is compared inside. Two blocks are looked at again only if they share a part fingerprint and lie in
-different components: the overlap of each query set with the other block's token union bounds its Jaccard similarity with every
+Matrix. Every block is compared inside. Two blocks are looked at again only if, in different components, they share as many part
+fingerprints of one class as linked sets have left: the overlap of each query set with the other block's token union bounds its Jaccard similarity with every
 member, and the block is opened for the queries that this bound lets through.
 
 No pair that links is lost at any threshold, and no list of pairs of a group of documents is ever made; blocks that share a fingerprint in different components are
@@ -103,19 +103,20 @@ def _classes(percent: int) -> tuple[np.ndarray, tuple]:
 _parts: dict[tuple[int, int], tuple] = {}
 
 
-def _spare(c: int, percent: int) -> tuple[int, int]:
-    """How many parts a set of class c leaves out: of its smallest, and of its most frequent."""
+def _spare(c: int, percent: int) -> tuple[int, int, int]:
+    """How many parts a set of class c leaves out: of its smallest, and of its most frequent. Then how many equal parts more than one linked sets have left."""
     tops, most = _classes(percent)
     slack = 2 if tops[c] >= 60 else 0
     if 6 * most[c] > tops[c]:  # many small parts: more of them must be equal, so that more weak ones can be left out
         slack = max(slack, most[c] // 4)
-    return slack, (most[c] + 3) // 4
+    late = (most[c] + 3) // 4
+    return slack, late - late // 2, late // 2
 
 
 def _class_parts(c: int, percent: int):
     if (c, percent) not in _parts:
-        slack, late = _spare(c, percent)
-        m = _classes(percent)[1][c] + 1 + slack + late
+        slack, late, more = _spare(c, percent)
+        m = _classes(percent)[1][c] + 1 + slack + late + more
         bounds = (((np.arange(1, m, dtype=np.uint64) << np.uint64(32)) + np.uint64(m - 1)) // np.uint64(m)) << np.uint64(32)
         _parts[c, percent] = bounds, words.mix(np.arange(m, dtype=np.uint64) + np.uint64(c << 32) + np.uint64(percent << 52)), slack
     return _parts[c, percent]
@@ -217,7 +218,6 @@ def _home(table: pa.Table, n: int, percent: int) -> pa.Table:
         label[label == label[i]] = i
     own = [i for i, x in enumerate(nodes) if home[x]]
     row = {
-        "sig": [table["sig"][0].as_py()], "chunk": [table["chunk"][0].as_py()],
         "nodes": [[nodes[i] for i in own]], "keys": [[keys[nodes[i]] for i in own]], "labels": [[nodes[label[i]] for i in own]],
         "lengths": [[len(texts[i]) for i in own]], "packed": [squeezed([texts[i] for i in own])],
     }
@@ -226,8 +226,8 @@ def _home(table: pa.Table, n: int, percent: int) -> pa.Table:
     return pa.table(row, BLOCK)
 
 
-BLOCK = pa.schema([("sig", pa.int64()), ("chunk", pa.int32()), ("nodes", pa.list_(pa.binary())), ("keys", pa.list_(pa.int64())), ("labels", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int64())), ("packed", pa.binary())])
-BLOCK_DDL = "sig long, chunk int, nodes array<binary>, keys array<long>, labels array<binary>, lengths array<long>, packed binary"
+BLOCK = pa.schema([("nodes", pa.list_(pa.binary())), ("keys", pa.list_(pa.int64())), ("labels", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int64())), ("packed", pa.binary())])
+BLOCK_DDL = "nodes array<binary>, keys array<long>, labels array<binary>, lengths array<long>, packed binary"
 
 
 def compare_blocks(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
@@ -266,9 +266,13 @@ def connected(edges: DataFrame, what: str = "components") -> DataFrame:
         labels = new
 
 
-def _bits(rows: DataFrame, *columns: str) -> np.ndarray:
-    """A bit map of BITS bits with the hashes of ``columns``: 2 MB at any size of the input. A full map lets everything through."""
-    bit = F.pmod(F.xxhash64(*columns), F.lit(BITS))
+def _bit(column):
+    return F.pmod(F.xxhash64(column), F.lit(BITS))
+
+
+def _bits(rows: DataFrame, column: str) -> np.ndarray:
+    """A bit map of BITS bits with the hashes of ``column``: 2 MB at any size of the input. A full map lets everything through."""
+    bit = _bit(column)
     words_of = rows.select((bit / 64).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("bit"))
     out = np.zeros(BITS // 64, np.int64)
     for r in words_of.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():
@@ -276,6 +280,20 @@ def _bits(rows: DataFrame, *columns: str) -> np.ndarray:
     return out
 
 
+def _among_bits(spark, bits: np.ndarray):
+    """A function of _bit() that tells whether the map has it."""
+    held = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def among(place):
+        import pandas as pd
+
+        place = place.to_numpy()
+        return pd.Series((held.value[place // 64] >> (place % 64)) & 1 > 0)
+
+    return among
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -395,26 +413,36 @@ def _components(docs: DataFrame, n: int, percent: int, marked: bool = False) ->
     size_class = F.col("sig").bitwiseAND(F.lit(127))
     tops, _ = _classes(percent)
 
-    def of_class(values):
-        return F.element_at(F.array(*[F.lit(v) for v in values]), (size_class + 1).cast("int"))
+    def of_class(values, which=size_class):
+        return F.element_at(F.array(*[F.lit(v) for v in values]), (which + 1).cast("int"))
 
     # a fingerprint that one node has alone is rarer than all here, so the most frequent parts of a node are among these
     by_count = Window.partitionBy("key", size_class).orderBy(F.desc("count"), "sig")
-    parts = parts.withColumn("place", F.row_number().over(by_count)).filter(F.col("place") > of_class(_spare(c, percent)[1] for c in range(len(tops)))).drop("place")
-    parts = core.stored(parts.select("sig", "key", "count"), "shared-parts")
+    late, more = (of_class(_spare(c, percent)[k] for c in range(len(tops))) for k in (1, 2))
+    parts = parts.repartition("key").withColumn("place", F.row_number().over(by_count)).filter(F.col("place") > late)
+    # groups are formed by the rarer ones where a node has such, so that passages of many documents form none
+    parts = parts.withColumn("rare", F.col("place") > late + more)
+    parts = parts.withColumn("group", F.max(F.struct("rare", "count", "sig")).over(Window.partitionBy("key"))["sig"])
+    parts = core.stored(parts.select("sig", "key", "group", "rare"), "shared-parts")
     core.dropped(shared, met)
 
     room = of_class(max(2, min(BLOCK_SETS, BLOCK_TOKENS // int(t))) for t in tops)
-    best = core.stored(parts.groupBy("key").agg(F.max(F.struct("count", "sig")).alias("b")).select("key", "b.sig"), "best")
-    for _ in range(REGROUPED):
+    best = core.stored(parts.select("key", F.col("group").alias("sig")).distinct(), "best")
+    shared_class = F.col("shared").bitwiseAND(F.lit(127))
+    held = core.stored(parts.filter("rare").select(F.col("sig").alias("shared"), F.col("group").alias("sig")).filter(shared_class >= size_class).distinct(), "group-parts")
+    for k in range(REGROUPED):
         # a group joins the fingerprint that most groups share, of its own size class or above, so that sizes stay bounded by the class
-        held = parts.select(F.col("sig").alias("shared"), "key").join(best, "key").filter(F.col("shared").bitwiseAND(F.lit(127)) >= size_class).select("shared", "sig").distinct()
-        held = core.stored(held, "group-parts")
-        wide = core.stored(held.groupBy("shared").agg(F.count("*").alias("count")).filter("count > 1"), "wide-parts")
-        joined = core.stored(joins.looked_up(held, wide, "shared", weight="count").groupBy("sig").agg(F.max(F.struct("count", "shared")).alias("b")).select("sig", F.col("b.shared").alias("to")), "joined")
+        wide = held.groupBy("shared").agg(F.collect_list("sig").alias("sigs")).filter(F.size("sigs") > 1).select(F.size("sigs").alias("count"), "shared", F.explode("sigs").alias("sig"))
+        joined = core.stored(wide.groupBy("sig").agg(F.max(F.struct("count", "shared")).alias("b")).select("sig", F.col("b.shared").alias("to")), "joined")
         new = core.stored(joins.looked_up(best, joined, "sig", "left").select("key", F.coalesce("to", "sig").alias("sig")), "best")
-        core.dropped(best, held, wide, joined)
+        if k + 1 < REGROUPED:
+            moved = joins.looked_up(held, joined, "sig", "left").select("shared", F.coalesce("to", "sig").alias("sig"))
+            moved = core.stored(moved.filter(shared_class >= size_class).distinct(), "group-parts")
+            core.dropped(held)
+            held = moved
+        core.dropped(best, joined)
         best = new
+    core.dropped(held)
     groups = core.stored(best.groupBy("sig").agg(F.count("*").alias("count"), F.min("key").alias("lead")), "groups")
     members = joins.looked_up(best, groups, "sig", weight="count").withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(7)), F.ceil(F.col("count") / room)).cast("int")).select("key", "sig", "chunk", "lead", F.lit(True).alias("home"))
     members = core.stored(members.union(members.select(F.col("lead").alias("key"), "sig", "chunk", "lead", F.lit(False)).distinct()), "members")
@@ -422,7 +450,6 @@ def _components(docs: DataFrame, n: int, percent: int, marked: bool = False) ->
     # Texts are read again for one document of each member. A bit map of fixed size keeps most others out; whatever it lets through falls out in the join.
     keyed = documents.filter("node is not null").groupBy("node", "key").agg(F.min("doc_id").alias("doc_id"))
     wanted = keyed.join(members.select("key").distinct(), "key", "left_semi")
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
     core.dropped(best, groups)
     bits = spark.sparkContext.broadcast(_bits(wanted.filter("doc_id is not null"), "doc_id"))
 
@@ -437,51 +464,46 @@ def _components(docs: DataFrame, n: int, percent: int, marked: bool = False) ->
                 yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x, _ in some], pa.int64()), pa.array([x for x, _ in some], pa.binary()), pa.array([squeezed([t]) for _, t in some], pa.binary())], ["key", "node", "packed"])
         core.release()
 
-    sets_again = texts.select("text", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(bit).cast("long").alias("place"))
+    sets_again = texts.select("text", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_bit("doc_id")).cast("long").alias("place"))
     opened = sets_again.mapInArrow(open_sets, "key long, node binary, packed binary")
     blocks = members.join(opened, "key").groupBy("sig", "chunk").applyInArrow(lambda t: _home(t, n, percent), BLOCK_DDL)
-    blocks = core.stored(blocks, "blocks")
+    blocks = core.stored(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
     core.dropped(members)
 
-    inside = blocks.select("sig", "chunk", F.explode(F.arrays_zip("nodes", "keys", "labels")).alias("m")).select("sig", "chunk", F.col("m.nodes").alias("node"), F.col("m.keys").alias("key"), F.col("m.labels").alias("label"))
+    inside = blocks.select("block", F.explode(F.arrays_zip("nodes", "keys", "labels")).alias("m")).select("block", F.col("m.nodes").alias("node"), F.col("m.keys").alias("key"), F.col("m.labels").alias("label"))
     # blocks of a group meet in its leader: components so far, so that only different ones are compared
     known = core.stored(connected(inside.filter("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v")), "inner").withColumnRenamed("root", "known"), "known")
-    labelled = inside.join(known, "node", "left").select("key", "sig", "chunk", F.coalesce("known", "node").alias("label"))
-    units = parts.select(F.col("sig").alias("shared"), "key").join(labelled, "key").groupBy("shared", "sig", "chunk").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    # components are told apart by 64 bits, as tokens are
+    labelled = inside.join(known, "node", "left").select("key", "block", F.xxhash64(F.coalesce("known", "node")).alias("label"))
+    units = parts.select(F.col("sig").alias("shared"), "key").join(labelled, "key").groupBy("shared", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     units = units_stored = core.stored(units, "units")
     core.dropped(parts)
-    # only fingerprints that meet in several components matter; the blocks of a frequent one are dealt to several tasks, each with all others
-    open_parts = units.groupBy("shared").agg(F.min("low").alias("a"), F.max("high").alias("b"), F.count("*").alias("n")).filter("a <> b").select("shared", F.ceil(F.col("n") / BLOCKS_A_TASK).cast("int").alias("lanes"))
+    # only fingerprints that several blocks have in several components matter; the blocks of a frequent one are dealt to several tasks, each with all others
+    open_parts = units.groupBy("shared").agg(F.min("low").alias("a"), F.max("high").alias("b"), F.count("*").alias("n")).filter("a <> b and n > 1").select("shared", F.ceil(F.col("n") / BLOCKS_A_TASK).cast("int").alias("lanes"))
     open_parts = core.stored(open_parts, "open-parts")
     units = core.stored(joins.looked_up(units, open_parts, "shared", weight="lanes"), "open-units")
     core.dropped(units_stored, open_parts)
     units_stored = units
-    other = units.select("shared", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), *[F.col(c).alias(f"{c}2") for c in ("sig", "chunk", "low", "high")])
-    units = units.withColumn("lane", F.pmod(F.xxhash64("sig", "chunk"), F.col("lanes")).cast("int"))
-    pairs = units.join(other, ["shared", "lane"]).filter("(sig < sig2 or sig = sig2 and chunk < chunk2) and not (low = high and low2 = high2 and low = low2)").select("sig", "chunk", "sig2", "chunk2").distinct()
+    other = units.select("shared", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), *[F.col(c).alias(f"{c}2") for c in ("block", "low", "high")])
+    units = units.withColumn("lane", F.pmod(F.xxhash64("block"), F.col("lanes")).cast("int"))
+    pairs = units.join(other, ["shared", "lane"]).filter("block < block2 and not (low = high and low2 = high2 and low = low2)")
+    # every fingerprint that linked sets of two components have left is counted here, so blocks with fewer hold no link
+    pairs = pairs.groupBy("block", "block2", shared_class.alias("class")).agg(F.count("*").alias("n"))
+    pairs = pairs.filter(F.col("n") > of_class((_spare(c, percent)[2] for c in range(len(tops))), F.col("class"))).select("block", "block2").distinct()
     pairs = core.stored(pairs, "block-pairs")
     core.dropped(units_stored)
     # of two blocks the one with less text goes to the other
-    sizes = core.stored(blocks.select("sig", "chunk", F.octet_length("packed").alias("bytes")), "block-sizes")
-    sized = pairs.join(sizes, ["sig", "chunk"]).join(sizes.select(*[F.col(c).alias(f"{c}2") for c in ("sig", "chunk", "bytes")]), ["sig2", "chunk2"])
+    sizes = core.stored(blocks.select("block", F.octet_length("packed").alias("bytes")), "block-sizes")
+    sized = pairs.join(sizes, "block").join(sizes.select(F.col("block").alias("block2"), F.col("bytes").alias("bytes2")), "block2")
     less = F.col("bytes") <= F.col("bytes2")
-    turned = [F.when(less, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("sig", "sig2"), ("chunk", "chunk2"), ("sig2", "sig"), ("chunk2", "chunk"))]
+    turned = [F.when(less, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("block", "block2"), ("block2", "block"))]
     pairs = pairs_stored = core.stored(sized.select(*turned), "block-pairs")
     core.dropped(sizes)
-    needed = _bits(pairs.select("sig", "chunk").union(pairs.select("sig2", "chunk2")), "sig", "chunk")
-    needed = spark.sparkContext.broadcast(needed)
-
-    @F.pandas_udf("boolean")
-    def is_needed(place):
-        import pandas as pd
-
-        place = place.to_numpy()
-        return pd.Series((needed.value[place // 64] >> (place % 64)) & 1 > 0)
-
-    wanted_blocks = blocks.withColumn("place", F.pmod(F.xxhash64("sig", "chunk"), F.lit(BITS))).filter(is_needed("place"))
-    one = wanted_blocks.select("sig", "chunk", "labels", "lengths", "packed")
-    second = wanted_blocks.select(*[F.col(c).alias(f"{c}2") for c in ("sig", "chunk", "labels", "lengths", "packed")])
-    pairs = pairs.join(one, ["sig", "chunk"]).join(second, ["sig2", "chunk2"])
+    is_needed = _among_bits(spark, _bits(pairs.select("block").union(pairs.select("block2")), "block"))
+    wanted_blocks = blocks.filter(is_needed(_bit("block")))
+    one = wanted_blocks.select("block", "labels", "lengths", "packed")
+    second = wanted_blocks.select(*[F.col(c).alias(f"{c}2") for c in ("block", "labels", "lengths", "packed")])
+    pairs = pairs.join(one, "block").join(second, "block2")
 
     def across(batches):
         opened: dict[bytes, list[np.ndarray]] = {}
@@ -537,13 +559,15 @@ def representatives(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> Data
     rows = joins.looked_up(documents, named, "node").groupBy("doc_id", "mark").agg(F.min(_place() == F.col("best")).alias("stays"), F.count("*").alias("count"))
     rows = core.stored(rows.filter("not stays or count > 1"), "told")
     mark = next(f"mark{k}" for k in range(len(docs.columns) + 1) if f"mark{k}" not in docs.columns)
-    marked = docs.withColumn(mark, _mark()).alias("docs")
+    # rows whose doc_id no told row has stay where they are; the texts of the others go through the joins
+    told = _among_bits(docs.sparkSession, _bits(rows, "doc_id"))(_bit(F.col("doc_id").cast("long")))
+    marked = docs.filter(told).withColumn(mark, _mark()).alias("docs")
 
     def among(some: DataFrame, how: str) -> DataFrame:
         same = (F.col(f"docs.{mark}") == F.col("told.mark")) & F.col("docs.doc_id").cast("long").eqNullSafe(F.col("told.doc_id"))
         return marked.join(some.select("doc_id", "mark").alias("told"), same, how)
 
-    single = among(rows, "left_anti").select(*docs.columns)
+    single = docs.filter(~told).union(among(rows, "left_anti").select(*docs.columns))
     again = rows.filter("stays")
     if again.isEmpty():
         return single

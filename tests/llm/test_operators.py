@@ -15,6 +15,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from leafmill import core, joins
 from leafmill.llm import bpe, chat, crf_pii, html_layout, langid, media, mixing, multiset_hash, ngram_join, packing, repair_ids, words
@@ -126,6 +127,37 @@ def test_join_with_frequent_fingerprints(spark, monkeypatch):
     assert sorted((tuple(r) for r in got), key=repr) == brute_components(rows, 3, 90)
 
 
+def test_stored_leaves_no_shuffle_files(spark):
+    """Else all shuffles of a stage lie on the disks together until the driver collects its garbage."""
+    import glob
+
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in folder for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before = files()
+    out = core.stored(spark.range(50_000).repartition(7, "id").groupBy((F.col("id") % 1000).alias("k")).count(), "few")
+    assert not files() - before
+    assert out.count() == 1000
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_linked_sets_share_more_parts(percent):
+    """A pair of blocks is opened at more + 1 shared fingerprints of a class: linked sets keep as many, whatever parts are frequent."""
+    rng = np.random.default_rng(percent)
+    for size in (5, 30, 75, 130, 600):
+        base = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        for drop in (0, size * (100 - percent) // 200, size * (100 - percent) // 100):
+            both = [ngram_join.part_names(x, percent) for x in (base, base[drop:])]
+            rank = {x: rng.random() for x in sorted({*both[0].tolist(), *both[1].tolist()})}
+            kept = []
+            for names in both:
+                left = set()
+                for c in set((names & np.uint64(127)).tolist()):
+                    left |= set(sorted((x for x in names.tolist() if x & 127 == c), key=rank.get)[ngram_join._spare(c, percent)[1] :])
+                kept.append(left)
+            n = Counter(x & 127 for x in kept[0] & kept[1])
+            assert any(n[c] > ngram_join._spare(c, percent)[2] for c in n)
+
+
 def test_connected_star(spark, monkeypatch):
     monkeypatch.setattr(joins, "SMALL", 0)
     edges = [(f"h{k % 3}", f"n{k}") for k in range(300)] + [("h0", "h1"), ("x1", "x2"), ("x2", "x3")]
