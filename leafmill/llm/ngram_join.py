@@ -12,12 +12,14 @@ Nodes that share the fingerprint of a part are similar; each node joins the grou
 by hash, by their number of members, into blocks of bounded size. Each block also holds the group's leader, so blocks of one
 group meet in the leader's component.
 
-Matrix. Every block is compared inside. Two blocks are looked at again only if, in different components, they share as many part
-fingerprints of one class as linked sets have left: the overlap of each query set with the other block's token union bounds its Jaccard similarity with every
-member, and the block is opened for the queries that this bound lets through.
-
-No pair that links is lost at any threshold, and no list of pairs of a group of documents is ever made; blocks that share a fingerprint in different components are
-paired, and those pairs grow with the square of such blocks. Fingerprints, nodes and components that hold a large share of all rows are split. Lineage is cut by tables in the shared folder, which go
+Matrix. Every block is compared inside. What is linked between blocks goes through two sieves. Linked sets that leave out their ``more`` next frequent parts too
+still share a part; nodes that share none with another block's in a different component are done. The tokens of the others are counted, and each set keeps
+the rarest of them: sets that link have PERCENT of the larger one's tokens in common, so each can leave out one token fewer than PERCENT of its own, the
+most frequent, and a common one is left. Only blocks of different components that share such a token are compared: the overlap of each query set with the
+other block's token union bounds its Jaccard similarity with every member, and the block is opened for the queries that this bound lets through.
+
+No pair that links is lost at any threshold, and no list of pairs of a group of documents is ever made. Texts that have lines in common and enough words of their own
+are not paired; blocks that share one of their rarest tokens in different components are, and those pairs grow with the square of the blocks of one token. Fingerprints, nodes and components that hold a large share of all rows are split. Lineage is cut by tables in the shared folder, which go
 when nothing needs them any more. Sets travel as compressed texts, of which the copies in a block cost little, and tokens are made again where they are
 compared: 64-bit tokens do not compress.
 
@@ -185,11 +187,11 @@ def squeezed(texts: list[bytes]) -> bytes:
     return _zstd()[0].compress(b"".join(texts))
 
 
-def token_sets_of(lengths: list[int], packed: bytes, n: int) -> list[np.ndarray]:
-    """The token sets of texts that squeezed() made one."""
+def token_sets_of(lengths: list[int], packed: bytes, n: int, take: list[int] | None = None) -> list[np.ndarray]:
+    """The token sets of texts that squeezed() made one, or of those at ``take``."""
     data = _zstd()[1].decompress(packed)
-    cuts = np.concatenate([[0], np.cumsum(lengths)])
-    return list(token_sets(pa.array([data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary()), n))
+    cuts = np.concatenate([[0], np.cumsum(lengths)]).tolist()
+    return list(token_sets(pa.array([data[cuts[i] : cuts[i + 1]] for i in (range(len(lengths)) if take is None else take)], pa.binary()), n))
 
 
 def _home(table: pa.Table, n: int, percent: int) -> pa.Table:
@@ -303,6 +305,89 @@ def _mark():
     return F.unhex(F.sha2(F.col("text").cast("string"), 256))
 
 
+PACKED_DDL = "part long, packed binary"
+
+
+def _packed(named, dealt: int):
+    """Of (names, key of a node) packed rows, one for each of the ``dealt`` ranges of names: of a name the low 6 bytes, as the range tells most of the rest, and the 6 bytes of the key.
+
+    Names that are frequent here go to one of SPREAD rows by their key, so that a range stays small; one of their keys also goes the common way, marked, which tells
+    it that they are frequent.
+    """
+    held: list[np.ndarray] = []
+    held_keys: list[int] = []
+
+    def flush():
+        sig, key = np.concatenate(held), np.repeat(np.array(held_keys, np.uint64), [len(x) for x in held])
+        held.clear()
+        held_keys.clear()
+        values = np.sort(sig)
+        hot = np.unique(values[FREQUENT:][values[FREQUENT:] == values[:-FREQUENT]])
+        del values
+        many = np.flatnonzero(np.isin(sig, hot)) if len(hot) else np.zeros(0, np.int64)
+        lane = 1 + words.mix(key[many]) % np.uint64(SPREAD)
+        one = many[np.unique(sig[many], return_index=True)[1]]
+        sig, key = np.concatenate([sig, sig[one]]), np.concatenate([key, key[one] | np.uint64(_MARK)])
+        part = sig >> np.uint64(32)
+        part *= np.uint64(dealt)
+        part >>= np.uint64(32)
+        part *= np.uint64(SPREAD + 1)
+        part[many] += lane
+        order = np.argsort(part, kind="stable")
+        part = part[order].astype(np.int64)
+        both = np.empty((len(order), 12), np.uint8)
+        for k, x in enumerate((sig, key)):
+            both[:, 6 * k : 6 * k + 6] = x[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        cuts = (12 * np.append(heads, len(part))).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(part[heads]), pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(cuts), pa.py_buffer(both)])], ["part", "packed"])
+
+    size = 0
+    for names, key in named:
+        held.append(names)
+        held_keys.append(key)
+        size += len(names)
+        if size > FLUSH:
+            yield flush()
+            core.release()
+            size = 0
+    if held:
+        yield flush()
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """Of one range of names, those that two or more nodes have, with their number; of frequent ones all, which are told by ``lane``."""
+    flat = np.frombuffer(b"".join(table["packed"].to_pylist()), np.uint8).reshape(-1, 12)
+    wide = np.zeros((2, len(flat), 8), np.uint8)
+    wide[0, :, :6], wide[1, :, :6] = flat[:, :6], flat[:, 6:]
+    sig, key = wide.view("<u8")[:, :, 0]
+    part = table["part"][0].as_py()
+    sig |= np.uint64(part // (SPREAD + 1) << 48)
+    frequent = np.unique(sig[key >= np.uint64(_MARK)])
+    key &= np.uint64(_MARK - 1)
+    order = np.lexsort((key, sig))
+    sig, key = sig[order], key[order]
+    fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])])
+    sig, key = sig[fresh], key[fresh]
+    heads = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    count = np.diff(np.append(heads, len(sig)))
+    lane = np.where(np.isin(sig, frequent), -1, part % (SPREAD + 1)).astype(np.int32)
+    many = np.repeat(count > 1, count) | (lane != 0)
+    return pa.table({"sig": sig[many].view(np.int64), "key": key[many].view(np.int64), "count": np.repeat(count, count)[many], "lane": lane[many]})
+
+
+def _met(packed: DataFrame, what: str) -> tuple[DataFrame, list[DataFrame]]:
+    """(sig, key, count) of every name in rows of _packed() that two or more nodes have, and the stored tables that this reads."""
+    shared = core.stored(packed.groupBy("part").applyInArrow(_shared, "sig long, key long, count long, lane int"), what)
+    parts = shared.filter("lane = 0").select("sig", "key", "count")
+    # of names that went several ways the nodes meet here, and are counted
+    met = core.stored(shared.filter("lane <> 0").select("sig", "key").distinct(), f"met-{what}")
+    if met.isEmpty():
+        return parts, [shared, met]
+    counts = core.stored(met.groupBy("sig").agg(F.count("*").alias("count")).filter("count > 1"), f"{what}-counts")
+    return parts.unionByName(joins.looked_up(met, counts, "sig", weight="count").select("sig", "key", "count")), [shared, met, counts]
+
+
 def join(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
     documents, nodes = _components(docs, n, percent)
@@ -336,80 +421,21 @@ def _components(docs: DataFrame, n: int, percent: int, marked: bool = False) ->
     documents = core.stored(rows.mapInArrow(nodes_of, "doc_id long, n long, node binary, key long" + ", mark binary" * marked), "sets")
 
     def all_parts(batches):
-        """Part fingerprints as packed rows, one for each of the ``dealt`` ranges: of a fingerprint the low 6 bytes, as the range tells most of the rest, and the 6 bytes of its node's key.
-
-        Fingerprints that are frequent here go to one of SPREAD rows by their key, so that a range stays small; one of their keys also goes the common way, marked, which tells
-        it that they are frequent.
-        """
-        seen: set[bytes] = set()
-        held: list[np.ndarray] = []
-        held_keys: list[np.ndarray] = []
-
-        def flush():
-            sig, key = np.concatenate(held), np.concatenate(held_keys)
-            _, own, times = np.unique(sig, return_inverse=True, return_counts=True)
-            many = np.flatnonzero(times[own] > FREQUENT)
-            lane = np.zeros(len(sig), np.uint64)
-            if len(many):
-                lane[many] = 1 + words.mix(key[many]) % np.uint64(SPREAD)
-                one = many[np.unique(own[many], return_index=True)[1]]
-                sig, key, lane = np.concatenate([sig, sig[one]]), np.concatenate([key, key[one] | np.uint64(_MARK)]), np.concatenate([lane, np.zeros(len(one), np.uint64)])
-            part = (((sig >> np.uint64(32)) * np.uint64(dealt)) >> np.uint64(32)) * np.uint64(SPREAD + 1) + lane
-            order = np.argsort(part, kind="stable")
-            both = np.concatenate([x[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6] for x in (sig, key)], 1)
-            heads = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1]]))
-            ends = np.append(heads[1:], len(part))
-            held.clear()
-            held_keys.clear()
-            return pa.RecordBatch.from_arrays([pa.array(part[order][heads].astype(np.int64)), pa.array([both[a:b].tobytes() for a, b in zip(heads.tolist(), ends.tolist(), strict=True)], pa.binary())], ["part", "packed"])
-
-        size = 0
-        for batch in core.released(batches):
-            for tokens in token_sets(batch["text"], n):
-                if not len(tokens) or (name := digest(tokens)) in seen:
-                    continue
-                if len(seen) > 100_000:
-                    seen.clear()
-                seen.add(name)
-                held.append(part_names(tokens, percent))
-                held_keys.append(np.full(len(held[-1]), np.uint64(_key(name))))
-                size += len(held[-1])
-                if size > FLUSH:
-                    yield flush()
-                    size = 0
-        if held:
-            yield flush()
-        seen.clear()
+        def named():
+            seen: set[bytes] = set()
+            for batch in core.released(batches):
+                for tokens in token_sets(batch["text"], n):
+                    if not len(tokens) or (name := digest(tokens)) in seen:
+                        continue
+                    if len(seen) > 100_000:
+                        seen.clear()
+                    seen.add(name)
+                    yield part_names(tokens, percent), _key(name)
+
+        yield from _packed(named(), dealt)
         core.release()
 
-    def shared_parts(table: pa.Table) -> pa.Table:
-        """Of one range of fingerprints, those that two or more nodes have, with their number; of frequent ones all, which are told by ``lane``."""
-        flat = np.frombuffer(b"".join(table["packed"].to_pylist()), np.uint8).reshape(-1, 12)
-        wide = np.zeros((2, len(flat), 8), np.uint8)
-        wide[0, :, :6], wide[1, :, :6] = flat[:, :6], flat[:, 6:]
-        sig, key = wide.view("<u8")[:, :, 0]
-        part = table["part"][0].as_py()
-        sig |= np.uint64(part // (SPREAD + 1) << 48)
-        frequent = np.unique(sig[key >= np.uint64(_MARK)])
-        key &= np.uint64(_MARK - 1)
-        order = np.lexsort((key, sig))
-        sig, key = sig[order], key[order]
-        fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])])
-        sig, key = sig[fresh], key[fresh]
-        heads = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        count = np.diff(np.append(heads, len(sig)))
-        lane = np.where(np.isin(sig, frequent), -1, part % (SPREAD + 1)).astype(np.int32)
-        many = np.repeat(count > 1, count) | (lane != 0)
-        return pa.table({"sig": sig[many].view(np.int64), "key": key[many].view(np.int64), "count": np.repeat(count, count)[many], "lane": lane[many]})
-
-    shared = texts.select("text").mapInArrow(all_parts, "part long, packed binary").groupBy("part").applyInArrow(shared_parts, "sig long, key long, count long, lane int")
-    shared = core.stored(shared, "parts")
-    parts = shared.filter("lane = 0").select("sig", "key", "count")
-    # of fingerprints that went several ways the nodes meet here, and are counted
-    met = core.stored(shared.filter("lane <> 0").select("sig", "key").distinct(), "met-parts")
-    if not met.isEmpty():
-        counts = core.stored(met.groupBy("sig").agg(F.count("*").alias("count")).filter("count > 1"), "part-counts")
-        parts = parts.unionByName(joins.looked_up(met, counts, "sig", weight="count").select("sig", "key", "count"))
+    parts, parts_stored = _met(texts.select("text").mapInArrow(all_parts, PACKED_DDL), "parts")
     size_class = F.col("sig").bitwiseAND(F.lit(127))
     tops, _ = _classes(percent)
 
@@ -423,8 +449,8 @@ def _components(docs: DataFrame, n: int, percent: int, marked: bool = False) ->
     # groups are formed by the rarer ones where a node has such, so that passages of many documents form none
     parts = parts.withColumn("rare", F.col("place") > late + more)
     parts = parts.withColumn("group", F.max(F.struct("rare", "count", "sig")).over(Window.partitionBy("key"))["sig"])
-    parts = core.stored(parts.select("sig", "key", "group", "rare"), "shared-parts")
-    core.dropped(shared, met)
+    parts = parts_table = core.stored(parts.select("sig", "key", "group", "rare"), "shared-parts")
+    core.dropped(*parts_stored)
 
     room = of_class(max(2, min(BLOCK_SETS, BLOCK_TOKENS // int(t))) for t in tops)
     best = core.stored(parts.select("key", F.col("group").alias("sig")).distinct(), "best")
@@ -475,10 +501,39 @@ def _components(docs: DataFrame, n: int, percent: int, marked: bool = False) ->
     known = core.stored(connected(inside.filter("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v")), "inner").withColumnRenamed("root", "known"), "known")
     # components are told apart by 64 bits, as tokens are
     labelled = inside.join(known, "node", "left").select("key", "block", F.xxhash64(F.coalesce("known", "node")).alias("label"))
-    units = parts.select(F.col("sig").alias("shared"), "key").join(labelled, "key").groupBy("shared", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    labelled = core.stored(labelled, "labelled")
+    # two nodes of different components and blocks that link have a rare part in common; nodes without such a part are done
+    rare = parts.filter("rare").select("sig", "key")
+    open_parts = rare.join(labelled, "key").groupBy("sig").agg(*[f(c).alias(f"{k}_{c}") for c in ("label", "block") for k, f in (("low", F.min), ("high", F.max))], F.count("*").alias("n"))
+    open_parts = core.stored(open_parts.filter("low_label <> high_label and low_block <> high_block").select("sig", "n"), "open-parts")
+    open_nodes = core.stored(joins.looked_up(rare, open_parts, "sig", weight="n").select("key").distinct(), "open-nodes")
+    core.dropped(parts_table, open_parts)
+    open_bits = spark.sparkContext.broadcast(_bits(open_nodes, "key"))
+
+    def open_tokens(batches):
+        """The tokens of open nodes. What else the bit map lets through does no harm, as all that is here is counted."""
+        def named():
+            for batch in core.released(batches):
+                for keys, places, lengths, packed in zip(*(batch[c].to_pylist() for c in ("keys", "places", "lengths", "packed")), strict=True):
+                    place = np.array(places, np.int64)
+                    take = np.flatnonzero((open_bits.value[place // 64] >> (place % 64)) & 1 > 0).tolist()
+                    if take:
+                        yield from zip(token_sets_of(lengths, packed, n, take), [keys[i] for i in take], strict=True)
+
+        yield from _packed(named(), dealt)
+        core.release()
+
+    placed = blocks.select("keys", F.transform("keys", _bit).alias("places"), "lengths", "packed")
+    tokens, tokens_stored = _met(placed.mapInArrow(open_tokens, PACKED_DDL), "tokens")
+    # Linked sets have percent of the larger one's tokens in common. Each leaves out one fewer than percent of its own, the most frequent, in one order for all; so a common one is left.
+    sizes = documents.filter("node is not null").groupBy("key").agg(F.min("n").alias("n"))
+    sizes = core.stored(sizes.join(open_nodes, "key", "left_semi"), "open-sizes")
+    by_count = Window.partitionBy("key").orderBy(F.desc("count"), "sig")
+    tokens = tokens.join(sizes, "key").withColumn("place", F.row_number().over(by_count)).filter(f"place >= ({percent} * n + 99) div 100")
+    units = tokens.select(F.col("sig").alias("shared"), "key").join(labelled, "key").groupBy("shared", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     units = units_stored = core.stored(units, "units")
-    core.dropped(parts)
-    # only fingerprints that several blocks have in several components matter; the blocks of a frequent one are dealt to several tasks, each with all others
+    core.dropped(*tokens_stored, sizes, open_nodes, labelled)
+    # only tokens that several blocks have in several components matter; the blocks of a frequent one are dealt to several tasks, each with all others
     open_parts = units.groupBy("shared").agg(F.min("low").alias("a"), F.max("high").alias("b"), F.count("*").alias("n")).filter("a <> b and n > 1").select("shared", F.ceil(F.col("n") / BLOCKS_A_TASK).cast("int").alias("lanes"))
     open_parts = core.stored(open_parts, "open-parts")
     units = core.stored(joins.looked_up(units, open_parts, "shared", weight="lanes"), "open-units")
@@ -487,10 +542,7 @@ def _components(docs: DataFrame, n: int, percent: int, marked: bool = False) ->
     other = units.select("shared", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), *[F.col(c).alias(f"{c}2") for c in ("block", "low", "high")])
     units = units.withColumn("lane", F.pmod(F.xxhash64("block"), F.col("lanes")).cast("int"))
     pairs = units.join(other, ["shared", "lane"]).filter("block < block2 and not (low = high and low2 = high2 and low = low2)")
-    # every fingerprint that linked sets of two components have left is counted here, so blocks with fewer hold no link
-    pairs = pairs.groupBy("block", "block2", shared_class.alias("class")).agg(F.count("*").alias("n"))
-    pairs = pairs.filter(F.col("n") > of_class((_spare(c, percent)[2] for c in range(len(tops))), F.col("class"))).select("block", "block2").distinct()
-    pairs = core.stored(pairs, "block-pairs")
+    pairs = core.stored(pairs.select("block", "block2").distinct(), "block-pairs")
     core.dropped(units_stored)
     # of two blocks the one with less text goes to the other
     sizes = core.stored(blocks.select("block", F.octet_length("packed").alias("bytes")), "block-sizes")

@@ -158,6 +158,44 @@ def test_linked_sets_share_more_parts(percent):
             assert any(n[c] > ngram_join._spare(c, percent)[2] for c in n)
 
 
+def test_texts_of_the_same_lines_are_not_paired(spark, monkeypatch):
+    """Documents of common lines and words of their own share many parts and no likeness: no two of their blocks are paired, whatever their number."""
+    rng = np.random.default_rng(3)
+    lines = [" ".join(f"l{k}x{w}" for w in range(15)) for k in range(12)]
+    rows = [(d, " ".join([lines[k] for k in sorted(rng.permutation(12)[:11])] + [f"d{d}w{w}" for w in range(48)])) for d in range(40)]
+    # near copies that lie in several blocks are linked all the same
+    rows += [(100 + d, rows[d][1] + f" end{d} of it") for d in range(0, 40, 4)] + [(200 + r, t) for r, t in near_copies(8, 2, 20)]
+    made, stored = {}, core.stored
+
+    def counted(df, what):
+        out = stored(df, what)
+        made.setdefault(what, out.count())
+        return out
+
+    monkeypatch.setattr(core, "stored", counted)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 4)
+    for some in (rows[:40], rows):
+        made.clear()
+        got = ngram_join.join(spark.createDataFrame(some, "doc_id long, text string"), 5, 80).collect()
+        assert sorted((tuple(r) for r in got), key=repr) == brute_components(some, 5, 80)
+        if len(some) == 40:
+            assert made["blocks"] > 1 and made["block-pairs"] == 0 and made["open-nodes"] > 20
+
+
+@pytest.mark.parametrize("percent", [1, 50, 73, 80, 90, 100])
+def test_linked_sets_share_a_rare_token(percent):
+    """Whatever the order, linked sets have a token in common that neither leaves out."""
+    rng = np.random.default_rng(percent)
+    for size in (1, 2, 5, 9, 10, 33, 130):
+        base = rng.permutation(10_000)[:size]
+        for drop in {0, size * (100 - percent) // 100}:
+            both = [set(base.tolist()), set(base[drop:].tolist())]
+            if 100 * len(both[1]) >= percent * size and both[1]:
+                for order in (lambda x: x, lambda x: (x in both[1], x), lambda x: (x not in both[1], x)):  # the most frequent first
+                    left = [set(sorted(s, key=order)[(percent * len(s) + 99) // 100 - 1 :]) for s in both]
+                    assert left[0] & left[1]
+
+
 def test_connected_star(spark, monkeypatch):
     monkeypatch.setattr(joins, "SMALL", 0)
     edges = [(f"h{k % 3}", f"n{k}") for k in range(300)] + [("h0", "h1"), ("x1", "x2"), ("x2", "x3")]
