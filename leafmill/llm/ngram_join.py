@@ -504,9 +504,11 @@ def _components(docs: DataFrame, n: int, percent: int, marked: bool = False) ->
     labelled = core.stored(labelled, "labelled")
     # two nodes of different components and blocks that link have a rare part in common; nodes without such a part are done
     rare = parts.filter("rare").select("sig", "key")
-    open_parts = rare.join(labelled, "key").groupBy("sig").agg(*[f(c).alias(f"{k}_{c}") for c in ("label", "block") for k, f in (("low", F.min), ("high", F.max))], F.count("*").alias("n"))
-    open_parts = core.stored(open_parts.filter("low_label <> high_label and low_block <> high_block").select("sig", "n"), "open-parts")
-    open_nodes = core.stored(joins.looked_up(rare, open_parts, "sig", weight="n").select("key").distinct(), "open-nodes")
+    open_parts = rare.join(labelled, "key").groupBy("sig").agg(*[f(c).alias(f"{k}_{c}") for c in ("label", "block") for k, f in (("low", F.min), ("high", F.max))])
+    open_parts = core.stored(open_parts.filter("low_label <> high_label and low_block <> high_block").select("sig"), "open-parts")
+    # a bit map, as nodes that it lets through besides cost time only
+    is_open = _among_bits(spark, _bits(open_parts, "sig"))
+    open_nodes = core.stored(rare.filter(is_open(_bit("sig"))).select("key").distinct(), "open-nodes")
     core.dropped(parts_table, open_parts)
     open_bits = spark.sparkContext.broadcast(_bits(open_nodes, "key"))
 
