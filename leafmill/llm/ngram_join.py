@@ -15,7 +15,8 @@ group meet in the leader's component.
 Matrix. Every block is compared inside. What is linked between blocks goes through two sieves. Linked sets that leave out their ``more`` next frequent parts too
 still share a part; nodes that share none with another block's in a different component are done. The tokens of the others are counted, and each set keeps
 the rarest of them: sets that link have PERCENT of the larger one's tokens in common, so each can leave out one token fewer than PERCENT of its own, the
-most frequent, and a common one is left. Only blocks of different components that share such a token are compared: the overlap of each query set with the
+most frequent, and a common one is left. Any order that is the same for all sets will do: tokens that tasks find frequent come first and are known to every task, so they are
+left out where the sets are and not moved. Only blocks of different components that share such a token are compared: the overlap of each query set with the
 other block's token union bounds its Jaccard similarity with every member, and the block is opened for the queries that this bound lets through.
 
 No pair that links is lost at any threshold, and no list of pairs of a group of documents is ever made. Texts that have lines in common and enough words of their own
@@ -49,6 +50,7 @@ FLUSH = 1 << 19
 BITS = 1 << 24
 REGROUPED = 2  # rounds in which groups join the group that most of them share a fingerprint with
 FREQUENT, SPREAD = 512, 32  # a fingerprint that a task meets more often than this goes to so many rows of its range
+KNOWN = 1 << 16  # frequent tokens that every task knows; others are counted like rare ones
 BLOCKS_A_TASK = 64  # blocks of one fingerprint that a task pairs with all others of it
 OPEN_BLOCKS = 8  # blocks whose token sets a task keeps while it compares pairs
 _MARK = 1 << 47  # above the key of a node: its fingerprint is frequent
@@ -306,6 +308,19 @@ def _mark():
 
 
 PACKED_DDL = "part long, packed binary"
+NUMBERS = -2  # the lane of rows that are no names but numbers of their keys
+
+
+def _records(part: np.ndarray, *both: np.ndarray) -> pa.RecordBatch:
+    """A row for each part: of every pair of numbers in ``both`` the low 6 bytes."""
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    flat = np.empty((len(order), 12), np.uint8)
+    for k, x in enumerate(both):
+        flat[:, 6 * k : 6 * k + 6] = x[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    cuts = (12 * np.append(heads, len(part))).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(part[heads]), pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(cuts), pa.py_buffer(flat)])], ["part", "packed"])
 
 
 def _packed(named, dealt: int):
@@ -333,14 +348,7 @@ def _packed(named, dealt: int):
         part >>= np.uint64(32)
         part *= np.uint64(SPREAD + 1)
         part[many] += lane
-        order = np.argsort(part, kind="stable")
-        part = part[order].astype(np.int64)
-        both = np.empty((len(order), 12), np.uint8)
-        for k, x in enumerate((sig, key)):
-            both[:, 6 * k : 6 * k + 6] = x[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-        heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        cuts = (12 * np.append(heads, len(part))).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(part[heads]), pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(cuts), pa.py_buffer(both)])], ["part", "packed"])
+        return _records(part.astype(np.int64), sig, key)
 
     size = 0
     for names, key in named:
@@ -356,12 +364,14 @@ def _packed(named, dealt: int):
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Of one range of names, those that two or more nodes have, with their number; of frequent ones all, which are told by ``lane``."""
+    """Of one range of names, those that two or more nodes have, with their number; of frequent ones all, which are told by ``lane``. Parts below 0 hold a number for each key instead."""
     flat = np.frombuffer(b"".join(table["packed"].to_pylist()), np.uint8).reshape(-1, 12)
     wide = np.zeros((2, len(flat), 8), np.uint8)
     wide[0, :, :6], wide[1, :, :6] = flat[:, :6], flat[:, 6:]
     sig, key = wide.view("<u8")[:, :, 0]
     part = table["part"][0].as_py()
+    if part < 0:
+        return pa.table({"sig": sig.view(np.int64), "key": key.view(np.int64), "count": np.zeros(len(sig), np.int64), "lane": np.full(len(sig), NUMBERS, np.int32)})
     sig |= np.uint64(part // (SPREAD + 1) << 48)
     frequent = np.unique(sig[key >= np.uint64(_MARK)])
     key &= np.uint64(_MARK - 1)
@@ -377,17 +387,66 @@ def _shared(table: pa.Table) -> pa.Table:
 
 
 def _met(packed: DataFrame, what: str) -> tuple[DataFrame, list[DataFrame]]:
-    """(sig, key, count) of every name in rows of _packed() that two or more nodes have, and the stored tables that this reads."""
+    """(sig, key, count) of every name in rows of _packed() that two or more nodes have, and the stored tables that this reads, of which the first has the numbers of keys."""
     shared = core.stored(packed.groupBy("part").applyInArrow(_shared, "sig long, key long, count long, lane int"), what)
     parts = shared.filter("lane = 0").select("sig", "key", "count")
     # of names that went several ways the nodes meet here, and are counted
-    met = core.stored(shared.filter("lane <> 0").select("sig", "key").distinct(), f"met-{what}")
+    met = core.stored(shared.filter(f"lane not in (0, {NUMBERS})").select("sig", "key").distinct(), f"met-{what}")
     if met.isEmpty():
         return parts, [shared, met]
     counts = core.stored(met.groupBy("sig").agg(F.count("*").alias("count")).filter("count > 1"), f"{what}-counts")
     return parts.unionByName(joins.looked_up(met, counts, "sig", weight="count").select("sig", "key", "count")), [shared, met, counts]
 
 
+def _often(sets, least: int):
+    """(sig, count) of the tokens that more than ``least`` of about FLUSH tokens on end are."""
+    held: list[np.ndarray] = []
+
+    def flush():
+        sig, count = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        many = count > least
+        return pa.RecordBatch.from_arrays([pa.array(sig[many].view(np.int64)), pa.array(count[many].astype(np.int64))], ["sig", "count"])
+
+    size = 0
+    for tokens in sets:
+        held.append(tokens)
+        size += len(tokens)
+        if size > FLUSH:
+            yield flush()
+            core.release()
+            size = 0
+    if held:
+        yield flush()
+
+
+def _ranked(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent tokens of (sig, count), sorted, at most KNOWN, and the rank of each: 0 is the most frequent."""
+    totals = core.stored(counts.groupBy("sig").agg(F.sum("count").alias("count")).filter(F.col("count") > FREQUENT), "token-totals")
+    least = FREQUENT
+    while totals.filter(F.col("count") > least).count() > KNOWN:
+        least *= 2
+    rows = totals.filter(F.col("count") > least).collect()
+    core.dropped(totals)
+    sig, count = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+    order = np.lexsort((sig, -count))
+    sig, rank = sig[order], np.argsort(sig[order])
+    return sig[rank], rank
+
+
+def rarest(tokens: np.ndarray, known: np.ndarray, rank: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Of a set the tokens that it may keep, and how many of them, the most frequent, it leaves out yet. The known ones come first in the order; they are left out here."""
+    out = (percent * len(tokens) + 99) // 100 - 1
+    if not len(known):
+        return tokens, out
+    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+    hit = known[at] == tokens
+    of = rank[at[hit]]
+    if len(of) <= out:
+        return tokens[~hit], out - len(of)
+    return np.concatenate([tokens[~hit], tokens[hit][np.argsort(of)[out:]]]), 0
+
+
 def join(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
     documents, nodes = _components(docs, n, percent)
@@ -512,29 +571,49 @@ def _components(docs: DataFrame, n: int, percent: int, marked: bool = False) ->
     core.dropped(parts_table, open_parts)
     open_bits = spark.sparkContext.broadcast(_bits(open_nodes, "key"))
 
-    def open_tokens(batches):
-        """The tokens of open nodes. What else the bit map lets through does no harm, as all that is here is counted."""
-        def named():
-            for batch in core.released(batches):
-                for keys, places, lengths, packed in zip(*(batch[c].to_pylist() for c in ("keys", "places", "lengths", "packed")), strict=True):
-                    place = np.array(places, np.int64)
-                    take = np.flatnonzero((open_bits.value[place // 64] >> (place % 64)) & 1 > 0).tolist()
-                    if take:
-                        yield from zip(token_sets_of(lengths, packed, n, take), [keys[i] for i in take], strict=True)
+    def sets_of_open(batches):
+        """The tokens and keys of open nodes. What else the bit map lets through does no harm, as all that is here is counted."""
+        for batch in core.released(batches):
+            for keys, places, lengths, packed in zip(*(batch[c].to_pylist() for c in ("keys", "places", "lengths", "packed")), strict=True):
+                place = np.array(places, np.int64)
+                take = np.flatnonzero((open_bits.value[place // 64] >> (place % 64)) & 1 > 0).tolist()
+                if take:
+                    yield from zip(token_sets_of(lengths, packed, n, take), [keys[i] for i in take], strict=True)
 
-        yield from _packed(named(), dealt)
+    least = max(FREQUENT // 8, 1)  # a task has a share of a token's nodes only
+
+    def often(batches):
+        yield from _often((tokens for tokens, _ in sets_of_open(batches)), least)
         core.release()
 
     placed = blocks.select("keys", F.transform("keys", _bit).alias("places"), "lengths", "packed")
+    known_tokens = spark.sparkContext.broadcast(_ranked(placed.mapInArrow(often, "sig long, count long")))
+
+    def open_tokens(batches):
+        left: list[tuple[int, int]] = []
+
+        def named():
+            for tokens, key in sets_of_open(batches):
+                tokens, out = rarest(tokens, *known_tokens.value, percent)
+                left.append((out, key))
+                yield tokens, key
+
+        for batch in _packed(named(), dealt):
+            yield batch
+            out, key = np.array(left, np.uint64).T
+            left.clear()
+            yield _records(-1 - (words.mix(key) % np.uint64(max(dealt // 16, 1))).astype(np.int64), out, key)
+        core.release()
+
     tokens, tokens_stored = _met(placed.mapInArrow(open_tokens, PACKED_DDL), "tokens")
     # Linked sets have percent of the larger one's tokens in common. Each leaves out one fewer than percent of its own, the most frequent, in one order for all; so a common one is left.
-    sizes = documents.filter("node is not null").groupBy("key").agg(F.min("n").alias("n"))
-    sizes = core.stored(sizes.join(open_nodes, "key", "left_semi"), "open-sizes")
+    left_out = tokens_stored[0].filter(f"lane = {NUMBERS}").groupBy("key").agg(F.min("sig").alias("left_out"))
+    left_out = core.stored(left_out.join(open_nodes, "key", "left_semi"), "left-out")
     by_count = Window.partitionBy("key").orderBy(F.desc("count"), "sig")
-    tokens = tokens.join(sizes, "key").withColumn("place", F.row_number().over(by_count)).filter(f"place >= ({percent} * n + 99) div 100")
+    tokens = tokens.join(left_out, "key").withColumn("place", F.row_number().over(by_count)).filter("place > left_out")
     units = tokens.select(F.col("sig").alias("shared"), "key").join(labelled, "key").groupBy("shared", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     units = units_stored = core.stored(units, "units")
-    core.dropped(*tokens_stored, sizes, open_nodes, labelled)
+    core.dropped(*tokens_stored, left_out, open_nodes, labelled)
     # only tokens that several blocks have in several components matter; the blocks of a frequent one are dealt to several tasks, each with all others
     open_parts = units.groupBy("shared").agg(F.min("low").alias("a"), F.max("high").alias("b"), F.count("*").alias("n")).filter("a <> b and n > 1").select("shared", F.ceil(F.col("n") / BLOCKS_A_TASK).cast("int").alias("lanes"))
     open_parts = core.stored(open_parts, "open-parts")

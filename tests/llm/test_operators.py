@@ -196,6 +196,51 @@ def test_linked_sets_share_a_rare_token(percent):
                     assert left[0] & left[1]
 
 
+@pytest.mark.parametrize("percent", [1, 50, 73, 80, 90, 100])
+def test_linked_sets_keep_a_token_whichever_are_known(percent):
+    """Known tokens first, by rank, then the others by number: linked sets keep a common one, and as many as the share says."""
+    rng = np.random.default_rng(percent)
+    for size in (1, 2, 5, 9, 10, 33, 130):
+        base = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        for drop in {0, size * (100 - percent) // 100}:
+            both = [base, base[drop:]]
+            if 100 * len(both[1]) < percent * size or not len(both[1]):
+                continue
+            for share in (0, 0.3, 0.9, 1):
+                known = base[rng.random(size) < share]
+                rank, number, kept = rng.permutation(len(known)), {x: rng.random() for x in base.tolist()}, []
+                for x in both:
+                    some, out = ngram_join.rarest(x, known, rank, percent)
+                    kept.append(set(sorted(some.tolist(), key=number.get)[out:]))
+                    assert len(kept[-1]) == len(x) - (percent * len(x) + 99) // 100 + 1
+                assert kept[0] & kept[1]
+
+
+@pytest.mark.parametrize("known", [1 << 16, 20])
+def test_tokens_of_a_large_group_are_not_moved(spark, monkeypatch, known):
+    """What many texts have in common is left out where the texts are: no row for each of these tokens and texts is made, unless there are too many such tokens."""
+    rng = np.random.default_rng(4)
+    lines = [" ".join(f"l{k}x{w}" for w in range(15)) for k in range(12)]
+    rows = [(d, " ".join([lines[k] for k in sorted(rng.permutation(12)[:11])] + [f"d{d}w{w}" for w in range(48)])) for d in range(60)]
+    rows += [(100 + d, rows[d][1] + f" end{d} of it") for d in range(0, 60, 6)] + [(200 + r, t) for r, t in near_copies(9, 1, 20)]
+    made, stored = {}, core.stored
+
+    def counted(df, what):
+        out = stored(df, what)
+        if what in ("open-nodes", "tokens"):
+            made[what] = out.count()
+        return out
+
+    monkeypatch.setattr(core, "stored", counted)
+    for name, value in (("BLOCK_SETS", 4), ("FREQUENT", 2), ("KNOWN", known)):
+        monkeypatch.setattr(ngram_join, name, value, raising=False)
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute_components(rows, 5, 80)
+    assert made["open-nodes"] >= 60
+    # 70 texts have some 150 tokens in common
+    assert made["tokens"] < 4_000 if known > 1_000 else made["tokens"] > 9_000
+
+
 def test_connected_star(spark, monkeypatch):
     monkeypatch.setattr(joins, "SMALL", 0)
     edges = [(f"h{k % 3}", f"n{k}") for k in range(300)] + [("h0", "h1"), ("x1", "x2"), ("x2", "x3")]
